@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, packing, warc
+from tributary.llm import chat, decontaminate, jaccard, packing, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op5_chat_formatting": chat.ORACLE}
