@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, jaccard, packing, warc
+from tributary.llm import chat, decontaminate, jaccard, packing, substring, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
@@ -10,5 +10,6 @@ QUERIES: dict = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op5_chat_formatting": chat.ORACLE}
