@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, jaccard, packing, substring, warc
+from tributary.llm import chat, decontaminate, embeddings, jaccard, packing, substring, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
-ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op5_chat_formatting": chat.ORACLE}
+ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_chat_formatting": chat.ORACLE}
