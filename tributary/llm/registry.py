@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, embeddings, jaccard, packing, substring, warc
+from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, packing, substring, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_language_id": langid.op6_language_id,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
