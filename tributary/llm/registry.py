@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, packing, substring, warc
+from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, packing, pii, quality, substring, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
@@ -11,6 +11,8 @@ QUERIES: dict = {
     "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_language_id": langid.op6_language_id,
+    "op7_quality": quality.op7_quality,
+    "op8_pii": pii.op8_pii,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
