@@ -273,7 +273,8 @@ def jaccard_links(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> Da
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+    """Per row of docs(doc_id, text): doc_id, th (hash of the text), n_shingles and component_id, the smallest doc_id
+    reachable by links.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Rows with equal sets are linked; empty
     sets (null or blank texts) link with nothing and are their own component; null ids are never a component's id
@@ -281,15 +282,27 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     ids = common.stash(identities(docs, shingle), "set-ids")
     groups = components.connected(jaccard_links(docs, ids, shingle))
     placed = ids.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
-    placed = common.stash(placed.select("doc_id", "n_shingles", "component"), "set-classes")
+    placed = common.stash(placed.select("doc_id", "th", "n_shingles", "component"), "set-classes")
     least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays (of repeated rows with
+    it, one). Texts without words are no near-duplicates of anything and stay. All columns stay as they are."""
+    found = jaccard_classes(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = found.filter("n_shingles = 0").select("doc_id", "th").distinct()
+    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min("th").alias("th")).select(F.col("component_id").alias("doc_id"), "th")
+    stay = empty.unionByName(first).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"))
+    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(stay, rows["_key"].eqNullSafe(F.col("_th")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["_key", "doc_id"]).drop("_key")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """The class of every document."""
-    return jaccard_classes(common.table(spark, sf_dir, "documents"))
+    return jaccard_classes(common.table(spark, sf_dir, "documents")).drop("th")
 
 
 def brute_force(docs: list[tuple], shingle: int = SHINGLE) -> list[tuple]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, packing, pii, quality, substring, warc
 
 QUERIES: dict = {
@@ -15,5 +16,6 @@ QUERIES: dict = {
     "op8_pii": pii.op8_pii,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_chat_formatting": chat.ORACLE}
