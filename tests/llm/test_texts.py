@@ -1,0 +1,247 @@
+"""Operators on texts against brute force, on small made tables with nulls, empty texts, ties and repeated rows."""
+
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tributary.llm import decontaminate, jaccard, langid, packing, pii, quality, substring, textvec
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_words string"
+
+
+def frame(spark, rows):
+    """Extra columns have names that the operators use themselves."""
+    return spark.createDataFrame([(d, t, "en", "s", "x") for d, t in rows], SCHEMA).repartition(3)
+
+
+def words(rng, n, kinds=40):
+    return [rng.choice("abcdefgh") + str(rng.randrange(kinds)) for _ in range(n)]
+
+
+EDGES = ["", None, " \t\n", "x", "a b c d", "a b c d e", "A B c D E", "é É", "a " * 400, "a b " * 150, "\x00 nul \x00"]
+
+
+def near_copies(seed=5):
+    rng = random.Random(seed)
+    texts = []
+    for n in (6, 8, 10, 12, 15, 20, 30, 50, 80, 120, 200) * 3:
+        base = words(rng, n, 300)
+        texts.append(" ".join(base))
+        for _ in range(8):
+            x = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3]) * max(1, n // 40)):
+                i = rng.randrange(len(x))
+                x[i : i + rng.randrange(2)] = ["Z" + str(rng.randrange(99))][: rng.randrange(2)]
+            texts.append(" ".join(x))
+    rows = list(enumerate(texts + EDGES + texts[:5]))
+    rng.shuffle(rows)
+    return rows + rows[:3]
+
+
+def test_jaccard_join(spark):
+    rows = near_copies()
+    got = sorted(tuple(r) for r in jaccard.jaccard_classes(frame(spark, rows)).drop("th").collect())
+    assert got == sorted(jaccard.brute_force(rows))
+    stay = jaccard.one_of_each(frame(spark, rows)).select("doc_id").collect()
+    classes = {d: c for d, n, c in got if n}
+    assert sorted(r[0] for r in stay) == sorted({*classes.values(), *(d for d, n, _ in got if not n)})
+
+
+def test_jaccard_tiles_find_all(spark):
+    """A group whose pivot is linked with few of its sets: the rest must meet in tiles."""
+    rng = random.Random(8)
+    base = words(rng, 150, 400)
+    rows = []
+    for k in range(120):
+        x = list(base)
+        for i in rng.sample(range(150), rng.randrange(1, 9)):
+            x[i] = f"new{k // 2}.{i}"
+        rows.append((k, " ".join(x)))
+    got = sorted(tuple(r) for r in jaccard.jaccard_classes(frame(spark, rows)).drop("th").collect())
+    assert got == sorted(jaccard.brute_force(rows))
+
+
+def test_jaccard_nulls_and_empty(spark):
+    t = "one two three four five six seven eight"
+    got = jaccard.jaccard_classes(frame(spark, [(None, t), (7, t), (None, None), (3, "")])).drop("th").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 4, 7), (7, 4, 7), (None, 0, None), (3, 0, 3)], key=str)
+    assert jaccard.jaccard_classes(frame(spark, []).limit(0)).count() == 0
+
+
+def test_band_tables():
+    for band in range(40):
+        assert jaccard.band_parts(band) > jaccard.band_extra(band) + 1
+    assert all(jaccard._TOPS[i + 1] * 75 <= jaccard._TOPS[i] * 100 or jaccard._TOPS[i] < 4 for i in range(1, 50))
+
+
+def test_substring(spark):
+    rng = random.Random(7)
+    passages = [words(rng, n) for n in (45, 50, 51, 55, 60, 70, 100, 140, 300)]
+    texts = []
+    for _ in range(200):
+        x = words(rng, rng.randrange(60))
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(passages)
+            a = rng.randrange(max(1, len(p) - 45))
+            q = p[a : rng.randrange(min(len(p), a + 45), len(p) + 1)] if rng.random() < 0.6 else list(p)
+            if q and rng.random() < 0.4:
+                q[rng.randrange(len(q))] = f"X{rng.randrange(3)}"
+            x += q + words(rng, rng.randrange(30))
+        texts.append(" ".join(x))
+    rows = list(enumerate(texts + texts[:20] + EDGES))
+    rng.shuffle(rows)
+    rows.append((5, texts[9]))
+    got = sorted(tuple(r) for r in substring.remove_copies(frame(spark, rows)).collect())
+    assert got == sorted(substring.brute_force(rows))
+
+
+def test_substring_null_ids_and_empty(spark):
+    t = " ".join(words(random.Random(1), 60))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_copies(frame(spark, [(None, t), (4, t)])).collect()}
+    assert got == {None: 60, 4: 0}
+    assert substring.remove_copies(frame(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("window", [10, 17, 50, 64])
+def test_windows_hold_two_picked(window):
+    k, pick = substring.parameters(window)
+    assert k >= 1 and window - k + 1 >= 2 * pick
+
+
+def test_decontamination(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((3, 9, 10, 11, 25, 60))] + [(6, ""), (7, None), (8, "...")]
+    rows = []
+    for k in range(80):
+        x = words(rng, rng.randrange(40))
+        if k % 3 == 0:
+            x += items[rng.randrange(6)][1].upper().split() + words(rng, 4)
+        rows.append((k, "-".join(x)))
+    rows += list(enumerate(EDGES, 100)) + rows[:2]
+    bench = spark.createDataFrame([*items, (2, items[2][1])], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 60):  # one block, and many
+        found = decontaminate.contamination(frame(spark, rows), bench, block_bytes=size)
+        hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1)
+        got = sorted(tuple(r) for r in found.select("doc_id", "n_words", hit, F.size("items"), F.sha2(F.array_join("items", ","), 256), F.size("hit_spans") > 0).collect())
+        assert got == sorted(decontaminate.brute_force(rows, items))
+    dirty = {r[0] for r in got if r[5]}
+    docs = frame(spark, rows)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, "documents").collect()} == {d for d, _ in rows} - dirty
+    clean = decontaminate.decontaminate(docs, bench, "spans")
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    texts = dict(rows)
+    assert all((r["text"] == texts[r["doc_id"]]) == (r["doc_id"] not in dirty) for r in clean.collect())
+    assert decontaminate.contamination(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
+
+
+def test_pii_base_spans_match_the_patterns():
+    rng = random.Random(1)
+    parts = ["1", "2", ".", "@", "a", "-", "+", " ", "(", ")", "%", "255", "300", "4111111111111111", "4111-1111-1111-1111", "b.c", "x@y.z", "é", "+1 (555) 010-9999"]
+    import hashlib
+
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(20)))
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t))
+        assert hashlib.sha256(spans.encode()).hexdigest() == pii.brute_force(t), t
+
+
+def test_pii_trees_add_spans_and_redact(spark):
+    rng = random.Random(2)
+    texts = [" ".join([*words(rng, 5), rng.choice(["mail a%d@b.org" % i, 'token = "%040x"' % rng.getrandbits(160), "ver 1.2.3", "+1 (555) 010-%04d" % i]), *words(rng, 5)]) for i in range(400)]
+    model = pii.fit(texts)
+    text = 'write to joe@x.org, token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" end'
+    spans = pii.all_spans(text, model)
+    assert ("email", 9, 18) in spans and any(k == "secret" for k, _, _ in spans)
+    clean = pii.redact_text(text, spans)
+    assert "joe" not in clean and "9f86" not in clean and clean.endswith(" end")
+    got = pii.find(frame(spark, list(enumerate(EDGES))), model).collect()
+    assert len(got) == len(EDGES)
+    assert pii.all_spans("+" * 5000 + "1" * 5000, model) is not None  # long runs take linear time
+    assert pii.fit([]).thresholds["secret"] > 1
+
+
+def test_language(spark):
+    rng = random.Random(4)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["ser", "ton", "vix"]}
+    text = lambda k: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, 60)))
+    rows = [(i, text(k), k) for i in range(120) for k in kinds]
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "1 2 ...", None), (902, text("aa"), None)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = langid.identify(docs.withColumn("score", F.lit("clash")), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 900)
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] >= 900} == {900: "und", 901: "und", 902: "aa"}
+    assert all(0 <= r["score"] <= 1 for r in got)
+    # Words of mixed texts are labelled one by one.
+    mixed = text("aa") + " " + text("bb")
+    (w,) = list(textvec.chunks(pa.array([mixed]), langid.WORDS))
+    best = langid.forward_backward(langid.emissions(w, model), w.first, model.moves, model.start).argmax(axis=1)
+    truth = [0 if any(x in mixed[a:b] for x in kinds["aa"]) else 1 for a, b in zip(w.starts, w.ends, strict=True)]
+    assert sum(int(a == b) for a, b in zip(best, truth, strict=True)) >= 0.9 * len(truth)
+    assert langid.identify(docs, langid.train(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_quality_sample_is_exact(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, rng.randrange(30), 5 if i % 2 else 300))) for i in range(300)] + [(400, None), (401, "")]
+    docs = frame(spark, rows)
+    target = spark.createDataFrame([(i,) for i in range(1, 200, 2)], "doc_id long")
+    weighed = quality.weights(docs, target).select("doc_id", "log_weight")
+    good = [r["log_weight"] for r in weighed.collect() if r["doc_id"] % 2]
+    bad = [r["log_weight"] for r in weighed.collect() if not r["doc_id"] % 2 and r["doc_id"] < 400]
+    assert sum(good) / len(good) > sum(bad) / len(bad)
+    for k in (0, 1, 37, 302, 500):
+        rows = quality.gumbel_top_k(weighed, k).collect()
+        chosen = [r["score"] for r in rows if r["selected"]]
+        assert len(rows) == 302 and len(chosen) == min(k, 302)
+        assert not chosen or min(chosen) >= max((r["score"] for r in rows if not r["selected"]), default=float("-inf"))
+    assert quality.weights(docs, target.limit(0)).filter("log_weight <> 0").count() == 0
+
+
+def test_tokens_are_the_tokenizers_own():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    signs = [*"aAbéÉßñ'sdt vem\t\n_-.,!?0129²½ªº€“—ΣİĲ\x85\x1c<|", "'ll", "'S", "ll", "<|endoftext|>", "é"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    for text, ids in zip(texts, packing.tokenize(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, rng.randrange(120)))) for i in range(150)] + list(enumerate(EDGES, 500)) + [(1, "again"), (None, "no id")]
+    packed = packing.pack_documents(frame(spark, rows), capacity=128)
+    got = packed.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for pieces in by.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at and len(r["ids"]) == 4 * r["length"]
+            at += r["length"]
+        assert at <= 128
+    total = sum(r["length"] for r in got)
+    assert len(by) <= -(-total // 128) + 2
+    joined = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}
+    assert all(len(joined[s]["ids"]) == 4 * joined[s]["length"] for s in by)
+    assert packing.pack_documents(frame(spark, []).limit(0)).count() == 0
+
+
+def test_many_shards_and_levels(spark):
+    rng = random.Random(2)
+    lengths = [rng.randrange(1, 100) for _ in range(700)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length int")
+    got = packing.pack(items, capacity=100, shard_pieces=100).collect()
+    assert sorted(r["item"] for r in got) == list(range(700))
+    fill: dict = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], lengths[r["item"]]))
+    assert all(sum(n for _, n in x) <= 100 for x in fill.values())
+    assert len(fill) <= -(-sum(lengths) // 100) * 1.06 + 1
