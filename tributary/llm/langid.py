@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tributary.llm import common, textvec
 
 #: Labelled texts that the model is fitted on, about at most: those of the smallest hashes.
-FIT_ROWS = 1500
+FIT_ROWS = 1000
 BUCKETS = 1 << 16
 ROUNDS, RATE = 14, 0.2
 UNKNOWN = "und"
@@ -107,9 +107,9 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     second = np.ones(len(e), dtype=bool)
     second[first[:-1][np.diff(first) > 0]] = False
     second = np.flatnonzero(second)
-    xi = alpha[second - 1][:, :, None] * step[None] * (e[second] * beta[second])[:, None, :]
-    xi /= np.maximum(xi.sum(axis=(1, 2), keepdims=True), 1e-30)
-    return gamma, xi.sum(axis=0), gamma[first[:-1][np.diff(first) > 0]].sum(axis=0)
+    before, here = alpha[second - 1], e[second] * beta[second]
+    before /= np.maximum(((before @ step) * here).sum(axis=1, keepdims=True), 1e-30)
+    return gamma, step * (before.T @ here), gamma[first[:-1][np.diff(first) > 0]].sum(axis=0)
 
 
 def held_out(doc_id: Column) -> Column:
