@@ -78,10 +78,10 @@ def dedup_stats(spark, sf_dir):
 
 def item_entries(spark, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")
-    return li.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("identity_key"), F.col("l_linenumber").alias("input_index"), F.col("l_orderkey").alias("entry_ord"), F.concat(F.lit("in"), "l_linenumber").alias("source_id"), F.col("l_returnflag").alias("flags"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("quantity"))
+    return li.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("identity_key"), F.col("l_linenumber").alias("input_index"), F.struct("l_orderkey", "l_linestatus", "l_returnflag", "l_quantity").alias("entry_ord"), F.concat(F.lit("in"), "l_linenumber").alias("source_id"), F.col("l_returnflag").alias("flags"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("quantity"))
 
 
-ITEMS = """WITH e AS (SELECT concat_ws('-', l_partkey, l_suppkey) AS identity_key, l_linenumber AS i, l_orderkey AS o, 'in' || l_linenumber AS source, l_returnflag AS flags, l_linestatus AS status, l_quantity AS quantity FROM lineitem) """
+ITEMS = """WITH e AS (SELECT concat_ws('-', l_partkey, l_suppkey) AS identity_key, l_linenumber AS i, row(l_orderkey, l_linestatus, l_returnflag, l_quantity) AS o, 'in' || l_linenumber AS source, l_returnflag AS flags, l_linestatus AS status, l_quantity AS quantity FROM lineitem) """
 
 
 @query(ITEMS + """SELECT identity_key, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT flags)), '|') AS flags, arg_min(status, row(i, o)) AS status, min(status) <> max(status) AS status_conflict, arg_min(quantity, row(i, o)) AS quantity FROM e GROUP BY 1""")
