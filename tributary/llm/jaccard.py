@@ -242,34 +242,94 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between fingerprints that join the same components as all pairs of linked sets do.
 
-    Buckets are stars first: every set against the bucket's pivot. Pairs that this has not joined are compared as
-    well, but for those that the triangle inequality of Jaccard distance rules out by their distances to the pivot."""
+    A bucket's pivot is its set with the most shared signatures, the likely original of a group of copies; so the
+    buckets of a group have few pivots between them. Each set is compared with its pivots first. What that leaves
+    apart is compared with all that have the same pivot, in tiles of bounded size."""
     buckets = common.stash(shared_buckets(signature_rows(docs, shingle)), "buckets")
     band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
-    enough = buckets.groupBy("f", band).count().filter(F.col("count") >= _needed(F.col("band"))).drop("count")
-    live = buckets.withColumn("band", band).join(enough, ["f", "band"], "left_semi")
-    pivots = live.groupBy("sig").agg(F.min("f").alias("pivot"), F.max("f").alias("last")).filter("pivot <> last").drop("last")
-    live = common.stash(live.select("sig", "f").join(pivots, "sig"), "live-buckets")
-    stars = live.filter("f <> pivot").select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct()
-    sets = common.stash(sets_of(docs, ids, live.select("f").distinct(), shingle), "shingle-sets")
-    tested = common.stash(verified(stars, sets), "tested-stars")
+    enough = buckets.groupBy("f", band).agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= _needed(F.col("band")))
+    live = common.stash(buckets.withColumn("band", band).join(enough, ["f", "band"]).select("sig", "f", "weight"), "live-buckets")
+    heaviest = F.max_by("f", F.struct("weight", "f")).alias("pivot")
+    pivots = live.groupBy("sig").agg(heaviest, F.min("f").alias("_lo"), F.max("f").alias("_hi")).filter("_lo <> _hi").select("sig", "pivot")
+    stars = common.stash(live.select("sig", "f").join(pivots, "sig").filter("f <> pivot").select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct(), "stars")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+    sets = common.stash(sets_of(docs, ids, wanted, shingle), "shingle-sets")
     linked = F.col("shared") * DEN >= NUM * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    links = tested.filter(linked).select("a", "b")
+    links = common.stash(verified(stars, sets).filter(linked).select("a", "b"), "star-links")
     groups = components.connected(links)
-    distance = (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("distance")
-    seen = tested.select(F.col("a").alias("pivot"), F.col("b").alias("f"), distance)
-    placed = live.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-    rest = placed.join(open_, "sig", "left_semi").filter("f <> pivot").join(seen, ["pivot", "f"])
-    rest = common.stash(rest.select("sig", "f", "component", "distance"), "open-buckets")
-    if rest.isEmpty():
-        return links
-    # The sets that are linked to the pivot are joined with each other already: only the others look for partners.
-    far = rest.filter(F.col("distance") > (DEN - NUM) / DEN).select("sig", F.col("f").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"))
-    near = rest.select("sig", F.col("f").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-    more = far.join(near, "sig").filter((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= (DEN - NUM) / DEN + 1e-9))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(verified(more, sets).filter(linked).select("a", "b"))
+    more = tile_links(stars, sets, groups)
+    return links if more is None else links.unionByName(more)
+
+
+#: Sets on either side of a tile, at most about: those apart from their pivot, and all of the pivot's.
+TILE_APART, TILE_ALL = 1000, 2000
+_FEATURES = 2048
+
+
+def tile_links(stars: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Links among sets of one pivot of which at least one is in another component than the pivot; None if there are
+    none such. Sets of a bucket have one pivot, so no pair of a bucket is left out. A pivot's sets are dealt by a hash
+    into tiles; a tile counts what all pairs share by products of 0/1 matrices and emits only links that join
+    something, so what is emitted grows with the sets, not with their pairs."""
+    label = groups.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    rows = stars.join(label.withColumnsRenamed({"_n": "a", "_c": "ca"}), "a", "left").join(label.withColumnsRenamed({"_n": "b", "_c": "cb"}), "b", "left")
+    rows = rows.select("a", "b", (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("u")).filter("u > 0 and n > 1")
+    rows = common.stash(rows.join(sizes, "a"), "apart-sets")
+    if rows.isEmpty():
+        return None
+    across, down = F.ceil(F.col("u") / TILE_APART).cast("int"), F.ceil(F.col("n") / TILE_ALL).cast("int")
+    h = F.xxhash64("b")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    left = rows.filter("apart").select("a", "b", F.lit(True).alias("apart"), F.pmod(h, across).cast("int").alias("i"), F.explode(every(down)).alias("j"))
+    right = rows.select("a", "b", F.lit(False).alias("apart"), F.explode(every(across)).alias("i"), F.pmod(h, down).cast("int").alias("j"))
+    dealt = left.unionByName(right).join(sets.withColumnRenamed("f", "b"), "b")
+    return dealt.groupBy("a", "i", "j").applyInArrow(_tile, "a long, b long")
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    apart = table.column("apart").to_numpy()
+    f = table.column("b").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    first = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    _, feature, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(f)), np.diff(first))
+    use = count[feature] > 1
+    rank = np.cumsum(count > 1) - 1
+    feature, owner = rank[feature[use]], owner[use]
+    left, right = np.flatnonzero(apart), np.flatnonzero(~apart)
+    place = np.zeros(len(f), dtype=np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, _FEATURES):
+        s = slice(*np.searchsorted(feature, (lo, lo + _FEATURES)))
+        x, who = feature[s] - lo, owner[s]
+        sides = []
+        for side, n in ((apart, len(left)), (~apart, len(right))):
+            m = np.zeros((n, _FEATURES), dtype=np.float32)
+            mine = side[who]
+            m[place[who[mine]], x[mine]] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    n = np.diff(first)
+    i, j = np.nonzero(shared * (DEN + NUM) >= NUM * (n[left][:, None] + n[right][None, :]).astype(np.float32))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    for x, y in zip(f[left[i]].tolist(), f[right[j]].tolist(), strict=True):
+        if (p := root(x)) != (q := root(y)):
+            up[p] = q
+            a.append(x)
+            b.append(y)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
