@@ -559,3 +559,59 @@ def merge_stream(spark, sf_dir):
     ready = lambda df: df.select("user_id", "event_type", F.lit(0).alias("input_index"), "event_id", F.lit("in").alias("source_id"), "value")
     target.start(stream, f"{path}/checkpoint", ready).awaitTermination()
     return target.merged().select("user_id", "event_type", "n_entries", "value")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_entries FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    from tributary.streaming.merge_stream import arrivals
+
+    out = arrivals(_t(spark, sf_dir, "events"), "ts", by=["event_type"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- more of edits, trees, checks and sources --------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS set_id, coalesce(arg_max(o_orderpriority, o_orderkey), c_name) AS text FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey, c_name")
+def replaced_documents(spark, sf_dir):
+    texts = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_id"), F.col("c_name").alias("text"))
+    log = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("seq"), F.lit("replace").alias("op"), F.lit("/").alias("path"), F.col("o_orderpriority").alias("value"))
+    return edits.replace_documents(texts, log)
+
+
+@query("""SELECT o_orderkey AS set_id, l_linenumber AS seq, '"' || o_orderstatus || '"' AS old_value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'""")
+def resolved_edits(spark, sf_dir):
+    t = tree.field_tree(_order_docs(spark, sf_dir, False))
+    path = F.when(F.col("l_returnflag") == "R", "/status").otherwise("/nowhere")
+    log = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").alias("seq"), path.alias("path"))
+    return edits.value_at(edits.path_exists(log, t), t).select("set_id", "seq", "old_value")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS set_id, unnest(['/priority', '/status', '/tags', '/tags/0', '/tags/1']) AS path FROM orders) SELECT set_id, path, true AS truncated FROM t WHERE path < '/tags/0'""")
+def truncated_tree(spark, sf_dir):
+    return tree.truncate_tree(tree.field_tree(_order_docs(spark, sf_dir, False)), 3).select("set_id", "path", "truncated")
+
+
+@query("""SELECT o_orderkey AS set_id, '/priority' AS path FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' UNION ALL SELECT o_orderkey, '/tags/0' FROM orders""")
+def filtered_tree(spark, sf_dir):
+    return tree.filter_tree(tree.field_tree(_order_docs(spark, sf_dir, False)), "all", "URGENT").select("set_id", "path")
+
+
+@query("SELECT page_id FROM pages WHERE len(string_split(rtrim(regexp_replace(url, '[?&#]+', ' ', 'g')), ' ')) < 3")
+def malformed_lines(spark, sf_dir):
+    line = F.concat(F.lit("Relationship: "), F.regexp_replace("url", "[?&#]+", " "))
+    return checks.malformed_lines(_t(spark, sf_dir, "pages").withColumn("line", line)).select("page_id")
+
+
+@query("SELECT lang AS set_id, CASE WHEN min(f) = max(f) THEN min(f) END AS format FROM (SELECT regexp_extract(html, 'lang=\"([a-z]*)\"', 1) AS lang, CASE WHEN url LIKE 'https%' THEN 'dep5' ELSE 'clixml' END AS f FROM pages) GROUP BY 1")
+def set_formats(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    name = F.when(F.col("url").startswith("https"), "/x/DEP5_a.txt").otherwise("/x/CLIXML_a.xml")
+    raw = p.select(F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("set_id"), name.alias("path"), F.col("html").cast("binary").alias("content"))
+    return reports.set_formats(reports.with_format(raw))
+
+
+@query()
+def text_diff_summary(spark, sf_dir):
+    a, b = _pairs(spark, sf_dir)
+    return lines.summarize_text_diff(lines.diff_rows(lines.opcodes(a, b), a, b))
