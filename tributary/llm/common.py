@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that Spark hands to Python at once, so that long texts stay within memory.
 BATCH_ROWS = 1000
+_own: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all machines share (spark.checkpoint.dir); a local one of our own only where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tributary-")
-        atexit.register(shutil.rmtree, shared, True)
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if not shared and "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="tributary-")
+        atexit.register(shutil.rmtree, _own["dir"], True)
+    return shared or _own["dir"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
