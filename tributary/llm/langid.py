@@ -116,19 +116,32 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 11) -> Model:
-    """Fit on labelled texts. Sequences are spans of 5 to 40 words of texts of any languages set side by side, so
-    that changes of language are seen; all words of a text count as words of its language."""
-    names = sorted(set(langs))
-    n, rng = len(names), np.random.default_rng(seed)
-    w = None
-    for w in textvec.chunks(pa.array(["\n".join(texts)]), WORDS):
-        break
-    if not names or w is None or not len(w.starts):
-        return Model(names, np.zeros((3 * BUCKETS, n), np.float32), np.zeros((5 * BUCKETS, n), np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
-    edges = np.cumsum([0] + [len(t.encode()) + 1 for t in texts])
-    text_of = np.searchsorted(edges, w.starts, "right") - 1
-    label = np.array([names.index(x) for x in langs])[text_of]
+@dataclass
+class Part:
+    """Some training texts: bucket numbers of their features, and the sequences made of their words."""
+
+    words: np.ndarray  # (5, words)
+    grams: np.ndarray  # (3, bytes in words)
+    starts: np.ndarray  # for each word its first place in grams
+    order: np.ndarray  # words in the order of the sequences
+    cut: np.ndarray  # where sequences begin in order, and its end
+    labels: np.ndarray  # for each place in order
+
+    def scores(self, model: Model) -> np.ndarray:
+        total = model.grams[self.grams[0]] + model.grams[self.grams[1]] + model.grams[self.grams[2]]
+        out = np.add.reduceat(total, self.starts, axis=0)
+        for ids in self.words:
+            out += model.whole[ids]
+        return out
+
+
+def _part(texts: list[str], labels: list[int], rng: np.random.Generator) -> Part | None:
+    joined = "\n".join(texts)
+    raw = np.frombuffer(joined.encode(), dtype=np.uint8)
+    w = textvec.split(raw, np.array([0, len(raw)]), WORDS, 0, 1)
+    if not len(w.starts):
+        return None
+    text_of = np.searchsorted(np.cumsum([0] + [len(t.encode()) + 1 for t in texts]), w.starts, "right") - 1
     spans = []
     for a, b in zip(*(np.searchsorted(text_of, np.arange(len(texts)), side) for side in ("left", "right")), strict=True):
         while a < b:
@@ -138,40 +151,53 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 11
     rng.shuffle(spans)
     order = np.concatenate([np.arange(a, b) for a, b in spans])
     lengths = np.array([b - a for a, b in spans])
-    cut = np.append(0, np.cumsum([int(x.sum()) for x in np.split(lengths, np.arange(4, len(lengths), 4))]))
-    y = label[order]
-    truth = np.zeros((len(order), n), dtype=np.float32)
-    truth[np.arange(len(order)), y] = 1
-    is_first = np.zeros(len(order), dtype=bool)
-    is_first[cut[:-1]] = True
-    later = np.flatnonzero(~is_first)
-    seen_moves = np.zeros((n, n))
-    np.add.at(seen_moves, (y[later - 1], y[later]), 1)
-    seen_starts = truth[is_first].sum(axis=0)
-    words, grams = word_ids(w), gram_ids(w.data)
-    word_of = np.zeros(len(w.data), dtype=np.int64)
-    word_of[w.starts] = 1
-    word_of = np.cumsum(word_of) - 1
+    cut = np.append(0, np.cumsum(np.add.reduceat(lengths, np.arange(0, len(lengths), 4))))
     inside = np.flatnonzero(w.data != 0)
-    grams, word_of = grams[:, inside], word_of[inside]
+    return Part(word_ids(w), gram_ids(w.data)[:, inside], np.searchsorted(inside, w.starts), order, cut, np.array(labels)[text_of][order])
+
+
+def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 11, part_chars: int = 1 << 18) -> Model:
+    """Fit on labelled texts. Sequences are spans of 5 to 40 words of texts of any languages set side by side, so
+    that changes of language are seen; all words of a text count as words of its language. Texts are taken in parts of
+    about part_chars (or one text), which bounds the memory that a round needs."""
+    names = sorted(set(langs))
+    n, rng = len(names), np.random.default_rng(seed)
     model = Model(names, np.zeros((3 * BUCKETS, n), np.float32), np.zeros((5 * BUCKETS, n), np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
+    shuffled, parts, some, size = rng.permutation(len(texts)), [], [], 0
+    for k, i in enumerate(shuffled):
+        some.append(i)
+        size += len(texts[i])
+        if size >= part_chars or k == len(texts) - 1:
+            parts.append(_part([texts[j] for j in some], [names.index(langs[j]) for j in some], rng))
+            some, size = [], 0
+    parts = [p for p in parts if p]
+    if not parts:
+        return model
     weights = [model.grams, model.whole, model.moves, model.start]
     square, mean = [np.zeros_like(x) for x in weights], [np.zeros_like(x) for x in weights]
-    back = np.empty(len(order), dtype=np.int64)
-    back[order] = np.arange(len(order))
+    total = sum(len(p.order) for p in parts)
     for r in range(1, rounds + 1):
-        gamma, moved, started = forward_backward(emissions(w, model)[order], cut, model.moves, model.start, pairs=True)
-        slope = (truth - gamma)[back]  # in the order of the texts
-        per_gram, per_word = np.zeros_like(model.grams), np.zeros_like(model.whole)
-        for k in range(n):
-            s = slope[:, k].astype(np.float64)
-            for ids in words:
-                per_word[:, k] += np.bincount(ids, s, len(per_word)).astype(np.float32)
-            s = s[word_of]
-            for ids in grams:
-                per_gram[:, k] += np.bincount(ids, s, len(per_gram)).astype(np.float32)
-        for x, g, m, v in zip(weights, (per_gram, per_word, (seen_moves - moved).astype(np.float32), (seen_starts - started).astype(np.float32)), mean, square, strict=True):
-            g /= len(order) ** 0.5
+        slopes = [np.zeros_like(x) for x in weights]
+        for p in parts:
+            gamma, moved, started = forward_backward(p.scores(model)[p.order], p.cut, model.moves, model.start, pairs=True)
+            truth = np.eye(n, dtype=np.float32)[p.labels]
+            first = np.zeros(len(p.order), dtype=bool)
+            first[p.cut[:-1]] = True
+            later = np.flatnonzero(~first)
+            seen = np.zeros((n, n), dtype=np.float32)
+            np.add.at(seen, (p.labels[later - 1], p.labels[later]), 1)
+            slopes[2] += seen - moved
+            slopes[3] += truth[first].sum(axis=0) - started
+            slope = np.empty((len(p.order), n))
+            slope[p.order] = truth - gamma  # in the order of the texts
+            spread = np.repeat(slope, np.diff(np.append(p.starts, p.grams.shape[1])), axis=0)
+            for k in range(n):
+                for ids in p.words:
+                    slopes[1][:, k] += np.bincount(ids, slope[:, k], len(model.whole)).astype(np.float32)
+                for ids in p.grams:
+                    slopes[0][:, k] += np.bincount(ids, spread[:, k], len(model.grams)).astype(np.float32)
+        for x, g, m, v in zip(weights, slopes, mean, square, strict=True):
+            g /= total**0.5
             g -= 1e-3 * x
             m += 0.3 * (g - m)
             v += 0.05 * (g * g - v)
