@@ -90,6 +90,9 @@ def test_substring(spark):
                 q[rng.randrange(len(q))] = f"X{rng.randrange(3)}"
             x += q + words(rng, rng.randrange(30))
         texts.append(" ".join(x))
+    pair = lambda n: "u v " * n
+    texts += [pair(rng.randrange(10, 90)) + rng.choice(["", texts[k]]) + rng.choice(["", " ", " u ", " w "]) + pair(rng.randrange(60)) for k in range(60)]
+    rng.shuffle(texts)
     rows = list(enumerate(texts + texts[:20] + EDGES))
     rng.shuffle(rows)
     rows.append((5, texts[9]))

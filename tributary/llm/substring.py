@@ -70,11 +70,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
-EDGES = "e long, prev long, next long, d long, th long, idx int"
+EDGES = "e long, prev long, next long, d long, th long, idx int, run int"
 
 
 def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every edge of every row: e, the edges before and after it there, the row's key, and its number there."""
+    """The edges of every row: e, the edges before and after it there, the row's key, its number there, and run: how
+    often it follows itself from there on. So text that repeats a few words over and over gives one row, not many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,45 +88,53 @@ def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 new = np.append(True, rows[1:] != rows[:-1])
                 begin = np.flatnonzero(new)
                 idx = np.arange(len(e)) - np.repeat(begin, np.diff(np.append(begin, len(e))))
+                at = np.flatnonzero(new | np.append(True, e[1:] != e[:-1]))
+                length = np.diff(np.append(at, len(e)))
+                e, rows, new = e[at], rows[at], new[at]
                 last = np.append(new[1:], True)
                 prev, after = np.append(0, e[:-1]), np.append(e[1:], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(prev, mask=new), pa.array(after, mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx.astype(np.int32))], [x.split()[0] for x in EDGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(prev, mask=new), pa.array(after, mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx[at].astype(np.int32)), pa.array(length.astype(np.int32))], [x.split()[0] for x in EDGES.split(", ")])
 
     return common.map_arrow(_keyed(docs), run, EDGES)
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """Occurrences of edges that two or more documents have: with the first document's key and number of it (od,
-    oth, oidx), and whether one and the same edge follows (one_next) and goes before (one_prev) wherever it occurs."""
+    """Occurrences of edges that two or more documents have: with the first document's key, number and run of it (od,
+    oth, oidx, orun), and whether one and the same edge follows (one_next) and goes before (one_prev) wherever it occurs."""
     w = Window.partitionBy("e")
-    first = F.min(F.struct("d", "th", "idx")).over(w)
+    first = F.min(F.struct("d", "th", "idx", "run")).over(w)
     same = lambda c: F.min(c).over(w) == F.max(c).over(w)
     rows = edges.withColumns({"first": first, "last": F.max("d").over(w), "one_next": F.coalesce(same("next"), F.lit(False)), "one_prev": F.coalesce(same("prev"), F.lit(False))})
     rows = rows.filter("last <> first.d")
-    return rows.select("e", "d", "th", "idx", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), "one_next", "one_prev")
+    return rows.select("e", "d", "th", "idx", "run", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), F.col("first.run").alias("orun"), "one_next", "one_prev")
 
 
 def paths(repeated: DataFrame) -> DataFrame:
     """The repeated edges (e) with their nonbranching path: named by the first document's key and the number of the
     path's first edge there (head), and the edge's place in it (step)."""
-    own = repeated.filter("d = od and th = oth and idx = oidx").select("e", "d", "th", "idx", "one_next", "one_prev")
+    own = repeated.filter("d = od and th = oth and idx = oidx").select("e", "d", "th", "idx", "run", "one_next", "one_prev")
     w = Window.partitionBy("d", "th").orderBy("idx")
-    joined = (F.lag("idx").over(w) == F.col("idx") - 1) & F.lag("one_next").over(w) & F.col("one_prev")
+    joined = (F.lag("idx").over(w) + F.lag("run").over(w) == F.col("idx")) & F.lag("one_next").over(w) & F.col("one_prev")
     own = own.withColumn("head", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("idx")))
     head = F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return own.select("e", head.alias("head"), (F.col("idx") - head).alias("step"))
 
 
 def path_spans(repeated: DataFrame) -> DataFrame:
-    """Per row key its spans of repeated edges: an array of (first, last: numbers of edges here; od, oth, oidx: where
-    the span is in the first document that has it)."""
+    """Per row key its spans of repeated edges: an array of (first, last: numbers of edges here; reach: the last edge up
+    to which the first document goes on alike; od, oth, oidx: where the span is in that document)."""
     placed = repeated.join(paths(repeated), "e")
     w = Window.partitionBy("d", "th").orderBy("idx")
-    goes_on = (F.lag("idx").over(w) == F.col("idx") - 1) & (F.lag("step").over(w) == F.col("step") - 1) & (F.lag("od").over(w) == F.col("od")) & (F.lag("oth").over(w) == F.col("oth")) & (F.lag("head").over(w) == F.col("head"))
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (before("idx") + before("run") == F.col("idx")) & (before("run") == before("orun")) & (before("step") + before("orun") == F.col("step"))
+    goes_on = goes_on & (before("od") == F.col("od")) & (before("oth") == F.col("oth")) & (before("head") == F.col("head"))
     placed = placed.dropDuplicates(["d", "th", "idx"]).withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     placed = placed.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = placed.groupBy("d", "th", "span").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.first("od").alias("od"), F.first("oth").alias("oth"), F.min("oidx").alias("oidx"))
-    return spans.groupBy("d", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "od", "oth", "oidx"))).alias("spans"))
+    spans = placed.groupBy("d", "th", "span").agg(
+        F.min("idx").alias("first"), F.max(F.col("idx") + F.col("run") - 1).alias("last"), F.max(F.col("idx") + F.least("run", "orun") - 1).alias("reach"),
+        F.first("od").alias("od"), F.first("oth").alias("oth"), F.min("oidx").alias("oidx"),
+    )
+    return spans.groupBy("d", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "reach", "od", "oth", "oidx"))).alias("spans"))
 
 
 FOUND = "h1 long, h2 long, d long, th long, start int, end int"
@@ -160,10 +169,11 @@ def settle(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame
                         np.add.at(mark, from_[good], 1)
                         np.add.at(mark, to[good], -1)
                         c = chains[-1] if chains else None
-                        if c and c["od"] == s["od"] and c["oth"] == s["oth"] and c["last"] + 1 == s["first"] and c["oidx"] + s["first"] - c["first"] == s["oidx"]:
-                            c["last"], c["end"] = s["last"], int(z[-1])
+                        end = int(z[s["reach"] - s["first"]])
+                        if c and c["od"] == s["od"] and c["oth"] == s["oth"] and c["reach"] + 1 == s["first"] and c["oidx"] + s["first"] - c["first"] == s["oidx"]:
+                            c["reach"], c["end"] = s["reach"], end
                         else:
-                            chains.append({**s, "start": int(a[0]), "end": int(z[-1])})
+                            chains.append({**s, "start": int(a[0]), "end": end})
                     holds = np.cumsum(mark)[:-1] > 0
                     for c in chains:
                         if c["od"] < key[0] and c["end"] - c["start"] >= window:
