@@ -94,83 +94,81 @@ def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Bloc
         yield build([tuple(r) for r in sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window)
 
 
-SPANS = "doc_id long, text string, n_words long, hit_spans array<struct<start:long,end:long,first:long,last:long>>, items array<string>"
+HITS = "_n_words long, _hits array<struct<start:long,end:long,first:long,last:long>>, _items array<string>"
+_HITS = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "first", "last")]))
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of docs with _n_words, _hits (runs of hit words: byte offsets start and end, exclusive, and word
+    numbers first and last) and _items (distinct item_ids found, sorted).
+
+    One block of the benchmark is broadcast at a time. With several, each pass is written to the shared folder and the
+    next one adds to what it found, so neither the driver nor an executor holds more than a block."""
+    out = docs.drop("_n_words", "_hits", "_items")
+    at, plain = out.columns.index("text"), len(out.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", " + HITS
+
+    def passing(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                earlier = [batch.column(i).to_pylist() for i in (plain + 1, plain + 2)] if batch.num_columns > plain else None
+                n_words, spans, names = [], [], []
+                for w in textvec.chunks(batch.column(at), textvec.ALNUM_LOWER):
+                    hit, found = scan(w, shared.value)
+                    for row in range(w.hi - w.lo):
+                        a, z = w.first[row], w.first[row + 1]
+                        mine = {shared.value.items[i] for i in found.get(row, ()) if shared.value.items[i] is not None}
+                        if earlier:
+                            mine.update(earlier[1][w.lo + row])
+                            for r in earlier[0][w.lo + row]:
+                                hit[a + r["first"] : a + r["last"] + 1] = True
+                        runs = []
+                        if hit[a:z].any():
+                            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:z].astype(np.int8), [0]))))
+                            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                                runs.append({"start": int(w.starts[a + x] - w.offsets[row]), "end": int(w.ends[a + y - 1] - w.offsets[row]), "first": x, "last": y - 1})
+                        n_words.append(int(z - a))
+                        spans.append(runs)
+                        names.append(sorted(mine))
+                more = [pa.array(n_words, pa.int64()), pa.array(spans, _HITS), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:plain], *more], [*batch.schema.names[:plain], "_n_words", "_hits", "_items"])
+
+        return run
+
+    last = None
+    for block in blocks(benchmark, window, block_bytes):
+        if last is not None:  # another block follows
+            out = common.stash(out, "benchmark-pass")
+            last.unpersist()
+        last = docs.sparkSession.sparkContext.broadcast(block)
+        out = common.map_arrow(out, passing(last), schema)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs(doc_id, text) with n_words, hit_spans (runs of hit words: byte offsets start and end, exclusive, and
-    word numbers first and last) and items (distinct item_ids found, sorted).
+    """doc_id, text, n_words, hit_spans and items of docs(doc_id, text); see scanned.
 
     Words: A-Z in lower case, runs of ASCII letters and digits and all that is not ASCII. A null text or item has
-    no words; items of equal id count once; repeated documents give repeated rows; an empty benchmark hits nothing.
-    A benchmark beyond block_bytes is scanned for block by block and the findings of a row are joined by row."""
-    docs = common.documents(docs)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, spans, names = [], [], []
-            for w in textvec.chunks(batch.column("text"), textvec.ALNUM_LOWER):
-                hit, items = np.zeros(len(w.starts), dtype=bool), {}
-                for b in shared:
-                    more, which = scan(w, b.value)
-                    hit |= more
-                    for row, numbers in which.items():
-                        items.setdefault(row, set()).update(b.value.items[i] for i in numbers if b.value.items[i] is not None)
-                for row in range(w.hi - w.lo):
-                    a, z = w.first[row], w.first[row + 1]
-                    n_words.append(int(z - a))
-                    names.append(sorted(items.get(row, ())))
-                    runs = []
-                    if row in items or hit[a:z].any():
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:z].astype(np.int8), [0]))))
-                        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                            runs.append({"start": int(w.starts[a + x] - w.offsets[row]), "end": int(w.ends[a + y - 1] - w.offsets[row]), "first": x, "last": y - 1})
-                    spans.append(runs)
-            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "first", "last")]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hit_spans", "items"])
-
-    return common.map_arrow(docs, run, SPANS)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", window: int = WINDOW) -> DataFrame:
+    no words; items of equal id count once; repeated documents give repeated rows; an empty benchmark hits nothing."""
+    found = scanned(common.documents(docs), benchmark, window, block_bytes)
+    return found.select("doc_id", "text", F.col("_n_words").alias("n_words"), F.col("_hits").alias("hit_spans"), F.col("_items").alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without what they share with the benchmark. mode "spans" cuts the hit words out of the texts
     (and what parts them), "documents" drops every document that has a hit; all columns of docs stay."""
     if mode not in ("spans", "documents"):
         raise ValueError(mode)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, window, BLOCK_BYTES)]
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for w in textvec.chunks(batch.column(at), textvec.ALNUM_LOWER):
-                hit = np.zeros(len(w.starts), dtype=bool)
-                for b in shared:
-                    hit |= scan(w, b.value)[0]
-                for row in range(w.hi - w.lo):
-                    a, z = w.first[row], w.first[row + 1]
-                    keep.append(not hit[a:z].any())
-                    if keep[-1]:
-                        texts.append(None)
-                        continue
-                    raw = w.raw[w.offsets[row] : w.offsets[row + 1]].tobytes()
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:z].astype(np.int8), [0]))))
-                    out, last = [], 0
-                    for x, y in zip(edge[::2], edge[1::2], strict=True):
-                        out.append(raw[last : w.starts[a + x] - w.offsets[row]])
-                        last = w.ends[a + y - 1] - w.offsets[row]
-                    out.append(raw[last:])
-                    texts.append(b"".join(out).decode())
-            if mode == "documents":
-                yield batch.filter(pa.array(keep, pa.bool_()))
-            else:
-                old = batch.column(at).cast(pa.string())
-                new = pa.array([o if k else t for o, k, t in zip(old.to_pylist(), keep, texts, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
-
-    return common.map_arrow(docs, run, docs.schema)
+    found = scanned(docs, benchmark, window, block_bytes)
+    if mode == "documents":
+        return found.filter(F.size("_hits") == 0).select(*docs.columns)
+    # Hits are in order and apart; what stands between them is kept, by bytes.
+    raw = F.col("text").cast("string").cast("binary")
+    n = F.size("_hits")
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("_hits", i - 1)["end"])
+    end = lambda i: F.when(i < n, F.get("_hits", i)["start"]).otherwise(F.octet_length(raw))
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(raw, (start(i) + 1).cast("int"), (end(i) - start(i)).cast("int")).cast("string"))
+    return found.withColumn("text", F.when(n > 0, F.array_join(kept, "")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
