@@ -14,7 +14,8 @@ from tributary.llm import common, textvec
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
-KEEP_SHARE = 0.5
+#: Share of all texts that a sample has by default: about that of good texts among labelled ones.
+KEEP_SHARE = 0.8
 #: Target texts that the target model is fitted on, about at most: those of the smallest hashes of their ids. Their ids
 #: are broadcast, so texts are not shuffled; the model of raw text is of all texts.
 TARGET_ROWS = 20_000
