@@ -184,6 +184,18 @@ def test_pii_trees_add_every_kind(spark):
         assert pii.all_spans(text, model) == [], text
 
 
+def test_pii_secrets_of_any_length(spark):
+    rng = random.Random(13)
+    sign = lambda n: "".join(rng.choice("ABCxyz0123456789_-") for _ in range(n - 1)) + "7"
+    model = pii.train(frame(spark, [(i, f'so token = "{sign(40)}" there') for i in range(60)]))
+    for n in (20, 40, 256, 257, 342, 5000):
+        text = f"an api_key={sign(n)} end"
+        assert pii.redact_text(text, pii.all_spans(text, model)) == "an api_key=<SECRET> end", n
+    text = f"bearer eyJ{sign(33)}.eyJ{sign(200)}.{sign(342)} end"
+    assert pii.redact_text(text, pii.all_spans(text, model)) == "bearer <SECRET> end"
+    assert pii.proposals("a" * 300_000 + " @") == []  # linear time
+
+
 def test_language(spark):
     rng = random.Random(4)
     kinds = {"aa": ["ka", "lo", "mi"], "bb": ["ser", "ton", "vix"]}
