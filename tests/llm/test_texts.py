@@ -216,6 +216,20 @@ def test_language(spark):
     assert langid.identify(docs, langid.train(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_learned_at_every_size(spark):
+    rng = random.Random(14)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["ser", "ton", "vix"], "cc": ["uq", "jey", "wop"]}
+    text = lambda k: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(9, 30)))
+    often = [(4 * i, text("aa"), "aa") for i in range(6000)]
+    rare = [(4 * i, text(k), k) for i in range(6000, 6004) for k in ("bb", "cc")]
+    same = [(4 * i, "one text only", "dd") for i in range(7000, 9000)]
+    docs = spark.createDataFrame([*often, *rare, *same], "doc_id long, text string, lang string")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    got = langid.identify(docs.filter("lang in ('bb', 'cc')"), model).collect()
+    assert len(got) == 8 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_quality_sample_is_exact(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(words(rng, rng.randrange(30), 5 if i % 2 else 300))) for i in range(300)] + [(400, None), (401, "")]

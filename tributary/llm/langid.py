@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tributary.llm import common, textvec
 
-#: Labelled texts that the model is fitted on, about at most: those of the smallest hashes.
+#: Labelled texts that the model is fitted on, about: an equal number of each language, those of the smallest hashes.
 FIT_ROWS = 1000
+#: Of each language at least about so many, or all it has; with more than FIT_ROWS / LEAST_ROWS languages the sample is larger.
+LEAST_ROWS = 25
+_HASHES = 1 << 40
 BUCKETS = 1 << 16
 ROUNDS, RATE = 14, 0.2
 UNKNOWN = "und"
@@ -206,11 +209,16 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 11
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most about fit_rows rows with a lang that aren't held out, picked by a hash of text and lang."""
+    """Fit on about fit_rows different texts with a lang that aren't held out, about as many of each language, picked by
+    a hash of text and lang. Every language of such a text is in the sample, however rare it is."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    n = rows.select(F.lit(1)).count()
-    part = min(1.0, fit_rows / max(1, n))
-    some = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(np.ceil(1_000_000 * part))).select("text", F.col("lang").cast("string")).limit(2 * fit_rows)
+    rows = rows.select("text", F.col("lang").cast("string").alias("lang")).withColumn("_h", F.pmod(F.xxhash64("text", "lang"), F.lit(_HASHES)))
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n"), F.min("_h").alias("least")).collect()
+    each = max(LEAST_ROWS, fit_rows // max(1, len(langs)))
+    if not langs:
+        return fit([], [])
+    below = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], max(r["least"] + 1, _HASHES if r["n"] <= each else _HASHES * each // r["n"]))])
+    some = rows.filter(F.col("_h") < F.element_at(below, F.col("lang"))).dropDuplicates(["lang", "_h"]).select("text", "lang")
     got = sorted((t, x) for t, x in some.collect())
     return fit([t for t, _ in got], [x for _, x in got])
 
