@@ -34,6 +34,23 @@ def test_query(spark, con, name):
         assert got == sorted([tuple(value(r[names.index(c)]) for c in columns) for r in q.fetchall()], key=str)
 
 
+def against_sql(spark, path, names):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    for name in names:
+        df = QUERIES[name](spark, str(path))
+        q = c.execute(ORACLES[name])
+        columns = [d[0] for d in q.description]
+        assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(q.fetchall(), key=str), name
+
+
+def test_search_counts_all_lines(spark, tmp_path):
+    """More lines than a page may show, the last of them at the end of both texts."""
+    long = "".join(f"License {k}\n" for k in range(5200))
+    spark.createDataFrame([(1, long, "s"), (2, "other\n" + long, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    against_sql(spark, tmp_path, ["search_diff"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

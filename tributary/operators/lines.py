@@ -104,10 +104,10 @@ def diff_meta(ops: DataFrame, pair: str = "pair_id") -> DataFrame:
     return ops.groupBy(pair).agg(*[tag(t) for t in ("equal", "replace", "insert", "delete")], F.sum(span).cast("long").alias("n_rows"), F.max("i2").cast("long").alias("left_lines"), F.max("j2").cast("long").alias("right_lines"))
 
 
-def search_diff(ops: DataFrame, left: DataFrame, right: DataFrame, query: str, case_sensitive: bool = False, limit: int = 500, pair: str = "pair_id") -> DataFrame:
-    """(pair, row, side, line_no, line) of lines that hold query, the first `limit` of each pair by row and side. An
-    empty query finds nothing. Lines meet their run by pair and a range, not by a range alone."""
-    if not 1 <= limit <= MAX_WINDOW:
+def search_diff(ops: DataFrame, left: DataFrame, right: DataFrame, query: str, case_sensitive: bool = False, limit: int | None = 500, pair: str = "pair_id") -> DataFrame:
+    """(pair, row, side, line_no, line) of lines that hold query, the first `limit` of each pair by row and side, or
+    all of them for None. An empty query finds nothing. Lines meet their run by pair and a range, not by a range alone."""
+    if limit is not None and not 1 <= limit <= MAX_WINDOW:
         raise ValueError(f"limit {limit}")
     found = []
     for side, rows, lo, hi in (("left", left, "i1", "i2"), ("right", right, "j1", "j2")):
@@ -115,8 +115,11 @@ def search_diff(ops: DataFrame, left: DataFrame, right: DataFrame, query: str, c
         hits = rows.filter(line.contains(query if case_sensitive else query.lower()) & F.lit(bool(query)))
         placed = hits.join(ops.select(pair, "row_start", F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), pair).filter("line_no >= _lo and line_no < _hi")
         found.append(placed.select(pair, (F.col("row_start") + F.col("line_no") - F.col("_lo")).alias("row"), F.lit(side).alias("side"), "line_no", "line"))
+    every = found[0].unionByName(found[1])
+    if limit is None:
+        return every
     nth = F.row_number().over(Window.partitionBy(pair).orderBy("row", "side"))
-    return found[0].unionByName(found[1]).withColumn("_n", nth).filter(F.col("_n") <= limit).drop("_n")
+    return every.withColumn("_n", nth).filter(F.col("_n") <= limit).drop("_n")
 
 
 def changed_line_counts(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:

@@ -483,7 +483,7 @@ def diff_sizes(spark, sf_dir):
 @query(_PAIRS + "SELECT pair_id, side, count(*) AS n FROM (SELECT pair_id, 'left' AS side, line FROM l UNION ALL SELECT pair_id, 'right', line FROM r) WHERE lower(line) LIKE '%license%' GROUP BY 1, 2")
 def search_diff(spark, sf_dir):
     a, b = _pairs(spark, sf_dir)
-    return lines.search_diff(lines.opcodes(a, b), a, b, "License", limit=5000).groupBy("pair_id", "side").agg(F.count(F.lit(1)).alias("n"))
+    return lines.search_diff(lines.opcodes(a, b), a, b, "License", limit=None).groupBy("pair_id", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(TEXTS + """, m AS (SELECT identity_key, arg_min(doc_id, row(input_index, doc_id)) AS v FROM e GROUP BY 1), s AS (SELECT source, identity_key, min(doc_id) AS v FROM e GROUP BY 1, 2)
