@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tributary.plans import queries
 from tributary.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,18 @@ def test_search_counts_all_lines(spark, tmp_path):
     against_sql(spark, tmp_path, ["search_diff"])
 
 
+def test_reports_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
+    rows = [(k, f"some text\nof number {k % 90}", "hot" if k % 3 else f"s{k % 2}") for k in range(900)] + [(900, "", "hot"), (901, None, "hot")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, texts = [], queries._texts
+    monkeypatch.setattr(queries, "_texts", lambda rendered: texts(seen.append(rendered) or rendered))
+    against_sql(spark, tmp_path, names := ["notice_roundtrip", "dep5_roundtrip", "tagvalue_roundtrip", "clixml_roundtrip"])
+    assert len(seen) == len(names)
+    for rendered in seen:
+        reports = [r["text"].count("some text") for r in rendered.collect()]
+        assert sum(reports) == 900 and 1 < max(reports) <= queries.REPORT_DOCS
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

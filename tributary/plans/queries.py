@@ -292,15 +292,21 @@ def text_functions(spark, sf_dir):
 # --- formats: rendered from a table and parsed back --------------------------------------------------------------
 
 
+#: Documents of a source in one report, at most; a source may hold a large share of all documents.
+REPORT_DOCS = 64
+
+
 def _texts(rendered: DataFrame) -> DataFrame:
     return rendered.select("set_id", F.lit(0).alias("input_index"), F.lit("in").alias("source_id"), "text")
 
 
 def _bodies(spark, sf_dir: str) -> DataFrame:
-    """Documents as blocks: texts without blank ends, line ends only as LF, no line that looks like a separator."""
+    """Documents as blocks: texts without blank ends, line ends only as LF, no line that looks like a separator. A set is
+    a source and up to REPORT_DOCS documents of it, those whose numbers follow each other."""
     d = _t(spark, sf_dir, "documents").filter("text is not null")
     body = F.trim(fx.norm_text(F.regexp_replace("text", r"\n\s*", "\n")))
-    return d.select(F.col("source").alias("set_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("x"), body).alias("text"))
+    part = F.coalesce(F.floor(F.col("doc_id") / REPORT_DOCS), F.xxhash64("text")).alias("part")
+    return d.select(F.struct("source", part).alias("set_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("x"), body).alias("text"))
 
 
 _BODY = r"SELECT source AS set_id, 'n' || doc_id AS name, md5('x' || trim(regexp_replace(regexp_replace(text, '\n\s*', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'))) AS text_md5 FROM documents WHERE text IS NOT NULL"
@@ -309,18 +315,18 @@ _BODY = r"SELECT source AS set_id, 'n' || doc_id AS name, md5('x' || trim(regexp
 @query(_BODY)
 def notice_roundtrip(spark, sf_dir):
     b = _bodies(spark, sf_dir)
-    h = b.select("set_id").distinct().withColumn("package_name", F.col("set_id"))
+    h = b.select("set_id").distinct().withColumn("package_name", F.col("set_id.source"))
     out = formats.entries_from_notice(_texts(formats.render_notice(h, b.withColumn("section", F.lit("MAIN LICENSES")))))
-    return out.select("set_id", "name", F.md5("text").alias("text_md5"))
+    return out.select(F.col("set_id.source").alias("set_id"), "name", F.md5("text").alias("text_md5"))
 
 
 @query(_BODY)
 def dep5_roundtrip(spark, sf_dir):
     b = _bodies(spark, sf_dir)
-    h = b.select("set_id").distinct().select("set_id", F.lit(reports.DEBIAN_HEAD + "1.0/").alias("Format"), F.col("set_id").alias("Upstream-Name"), F.lit(None).cast("string").alias("Disclaimer"), F.lit(None).cast("string").alias("Comment"))
+    h = b.select("set_id").distinct().select("set_id", F.lit(reports.DEBIAN_HEAD + "1.0/").alias("Format"), F.col("set_id.source").alias("Upstream-Name"), F.lit(None).cast("string").alias("Disclaimer"), F.lit(None).cast("string").alias("Comment"))
     none = F.lit(None).cast("string")
     e = b.select("set_id", "ord", F.lit("license_text").alias("kind"), F.array().cast("array<string>").alias("files"), none.alias("copyright"), none.alias("license"), none.alias("comment"), "name", "text")
-    return formats.entries_from_dep5(_texts(formats.render_dep5(h, e))).select("set_id", "name", F.md5("text").alias("text_md5"))
+    return formats.entries_from_dep5(_texts(formats.render_dep5(h, e))).select(F.col("set_id.source").alias("set_id"), "name", F.md5("text").alias("text_md5"))
 
 
 @query(_BODY)
@@ -330,16 +336,16 @@ def tagvalue_roundtrip(spark, sf_dir):
     d = b.select("set_id").distinct().select("set_id", F.array(F.struct(F.lit("SPDXVersion").alias("tag"), F.lit("SPDX-2.3").alias("value"))).alias("tags"))
     r = d.select("set_id", F.lit("SPDXRef-DOCUMENT").alias("src"), F.lit("DESCRIBES").alias("type"), F.lit("SPDXRef-p").alias("dst"))
     out = formats.entries_from_tagvalue(_texts(formats.render_tagvalue(d, r, e)))
-    return out.select("set_id", F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"))
+    return out.select(F.col("set_id.source").alias("set_id"), F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"))
 
 
 @query(_BODY)
 def clixml_roundtrip(spark, sf_dir):
     b = _bodies(spark, sf_dir)
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    e = b.select("set_id", F.col("ord").alias("entry_ord"), F.lit("license_text").alias("kind"), F.lit("License").alias("section"), F.sha1("set_id").alias("component"), "name", none.alias("type"), F.col("text").alias("content"), none.alias("acknowledgements"), empty.alias("files"), empty.alias("hashes"), none.alias("topic"), empty.alias("licenses"))
+    e = b.select("set_id", F.col("ord").alias("entry_ord"), F.lit("license_text").alias("kind"), F.lit("License").alias("section"), F.sha1("set_id.source").alias("component"), "name", none.alias("type"), F.col("text").alias("content"), none.alias("acknowledgements"), empty.alias("files"), empty.alias("hashes"), none.alias("topic"), empty.alias("licenses"))
     out = formats.entries_from_clixml(_texts(formats.render_clixml(formats.regroup_components(e))))
-    return out.filter("section = 'License'").select("set_id", "name", F.md5(F.col("content")).alias("text_md5"))
+    return out.filter("section = 'License'").select(F.col("set_id.source").alias("set_id"), "name", F.md5(F.col("content")).alias("text_md5"))
 
 
 @query("SELECT p_brand AS set_id, p_name AS name, md5(p_name || p_partkey) AS identity_key, p_type AS license FROM part")
