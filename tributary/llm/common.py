@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of a batch that Spark hands to Python at once, so that long texts stay within memory.
 BATCH_ROWS = 1000
 _own: dict = {}
+_kept: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +46,44 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def free(*stashed: DataFrame) -> None:
+    """Remove tables of `stash` that no later step reads."""
+    for df in stashed:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stashed)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(owner: str) -> dict:
+    """What this worker keeps from one task to the next for a module's functions."""
+    return _kept.setdefault(owner, {})
+
+
+def release(owner: str) -> None:
+    """Give back what the worker has kept for modules other than owner: Spark runs other stages in the same workers."""
+    others = [k for k in _kept if k != owner]
+    if others:
+        for k in others:
+            del _kept[k]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with batches of BATCH_ROWS at most."""
+    owner = function.__module__
+
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
+
         def cut():
             for b in batches:
                 for at in range(0, b.num_rows, BATCH_ROWS):

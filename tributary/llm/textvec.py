@@ -1,10 +1,11 @@
 """Words and word windows of many texts at once, as numpy arrays over UTF-8 bytes.
 
-A word's hash is a polynomial over its bytes, a window's one over the hashes of its words; both come
-from prefix sums modulo 2**64, so one pass gives every window of a whole batch."""
+A word's hash mixes its bytes eight at a time; a window's one mixes the hashes of its two halves, and theirs of theirs,
+so no regular pattern of letters or words cancels out. One pass gives every window of a whole batch."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LEFT, _ENDS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = (0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def byte_table(is_word, lower: bool = False) -> np.ndarray:
@@ -32,22 +36,6 @@ BLANK_SEPARATED_LOWER = byte_table(lambda b: not (b == 32 or 9 <= b <= 13), lowe
 ALNUM_LOWER = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, lower=True)
 
 
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        base = _BASES[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                out.append(np.multiply.accumulate(p))
-        have = _powers[which] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values."""
     with np.errstate(over="ignore"):
@@ -77,25 +65,45 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes (which hold no 0 that matters)."""
-    p, inverse = powers(len(data) + 1, 0)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(data * p[: len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * _LEFT)
+    live = np.flatnonzero(size <= _LONG_WORD)
+    for at in range(0, _LONG_WORD, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def window_hashes(h: np.ndarray, length, at: np.ndarray | None = None, which: int = 1) -> np.ndarray:
-    """Hash of `length` values from each place in `at` (all places by default)."""
-    n = len(h)
+    """Hash of `length` values (one number, or one for each place) from each place in `at` (all places by default)."""
     if at is None:
-        at = np.arange(max(0, n - length + 1))
-    p, inverse = powers(n + 1, which)
+        at = np.arange(max(0, len(h) - length + 1))
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = np.full(len(at), length, dtype=np.int64) if np.isscalar(length) else np.asarray(length, dtype=np.int64)
+    shortest, longest = int(lengths.min()), int(lengths.max())
+    out = np.empty(len(at), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(h * p[:n], out=total[1:])
-        return mix((total[at + length] - total[at]) * inverse[at] + np.uint64(which))
+        level, width = mix(h + np.uint64(_SEEDS[which])), 1  # level[i]: hash of `width` values from i
+        while width <= longest:
+            if shortest < 2 * width:
+                # Two spans of this width cover a window of up to twice as many values.
+                here = slice(None) if longest < 2 * width and shortest >= width else np.flatnonzero((lengths >= width) & (lengths < 2 * width))
+                a, n = at[here], lengths[here]
+                out[here] = mix(level[a] * _ENDS + level[a + n - width] + n.astype(np.uint64))
+            if 2 * width > longest:
+                break
+            level = mix(level[:-width] * _LEFT + level[width:])
+            width *= 2
+    return out
 
 
 def chunks(texts: pa.Array, table: np.ndarray) -> Iterator[Words]:
