@@ -21,7 +21,9 @@ def connected(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
         step = step.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component"))
-        step = common.stash(step, "labels")
-        labels = step.select("node", "component")
+        last, step = labels, common.stash(step, "labels")
+        common.free(last)
         if step.filter("old <> component").isEmpty():
-            return labels
+            common.free(edges)
+            return step.drop("old")
+        labels = step

@@ -239,45 +239,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("shared"), F.size("_a").alias("n_a"), F.size("_b").alias("n_b"))
 
 
-def jaccard_links(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between fingerprints that join the same components as all pairs of linked sets do.
+#: Rounds in which each set of an open bucket meets one pivot, before the rest meets in tiles.
+ROUNDS = 2
 
-    A bucket's pivot is its set with the most shared signatures, the likely original of a group of copies; so the
-    buckets of a group have few pivots between them. Each set is compared with its pivots first. What that leaves
-    apart is compared with all that have the same pivot, in tiles of bounded size."""
+
+def jaccard_groups(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, component) of all fingerprints that link with another: the components that all linked pairs make.
+
+    A bucket's pivot is its set with the most shared signatures, the likely original of a group of copies. In a round
+    each set meets one pivot, the heaviest of its buckets, so a group of n copies costs n comparisons; sets that link
+    become one component, and buckets that hold a single component are done. What is open after ROUNDS meets all that
+    have the same pivot, in tiles of bounded size."""
     buckets = common.stash(shared_buckets(signature_rows(docs, shingle)), "buckets")
     band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
     enough = buckets.groupBy("f", band).agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= _needed(F.col("band")))
     live = common.stash(buckets.withColumn("band", band).join(enough, ["f", "band"]).select("sig", "f", "weight"), "live-buckets")
-    heaviest = F.max_by("f", F.struct("weight", "f")).alias("pivot")
-    pivots = live.groupBy("sig").agg(heaviest, F.min("f").alias("_lo"), F.max("f").alias("_hi")).filter("_lo <> _hi").select("sig", "pivot")
-    stars = common.stash(live.select("sig", "f").join(pivots, "sig").filter("f <> pivot").select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("f")).distinct()
-    sets = common.stash(sets_of(docs, ids, wanted, shingle), "shingle-sets")
+    heaviest = F.max(F.struct("weight", "f")).alias("top")
+    pivots = live.groupBy("sig").agg(heaviest, F.min("f").alias("_lo"), F.max("f").alias("_hi")).filter("_lo <> _hi").select("sig", F.col("top.weight").alias("weight"), F.col("top.f").alias("pivot"))
+    members = common.stash(live.select("sig", "f").join(pivots, "sig").select("sig", "f", "weight", "pivot"), "bucket-members")
+    sets = common.stash(sets_of(docs, ids, members.select("f").distinct(), shingle), "shingle-sets")
+    common.free(buckets, live)
     linked = F.col("shared") * DEN >= NUM * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    links = common.stash(verified(stars, sets).filter(linked).select("a", "b"), "star-links")
-    groups = components.connected(links)
-    more = tile_links(stars, sets, groups)
-    return links if more is None else links.unionByName(more)
+    rest, links, tried = members.filter("f <> pivot"), None, None
+    for _ in range(ROUNDS):
+        stars = rest.select("f", "weight", "pivot").distinct()
+        if tried is not None:
+            stars = stars.join(tried.select(F.col("b").alias("f"), F.col("a").alias("pivot")), ["f", "pivot"], "left_anti")
+        tried = common.stash(stars.groupBy("f").agg(F.max(F.struct("weight", "pivot")).alias("top")).select(F.col("top.pivot").alias("a"), F.col("f").alias("b")), "stars")
+        found = verified(tried, sets).filter(linked).select("a", "b")
+        links = common.stash(found if links is None else found.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))), "star-links")
+        groups = components.connected(links)
+        members, done = open_members(members, groups), members
+        common.free(done)
+        if members.isEmpty():
+            return groups
+        rest = members.filter("apart")
+    more = tile_links(members, sets)
+    return components.connected(more.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+
+
+def open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members(sig, f, weight, pivot) of buckets whose sets are not all of one component yet, with apart: whether
+    a set is of another component than its bucket's pivot."""
+    label = groups.select(F.col("node").alias("f"), F.col("component").alias("c"))
+    rows = members.select("sig", "f", "weight", "pivot").join(label, "f", "left").withColumn("c", F.coalesce("c", "f"))
+    # A pivot is a member of its own bucket: the component of the bucket's one row with f = pivot is the pivot's.
+    rows = common.stash(rows, "labelled-members")
+    state = rows.groupBy("sig").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(F.when(F.col("f") == F.col("pivot"), F.col("c"))).alias("pc")).filter("_lo <> _hi")
+    out = common.stash(rows.join(state, "sig").select("sig", "f", "weight", "pivot", (F.col("c") != F.col("pc")).alias("apart")), "open-members")
+    common.free(rows)
+    return out
 
 
 #: Sets on either side of a tile, at most about: those apart from their pivot, and all of the pivot's.
-TILE_APART, TILE_ALL = 1000, 2000
+TILE_APART, TILE_ALL = 500, 1000
 _FEATURES = 2048
 
 
-def tile_links(stars: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Links among sets of one pivot of which at least one is in another component than the pivot; None if there are
-    none such. Sets of a bucket have one pivot, so no pair of a bucket is left out. A pivot's sets are dealt by a hash
-    into tiles; a tile counts what all pairs share by products of 0/1 matrices and emits only links that join
-    something, so what is emitted grows with the sets, not with their pairs."""
-    label = groups.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    rows = stars.join(label.withColumnsRenamed({"_n": "a", "_c": "ca"}), "a", "left").join(label.withColumnsRenamed({"_n": "b", "_c": "cb"}), "b", "left")
-    rows = rows.select("a", "b", (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
-    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("u")).filter("u > 0 and n > 1")
+def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among sets of open buckets of one pivot, of which at least one is of another component than the pivot.
+    Sets of a bucket have one pivot, so no pair of a bucket is left out. A pivot's sets are dealt by a hash into tiles;
+    a tile counts what all pairs share by products of 0/1 matrices and emits only links that join something, so what
+    is emitted grows with the sets, not with their pairs."""
+    rows = members.groupBy(F.col("pivot").alias("a"), F.col("f").alias("b")).agg(F.bool_or("apart").alias("apart"))
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("u")).filter("u > 0")
     rows = common.stash(rows.join(sizes, "a"), "apart-sets")
-    if rows.isEmpty():
-        return None
     across, down = F.ceil(F.col("u") / TILE_APART).cast("int"), F.ceil(F.col("n") / TILE_ALL).cast("int")
     h = F.xxhash64("b")
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -340,7 +366,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     sets (null or blank texts) link with nothing and are their own component; null ids are never a component's id
     unless all its rows have none. Repeated rows are kept; extra columns are ignored; an empty table gives an empty one."""
     ids = common.stash(identities(docs, shingle), "set-ids")
-    groups = components.connected(jaccard_links(docs, ids, shingle))
+    groups = jaccard_groups(docs, ids, shingle)
     placed = ids.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     placed = common.stash(placed.select("doc_id", "th", "n_shingles", "component"), "set-classes")
     least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
