@@ -2,9 +2,10 @@
 
 Nodes are token k-mers picked as window minima (so any two copies of a passage pick the same ones inside it); an
 edge is the run of words from one picked k-mer to the next. Edges that several documents have are the repeated part
-of the graph. Repeated edges that follow each other without a branch compact into paths, named by their place in the
-first document that has them; what a path covers elsewhere is a copy, span for span. What lies beside or across
-paths is settled by the words themselves: hashes of all windows there, compared by window."""
+of the graph. Those that follow each other wherever they occur compact into nonbranching paths, named by their place in
+the first document that has them; windows of words inside a path are settled by that document alone. Where documents
+go along one document's edges from path to path, span for span, their windows are copies of that document's. Only
+windows that cross a branch otherwise, and whose sure edges are all repeated, are compared as windows."""
 
 from __future__ import annotations
 
@@ -52,6 +53,18 @@ def picked(h: np.ndarray, rows: np.ndarray, k: int, pick: int) -> np.ndarray:
     return np.flatnonzero((_slide(padded, pick, np.maximum) == kh) & (kh != 0))
 
 
+def sure_picks(h: np.ndarray, k: int, pick: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of words the places of the first and the last k-mer in it that are picked for what is inside it:
+    the leftmost least of its first picking window, the rightmost least of its last. All picks from the one to the
+    other are picked in every text that has these words; those beside them may hang on what stands around."""
+    kh = textvec.window_hashes(h, k)
+    at = np.arange(len(kh))
+    left = _slide(at, pick, lambda a, b: np.where(kh[b] < kh[a], b, a))
+    right = _slide(at, pick, lambda a, b: np.where(kh[b] <= kh[a], b, a))
+    last = window - k + 1 - pick
+    return left[: max(0, len(left) - last)], right[last:]
+
+
 def edges_of(w: textvec.Words, window: int) -> tuple:
     """Hashes, first words, ends (exclusive) and rows of the edges of a chunk, and hashes of its words."""
     k, pick = parameters(window)
@@ -70,12 +83,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
-EDGES = "e long, prev long, next long, d long, th long, idx int, run int"
+EDGES = "e long, next long, d long, th long, idx int, run int"
 
 
 def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The edges of every row: e, the edges before and after it there, the row's key, its number there, and run: how
-    often it follows itself from there on. So text that repeats a few words over and over gives one row, not many."""
+    """The edges of every row: e, the edge after it there, the row's key, its number there, and run: how often it
+    follows itself from there on. So text that repeats a few words over and over gives one row, not many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,62 +105,68 @@ def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 length = np.diff(np.append(at, len(e)))
                 e, rows, new = e[at], rows[at], new[at]
                 last = np.append(new[1:], True)
-                prev, after = np.append(0, e[:-1]), np.append(e[1:], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(prev, mask=new), pa.array(after, mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx[at].astype(np.int32)), pa.array(length.astype(np.int32))], [x.split()[0] for x in EDGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.append(e[1:], 0), mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx[at].astype(np.int32)), pa.array(length.astype(np.int32))], [x.split()[0] for x in EDGES.split(", ")])
 
     return common.map_arrow(_keyed(docs), run, EDGES)
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """Occurrences of edges that two or more documents have: with the first document's key, number and run of it (od,
-    oth, oidx, orun), and whether one and the same edge follows (one_next) and goes before (one_prev) wherever it occurs."""
-    w = Window.partitionBy("e")
-    first = F.min(F.struct("d", "th", "idx", "run")).over(w)
-    same = lambda c: F.min(c).over(w) == F.max(c).over(w)
-    rows = edges.withColumns({"first": first, "last": F.max("d").over(w), "one_next": F.coalesce(same("next"), F.lit(False)), "one_prev": F.coalesce(same("prev"), F.lit(False))})
-    rows = rows.filter("last <> first.d")
-    return rows.select("e", "d", "th", "idx", "run", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), F.col("first.run").alias("orun"), "one_next", "one_prev")
+    """Occurrences of the edges that two or more documents have. Which these are is counted by sums that are combined
+    before they are shuffled; a join, which Spark splits where an edge is in very many documents, finds their rows."""
+    repeated = edges.groupBy("e").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi")).filter("_lo <> _hi").select("e")
+    return edges.join(repeated, "e")
 
 
 def paths(repeated: DataFrame) -> DataFrame:
-    """The repeated edges (e) with their nonbranching path: named by the first document's key and the number of the
-    path's first edge there (head), and the edge's place in it (step)."""
-    own = repeated.filter("d = od and th = oth and idx = oidx").select("e", "d", "th", "idx", "run", "one_next", "one_prev")
-    w = Window.partitionBy("d", "th").orderBy("idx")
-    joined = (F.lag("idx").over(w) + F.lag("run").over(w) == F.col("idx")) & F.lag("one_next").over(w) & F.col("one_prev")
-    own = own.withColumn("head", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("idx")))
+    """The repeated edges (e) with their place in the first document that has them (od, oth, oidx, orun: its key, the
+    edge's number and run there), the number of the first edge of their nonbranching path there (head), and plain:
+    whether the edge never follows itself.
+
+    An edge goes on in its path if one and the same edge follows wherever it occurs, and that one occurs as often: so
+    neither occurs without the other, and all documents that have one edge of a path have all of it."""
+    edges = repeated.groupBy("e").agg(
+        F.min(F.struct("d", "th", "idx", "run")).alias("first"), F.count(F.lit(1)).alias("n"), F.count("next").alias("followed"), F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("run").alias("most"),
+    )
+    plain = (F.col("most") == 1).alias("plain")
+    only = F.when((F.col("n") == F.col("followed")) & (F.col("lo") == F.col("hi")) & (F.col("most") == 1), F.col("lo")).alias("only")
+    own = edges.select("e", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), F.col("first.run").alias("orun"), plain, "n", only)
+    w = Window.partitionBy("od", "oth").orderBy("oidx")
+    joined = F.col("plain") & (F.lag("only").over(w) == F.col("e")) & (F.lag("n").over(w) == F.col("n"))
+    own = own.withColumn("head", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("oidx")))
     head = F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.select("e", head.alias("head"), (F.col("idx") - head).alias("step"))
+    return own.select("e", "od", "oth", "oidx", "orun", "plain", head.alias("head"))
 
 
 def path_spans(repeated: DataFrame) -> DataFrame:
-    """Per row key its spans of repeated edges: an array of (first, last: numbers of edges here; reach: the last edge up
-    to which the first document goes on alike; od, oth, oidx: where the span is in that document)."""
-    placed = repeated.join(paths(repeated), "e")
+    """Per row key its spans along one path: an array of (first, last: numbers of edges here; reach: the last edge up
+    to which the first document goes on alike; od, oth, oidx: where the span is in that document; plain)."""
+    placed = repeated.select("e", "d", "th", "idx", "run").join(paths(repeated), "e")
     w = Window.partitionBy("d", "th").orderBy("idx")
     before = lambda c: F.lag(c).over(w)
-    goes_on = (before("idx") + before("run") == F.col("idx")) & (before("run") == before("orun")) & (before("step") + before("orun") == F.col("step"))
+    goes_on = (before("idx") + before("run") == F.col("idx")) & (before("run") == before("orun")) & (before("oidx") + before("orun") == F.col("oidx"))
     goes_on = goes_on & (before("od") == F.col("od")) & (before("oth") == F.col("oth")) & (before("head") == F.col("head"))
     placed = placed.dropDuplicates(["d", "th", "idx"]).withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     placed = placed.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = placed.groupBy("d", "th", "span").agg(
         F.min("idx").alias("first"), F.max(F.col("idx") + F.col("run") - 1).alias("last"), F.max(F.col("idx") + F.least("run", "orun") - 1).alias("reach"),
-        F.first("od").alias("od"), F.first("oth").alias("oth"), F.min("oidx").alias("oidx"),
+        F.first("od").alias("od"), F.first("oth").alias("oth"), F.min("oidx").alias("oidx"), F.bool_and("plain").alias("plain"),
     )
-    return spans.groupBy("d", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "reach", "od", "oth", "oidx"))).alias("spans"))
+    return spans.groupBy("d", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "reach", "od", "oth", "oidx", "plain"))).alias("spans"))
 
 
 FOUND = "h1 long, h2 long, d long, th long, start int, end int"
 
 
 def settle(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For rows that have spans: ranges of words that are copies (start, end; h1 is of no meaning), and the windows
-    that are still open (h1 and h2: 128 bits of hash; start; end null).
+    """For rows that have spans: ranges of words that are copies (start, end; no hashes), and the windows that are
+    still open (h1 and h2: 128 bits of hash; start; end null).
 
     Spans that follow each other here as they do in the first document make one range; windows inside it are copies
-    of that document's if its id is smaller. Every other window that holds a repeated edge is open: it, and its equal
-    in the smallest document, are both in the result, for a copy always holds an edge that both pick."""
+    of that document's if its id is smaller. Windows inside one plain path need nothing else: whatever has them has
+    the path, so its first document is their first. Every other window is open whose edges between sure picks are
+    all repeated: it, and its equal in the smallest document, are both in the result, for both have these edges."""
     rows = _keyed(docs).join(spans, ["d", "th"]).select("d", "th", "text", "spans")
+    k, pick = parameters(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,37 +174,40 @@ def settle(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame
             for w in textvec.chunks(batch.column(2), textvec.BLANK_SEPARATED):
                 _, starts, ends, rows, h = edges_of(w, window)
                 begin = np.searchsorted(rows, np.arange(w.hi - w.lo + 1))
+                sure = sure_picks(h, k, pick, window)
                 open_at, copies = [], []
                 for row in range(w.hi - w.lo):
-                    lo, n = w.first[row], w.first[row + 1] - w.first[row]
+                    lo, n = w.first[row], int(w.first[row + 1] - w.first[row])
                     key = (d[w.lo + row], th[w.lo + row])
-                    mark = np.zeros(max(1, n - window + 2), dtype=np.int32)
+                    a, z = (x[begin[row] : begin[row + 1]] - lo for x in (starts, ends))
+                    alone = np.ones(len(a), dtype=bool)
                     chains: list = []
+                    maybe = np.ones(max(0, n - window + 1), dtype=bool)
                     for s in lists[w.lo + row]:
-                        a = starts[begin[row] + s["first"] : begin[row] + s["last"] + 1] - lo
-                        z = ends[begin[row] + s["first"] : begin[row] + s["last"] + 1] - lo
-                        from_, to = np.maximum(0, z - window), np.minimum(a, n - window) + 1
-                        good = to > from_
-                        np.add.at(mark, from_[good], 1)
-                        np.add.at(mark, to[good], -1)
+                        alone[s["first"] : s["last"] + 1] = False
+                        start, end = int(a[s["first"]]), int(z[s["reach"]])
+                        if s["plain"]:
+                            maybe[start : max(start, end - window + 1)] = False
                         c = chains[-1] if chains else None
-                        end = int(z[s["reach"] - s["first"]])
                         if c and c["od"] == s["od"] and c["oth"] == s["oth"] and c["reach"] + 1 == s["first"] and c["oidx"] + s["first"] - c["first"] == s["oidx"]:
                             c["reach"], c["end"] = s["reach"], end
                         else:
-                            chains.append({**s, "start": int(a[0]), "end": end})
-                    holds = np.cumsum(mark)[:-1] > 0
+                            chains.append({**s, "start": start, "end": end})
                     for c in chains:
                         if c["od"] < key[0] and c["end"] - c["start"] >= window:
-                            holds[c["start"] : c["end"] - window + 1] = False
+                            maybe[c["start"] : c["end"] - window + 1] = False
                             copies.append((*key, c["start"], c["end"]))
-                    found = np.flatnonzero(holds)
+                    found = np.flatnonzero(maybe)
+                    if len(found):
+                        # Edge i is from pick i of the row to the next; between sure picks all must be repeated.
+                        first, last = (np.searchsorted(a, x[lo + found] - lo) for x in sure)
+                        count = np.append(0, np.cumsum(alone))
+                        found = found[count[last] == count[first]]
                     if len(found):
                         open_at.append((row, found + lo))
                 if copies:
-                    a, b, s, e = (np.array(x, dtype=np.int64) for x in zip(*copies, strict=True))
-                    spread = textvec.mix(a.view(np.uint64) ^ textvec.mix(s.view(np.uint64))).view(np.int64)
-                    yield _found(spread, textvec.mix(b.view(np.uint64)).view(np.int64), a, b, s, e)
+                    x, y, s, e = (np.array(c, dtype=np.int64) for c in zip(*copies, strict=True))
+                    yield _found(None, None, x, y, s, e)
                 if open_at:
                     at = np.concatenate([x for _, x in open_at])
                     row = np.repeat([r for r, _ in open_at], [len(x) for _, x in open_at])
@@ -199,19 +221,20 @@ def settle(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def _found(h1, h2, d, th, start, end) -> pa.RecordBatch:
-    end = pa.nulls(len(h1), pa.int32()) if end is None else pa.array(end.astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d, pa.int64()), pa.array(th, pa.int64()), pa.array(start.astype(np.int32)), end], [x.split()[0] for x in FOUND.split(", ")])
+    none = lambda x, kind: pa.nulls(len(d), kind) if x is None else pa.array(x.astype(kind.to_pandas_dtype()))
+    columns = [none(h1, pa.int64()), none(h2, pa.int64()), pa.array(d, pa.int64()), pa.array(th, pa.int64()), none(start, pa.int32()), none(end, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
 
 def copied_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row key (d, th) that has any: ranges, an array of (start, end) in words, that documents of smaller id have."""
     repeated = common.stash(repeated_edges(edge_rows(docs, window)), "repeated-edges")
     found = settle(docs, path_spans(repeated), window)
-    least = F.min("d").over(Window.partitionBy("h1", "h2"))
-    copies = found.withColumn("least", least).filter("end is not null or least < d")
-    one = F.struct("start", F.coalesce("end", F.col("start") + window).alias("end"))
-    # Runs of windows become ranges before they are gathered; a text's ranges are no more than its words.
-    return common.stash(copies.groupBy("d", "th").agg(F.array_sort(F.collect_set(one)).alias("ranges")), "copied-ranges")
+    least = found.filter("end is null").groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least <> most").select("h1", "h2", "least")
+    windows = found.filter("end is null").join(least, ["h1", "h2"]).filter("least < d").select("d", "th", "start", (F.col("start") + window).alias("end"))
+    copies = found.filter("end is not null").select("d", "th", "start", "end").unionByName(windows)
+    # A text's ranges are no more than its words.
+    return copies.groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
 KEPT = "doc_id long, n_words long, n_removed long, text string"
