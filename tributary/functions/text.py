@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 # Fixed value: the mark after which the text of some exported notices begins.
 EXPORT_MARK = "=== OSSelot Export ==="
-# Fixed value: references embedded in texts.
-REF_TOKEN = r"(?:input\d+-)?(?:LicenseRef-[^\s()]+|SPDXRef-[\w-]+(?!\.\w{2,5}))"
+# References embedded in texts, with a prefix for each merge that they have been through.
+REF_TOKEN = r"(?:input\d+-)*(?:LicenseRef-[^\s()]+|SPDXRef-[\w-]+(?!\.\w{2,5}))"
 
 
 def _c(c) -> Column:

@@ -18,6 +18,20 @@ POLICIES = {
 }
 
 
+#: Columns of the entry tables that hold a policy's field under another name.
+COLUMNS = {
+    "spdx3json": {"verifiedUsing": "hashes", "software_copyrightText": "copyright"},
+    "clixml": {"Files": "files", "FileHash": "hashes", "Acknowledgements": "acknowledgements", "Licenses": "licenses", "License/@type": "type"},
+}
+
+
+def field_policies(format: str) -> tuple[list[str], list[str]]:
+    """The union and the conflict-checked columns of a format's entry table; all others are first-writer. A format that
+    POLICIES does not know has none."""
+    spec, names = POLICIES.get(format, {"union": [], "conflict": []}), COLUMNS.get(format, {})
+    return tuple([names.get(f, f) for f in spec[policy]] for policy in ("union", "conflict"))
+
+
 def load_policies(spark: SparkSession) -> DataFrame:
     """(format, field, policy) of all formats: a table of fixed size."""
     rows = [(name, field, policy) for name, p in POLICIES.items() for policy in ("union", "conflict") for field in p[policy]]
@@ -84,8 +98,8 @@ def merge_entries(entries: DataFrame, keys: list[str], order: list[str], union:
 
 def _long(entries: DataFrame, keys: list[str], fields: list[str], order: list[str], source: str) -> DataFrame:
     """One row per entry and field that it has."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f).alias("v"))).alias("_json"), F.col(f).cast("string").alias("value")) for f in fields])
-    return entries.select(*keys, F.struct(*order).alias("rank"), F.col(source).alias("source"), F.inline(pairs)).filter("value is not null").drop("_json")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    return entries.select(*keys, F.struct(*order).alias("rank"), F.col(source).alias("source"), F.inline(pairs)).filter("value is not null")
 
 
 def conflicts(entries: DataFrame, keys: list[str], order: list[str], fields: list[str], source: str = "source_id") -> DataFrame:
@@ -110,31 +124,58 @@ def path_of(keys: list[str], field: str | None = None) -> Column:
 def provenance(entries: DataFrame, keys: list[str], order: list[str], fields: dict[str, str], source: str = "source_id") -> DataFrame:
     """Rows (keys, field, sources): a null field names the sources of the whole entry, for every key; fields only for
     keys of two entries or more. fields maps names to policies: a union has every source that has the field, a
-    conflict-checked field those that agree with the chosen value, a first-writer field the first."""
-    sizes = Window.partitionBy(*keys)
-    counted = entries.withColumn("_n", F.count(F.lit(1)).over(sizes))
-    whole = entries.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("sources")).withColumn("field", F.lit(None).cast("string"))
-    rows = _long(counted.filter("_n > 1"), keys, list(fields), order, source)
+    conflict-checked field those that agree with the chosen value, a first-writer field the first.
+
+    Groups are partial aggregates, by value and then by field, so a hot identity is combined before each shuffle."""
+    whole = entries.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("sources"), F.count(F.lit(1)).alias("n"))
+    rows = _long(entries, keys, list(fields), order, source)
+    # A field's distinct values, each with its sources and its first rank, then the field's first value and writer.
+    values = rows.groupBy(*keys, "field", "value").agg(F.collect_set("source").alias("by"), F.min(F.struct("rank", "source")).alias("at"))
+    each = values.groupBy(*keys, "field").agg(F.array_distinct(F.flatten(F.collect_list("by"))).alias("all"), F.min(F.struct("at", "by")).alias("first"))
     policy = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])[F.col("field")]
-    firsts = rows.withColumn("chosen", F.first("value").over(Window.partitionBy(*keys, "field").orderBy("rank"))).withColumn("writer", F.first("source").over(Window.partitionBy(*keys, "field").orderBy("rank")))
-    counts = (policy == "union") | ((policy == "conflict") & (F.col("value") == F.col("chosen"))) | ((policy == "first") & (F.col("source") == F.col("writer")))
-    each = firsts.filter(counts).groupBy(*keys, "field").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    out = whole.select(*keys, "field", "sources").unionByName(each.select(*keys, "field", "sources"))
+    named = F.when(policy == "union", F.col("all")).when(policy == "conflict", F.col("first.by")).otherwise(F.array("first.at.source"))
+    each = each.select(*keys, "field", F.array_sort(named).alias("sources"))
+    several = whole.filter("n > 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    each = each.join(several, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_semi")
+    out = whole.select(*keys, F.lit(None).cast("string").alias("field"), "sources").unionByName(each)
     return out.withColumn("path", F.when(F.col("field").isNull(), path_of(keys)).otherwise(path_of(keys, "field")))
 
 
+def merge_tags(entries: DataFrame, keys: list[str], order: list[str], column: str = "tags") -> DataFrame:
+    """keys and column, an array of (tag, values): of each tag what the first entry that has it says."""
+    rank = F.struct(*order)
+    each = entries.select(*keys, rank.alias("_rank"), F.inline(column)).groupBy(*keys, "tag").agg(F.min_by("values", "_rank").alias("values"))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tag", "values"))).alias(column))
+
+
+def join_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of other, null keys being equal."""
+    renamed = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def last_writer_name(entries: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """keys and the non-empty name that the last entry gives."""
     rank = F.struct(*order)
     return entries.filter(F.coalesce(F.col(name), F.lit("")) != "").groupBy(*keys).agg(F.max_by(name, rank).alias(name))
 
 
-def alias_map(entries: DataFrame, keys: list[str], order: list[str], ref: str, last_writer: bool = False) -> DataFrame:
-    """(keys, loser_ref, winner_ref) of references whose entry was merged into one with another reference."""
+def winning_value(column: str, order: list[str], last_writer: bool | Column = False) -> Column:
+    """Aggregate: the non-empty value of the first entry that has one, or of the last one where last_writer holds
+    (which must be the same for all entries of a group)."""
     rank = F.struct(*order)
+    has = F.col(column).isNotNull() & (F.col(column) != "")
+    first, last = (by(F.when(has, F.col(column)), F.when(has, rank)) for by in (F.min_by, F.max_by))
+    if isinstance(last_writer, bool):
+        return last if last_writer else first
+    return F.when(F.bool_or(last_writer), last).otherwise(first)
+
+
+def alias_map(entries: DataFrame, keys: list[str], order: list[str], ref: str, last_writer: bool | Column = False) -> DataFrame:
+    """(keys, loser_ref, winner_ref) of references whose entry was merged into one with another reference."""
     has = F.col(ref).isNotNull() & (F.col(ref) != "")
-    pick = (F.max_by if last_writer else F.min_by)(F.when(has, F.col(ref)), F.when(has, rank))
-    winners = entries.groupBy(*keys).agg(pick.alias("winner_ref"))
+    winners = entries.groupBy(*keys).agg(winning_value(ref, order, last_writer).alias("winner_ref"))
     return entries.filter(has).select(*keys, F.col(ref).alias("loser_ref")).join(winners, keys).filter("loser_ref <> winner_ref").distinct()
 
 

@@ -1,58 +1,152 @@
-"""The one-call merge: from report files to merged entries, provenance and conflicts, lazily."""
+"""The one-call merge: from report files to merged entries, provenance, conflicts and merged reports, lazily."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.functions import text as fx
 from tributary.operators import checks, refs
 from tributary.operators import merge as ops
-from tributary.sources import formats, reports
-
-#: Names of the fields of each format's entry table, for its policies; other fields are first-writer.
-FIELDS = {
-    "cyclonedx": {"union": ["licenses"], "conflict": ["copyright", "description", "name"], "first": ["type", "ref", "hashes", "upload_ref"]},
-    "spdx2tv": {"union": ["LicenseInfoInFile"], "conflict": ["PackageName", "PackageVersion", "PackageCopyrightText"], "first": ["ref", "SPDXID", "PackageLicenseConcluded", "PackageLicenseDeclared", "FileName", "LicenseConcluded", "LicenseID", "LicenseName", "ExtractedText", "checksums"]},
-    "spdx3json": {"union": [], "conflict": ["name", "copyright"], "first": ["ref", "type", "license_text", "json"]},
-    "dep5": {"union": ["files"], "conflict": ["copyright"], "first": ["license", "comment", "name", "text"]},
-    "readmeoss": {"union": [], "conflict": [], "first": ["section", "name", "text"]},
-    "clixml": {"union": ["files", "hashes", "licenses"], "conflict": ["name", "type"], "first": ["section", "component", "content", "acknowledgements", "topic"]},
-}
+from tributary.sources import formats, provenance, reports
+
 KEYS = ["set_id", "kind", "identity_key"]
 ORDER = ["input_index", "entry_ord"]
+#: Columns of an entry that place or rank it; they are no fields.
+PLACE = {"entry_ord", "input_index", "source_id", "ord", "tags"}
+DOCUMENT = "SPDXRef-DOCUMENT"
+
 
+def _namespaced(entries: DataFrame, texts: DataFrame, format: str) -> tuple[DataFrame, DataFrame | None]:
+    """Entries of a graph format with all references as their input's own, and the map of what inputs declare."""
+    if format == "cyclonedx":
+        return refs.namespace(entries, ["ref", "upload_ref"]), None
+    ref_map = refs.declared_refs(entries, "ref")
+    if format == "spdx2tv":
+        entries = refs.rewrite_embedded_refs(entries, ref_map, formats.EXPRESSIONS, ["set_id", "input_index", "entry_ord"])
+        return refs.namespace(entries, ["ref", "SPDXID", "LicenseID"]), ref_map
+    ref_map = refs.declared_refs(formats.nodes_from_spdx3(texts).filter("kind <> 'meta'").withColumnRenamed("node_id", "ref"), "ref")
+    entries = refs.rewrite_json_refs(entries, ref_map, ["set_id", "input_index", "entry_ord"])
+    return refs.namespace(entries, ["ref"]), ref_map
 
-def merge_texts(texts: DataFrame, format: str) -> dict[str, DataFrame]:
+
+def merge_texts(texts: DataFrame, format: str, folder: str | None = None) -> dict[str, DataFrame]:
     """Merge texts (set_id, input_index, source_id, text) of one format: tables entries, merged, conflicts, provenance,
-    and for formats with references aliases and (tag-value only) relationships. Nothing runs until a table is used."""
+    for formats with references aliases and (tag-value only) relationships, and reports: a text per set.
+
+    With a folder the tables are written below it one by one, so that none is computed twice; without, nothing runs until
+    a table is used, and each parses the texts anew. References are namespaced by input before the merge and point at the merged entries
+    after it. A licence text of a tag-value report takes id and name of its last writer."""
     if format not in formats.PARSERS:
         raise ValueError(f"no such format: {format}")
-    spec = FIELDS.get(format, {"union": [], "conflict": [], "first": None})
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if not folder:
+            return df
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    union, conflict = ops.field_policies(format)
     entries = formats.PARSERS[format](texts)
     graph = ops.POLICIES.get(format, {}).get("category") == "graph"
-    keys = [*KEYS, "component"] if format == "clixml" else KEYS
+    ref_map = None
     if graph:
-        ref_map = refs.declared_refs(entries, "ref")
-        entries = refs.rewrite_refs(entries, ref_map, ["ref"])
-    first = spec["first"] if spec["first"] is None else [f for f in spec["first"] if f not in keys]
-    merged = ops.merge_entries(entries, keys, ORDER, spec["union"], spec["conflict"], first)
-    out = {"entries": entries, "merged": merged}
-    out["conflicts"] = ops.conflicts(entries, keys, ORDER, spec["conflict"]) if spec["conflict"] else None
-    policy = {**dict.fromkeys(spec["union"], "union"), **dict.fromkeys(spec["conflict"], "conflict")}
-    out["provenance"] = ops.provenance(entries, keys, ORDER, policy) if policy else None
+        entries, ref_map = _namespaced(entries, texts, format)
+    entries = kept(entries, "entries")
+    keys = [*KEYS, "component"] if format == "clixml" else KEYS
+    union, conflict = ([f for f in fields if f in entries.columns] for fields in (union, conflict))
+    first = [c for c in entries.columns if c not in (*keys, *PLACE, *union, *conflict)]
+    merged = ops.merge_entries(entries.withColumn("ord", F.struct(*ORDER)), keys, ORDER, union, conflict, [*first, "ord"])
+    out = {"entries": entries}
+    last_writer: bool | Column = False
+    if format == "spdx2tv":
+        last_writer = F.col("kind") == "license_text"
+        merged = ops.join_keys(merged, ops.merge_tags(entries, keys, ORDER), keys)
+        named = entries.filter(last_writer).groupBy(*keys).agg(*[ops.winning_value(c, ORDER, True).alias(f"_{c}") for c in ("LicenseID", "LicenseName")])
+        merged = ops.join_keys(merged, named, keys)
+        merged = merged.withColumns({c: F.coalesce(f"_{c}", c) for c in ("LicenseID", "LicenseName")} | {"ref": F.coalesce("_LicenseID", "ref")}).drop("_LicenseID", "_LicenseName")
+    out["conflicts"] = ops.conflicts(entries, keys, ORDER, conflict) if conflict else None
+    policy = {**dict.fromkeys(union, "union"), **dict.fromkeys(conflict, "conflict")}
+    out["provenance"] = ops.provenance(entries, keys, ORDER, policy) if policy else entries.groupBy(*keys).agg(F.array_sort(F.collect_set("source_id")).alias("sources")).withColumn("path", ops.path_of(keys))
     if format in formats.CONFLICT_HOOKS:
         out["overlaps"] = formats.CONFLICT_HOOKS[format](entries)
     if graph:
-        out["aliases"] = ops.alias_map(entries, keys, ORDER, "ref", last_writer=False)
+        out["aliases"] = kept(ops.alias_map(entries, keys, ORDER, "ref", last_writer), "aliases")
+        survivors = out["aliases"].select("set_id", F.col("loser_ref").alias("old_ref"), F.col("winner_ref").alias("new_ref")).distinct()
+    if format == "cyclonedx":
+        merged = refs.rewrite_refs(merged, survivors, ["upload_ref"], ["set_id"])
     if format == "spdx2tv":
+        merged = refs.rewrite_embedded_refs(merged, survivors, formats.EXPRESSIONS, keys, ["set_id"])
+        merged = merged.withColumn("LicenseInfoInFile", F.array_sort(F.array_distinct("LicenseInfoInFile")))
         rels = refs.rewrite_refs(formats.relationships_from_tagvalue(texts), ref_map, ["src", "dst"])
-        rels = refs.redirect_to_survivors(rels, out["aliases"].select("set_id", "loser_ref", "winner_ref"), ["src", "dst"])
-        out["relationships"] = refs.merged_relationships(rels, merged.filter("kind = 'package'"), "ref")
+        rels = refs.rewrite_refs(rels, survivors, ["src", "dst"], ["set_id"])
+        merged = kept(merged, "redirected")
+        out["relationships"] = kept(refs.merged_relationships(rels, merged.filter("kind = 'package'"), "ref", DOCUMENT), "relationships")
+        out["dangling"] = refs.dangling_refs(out["relationships"], merged.select("set_id", "ref").unionByName(merged.select("set_id", F.lit(DOCUMENT).alias("ref"))), "ref", refs.expression_refs(merged, formats.EXPRESSIONS, "ref"))
+        merged = _with_codes(merged, out["relationships"])
+    out["merged"] = kept(merged, "merged")
+    out["reports"] = _render(texts, out, format, ref_map, survivors if graph else None)
     return out
 
 
-def merge(spark: SparkSession, *globs: str, format: str | None = None) -> dict[str, DataFrame]:
-    """Read reports, tell their format (or hold them to the one given), and merge them."""
+def _with_codes(merged: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Packages with the verification code of the files that they contain after the merge, in tags."""
+    files = merged.filter("kind = 'file'").select(F.concat_ws("\0", "set_id", "ref").alias("file"), F.try_element_at("checksums", F.lit("SHA1")).alias("digest")).filter("digest is not null")
+    contains = relationships.filter("type = 'CONTAINS'").select(F.concat_ws("\0", "set_id", "src").alias("package"), F.concat_ws("\0", "set_id", "dst").alias("file"))
+    codes = refs.verification_codes(contains, files, "package", "file", "digest").select(F.col("package").alias("_p"), "verification_code")
+    rows = merged.join(codes, F.when(F.col("kind") == "package", F.concat_ws("\0", "set_id", "ref")) == F.col("_p"), "left").drop("_p")
+    code = F.array(F.struct(F.lit("PackageVerificationCode").alias("tag"), F.array("verification_code").alias("values")))
+    others = F.filter(F.coalesce("tags", F.array().cast("array<struct<tag:string,values:array<string>>>")), lambda t: t["tag"] != "PackageVerificationCode")
+    return rows.withColumn("tags", F.when(F.col("verification_code").isNotNull(), F.concat(others, code)).otherwise(F.col("tags"))).drop("verification_code")
+
+
+def _numbered(merged: DataFrame) -> DataFrame:
+    """ord as a number by set and first place, for renderers."""
+    return merged.withColumn("ord", F.row_number().over(Window.partitionBy("set_id").orderBy("ord", "kind", "identity_key")).cast("long"))
+
+
+def _render(texts: DataFrame, tables: dict[str, DataFrame], format: str, ref_map: DataFrame | None, survivors: DataFrame | None) -> DataFrame | None:
+    """(set_id, text) of the merged reports; None for formats that were registered without a renderer."""
+    merged = tables["merged"]
+    if format == "cyclonedx":
+        return formats.render_cyclonedx(_numbered(merged))
+    if format == "spdx2tv":
+        fixed = [("SPDXVersion", "SPDX-2.3"), ("DataLicense", "CC0-1.0"), ("SPDXID", DOCUMENT), ("DocumentName", "Merged Report"), ("Creator", "Tool: tributary")]
+        pair = lambda t, v: F.struct(F.lit(t).alias("tag"), v.alias("value"))
+        sets = texts.select("set_id").distinct()
+        documents = sets.select("set_id", F.array(*[pair(t, F.lit(v)) for t, v in fixed], pair("DocumentNamespace", F.concat(F.lit("urn:tributary:"), F.md5(F.col("set_id").cast("string"))))).alias("tags"))
+        return formats.render_tagvalue(documents, tables["relationships"], _numbered(merged))
+    if format == "spdx3json":
+        nodes = formats.nodes_from_spdx3(texts)
+        rest = nodes.filter("kind in ('meta', 'satellite')")
+        place = ["set_id", "input_index", "node_ord"]
+        rest = refs.rewrite_json_refs(rest, ref_map, place).withColumn("node_id", F.when(F.col("kind") == "meta", F.col("node_id")).otherwise(fx.namespaced_ref("node_id", "input_index")))
+        fields = F.from_json("json", "map<string,variant>")
+        hashes = F.create_map(F.lit("verifiedUsing"), F.parse_json(F.to_json("hashes")))
+        own = F.when(F.size("hashes") > 0, F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "verifiedUsing"), hashes))).otherwise(F.col("json"))
+        kept = merged.select("set_id", F.col("ord.input_index").alias("input_index"), F.col("ord.entry_ord").alias("node_ord"), F.col("ref").alias("node_id"), "type", "kind", own.alias("json"))
+        rows = kept.unionByName(rest.select(*place, "node_id", "type", "kind", "json"))
+        return formats.render_spdx3(formats.assemble_spdx3(refs.rewrite_json_refs(rows, survivors, place, by=["set_id"])))
+    if format == "dep5":
+        headers = ops.primary_rows(formats.header_from_dep5(texts)).select("set_id", *[F.col(f"`{f}`") for f in formats.HEADER_FIELDS])
+        inputs = texts.select("set_id", "input_index", "source_id")
+        return formats.render_dep5(ops.merge_comment(headers, inputs), _numbered(merged))
+    if format == "readmeoss":
+        headers = ops.primary_rows(formats.header_from_notice(texts)).select("set_id", "package_name")
+        footers = ops.primary_rows(formats.footer_from_notice(texts)).select("set_id", "copyright_notices", "notices")
+        ends = headers.select("set_id").join(footers, "set_id", "left").na.fill("", ["copyright_notices", "notices"])
+        return formats.render_notice(headers, _numbered(merged), ends)
+    if format == "clixml":
+        return formats.render_clixml(formats.regroup_components(merged.withColumn("entry_ord", F.col("ord"))))
+    return None
+
+
+def merge(spark: SparkSession, *globs: str, format: str | None = None, output: str | None = None, validate: bool = True) -> dict[str, DataFrame]:
+    """Read reports, tell their format (or hold them to the one given), and merge them.
+
+    With validate, entries without an identity, references that an input declares twice and reports without entries
+    are errors. With output, a folder, the entries, the tables, the merged reports (a folder per set) and a provenance
+    record per set are written below it, and the tables returned are those written."""
     raw = reports.with_format(reports.read_reports(spark, *globs))
     found = [r[0] for r in reports.set_formats(raw).select("format").distinct().take(3)]
     if format is None:
@@ -61,8 +155,30 @@ def merge(spark: SparkSession, *globs: str, format: str | None = None) -> dict[s
         format = found[0]
     bad = reports.format_mismatches(raw, format).select("path")
     checks.assert_valid(format_mismatches=bad)
-    return merge_texts(reports.texts(raw), format)
+    texts = reports.texts(raw)
+    tables = merge_texts(texts, format, output)
+    if validate:
+        rules = {"missing_identity": checks.missing_identity(tables["entries"]), "empty_reports": checks.empty_reports(texts.select("set_id", "input_index", "path"), tables["entries"])}
+        if "aliases" in tables:
+            rules["duplicate_refs"] = checks.duplicate_refs(tables["entries"], "ref")
+        checks.assert_valid(**rules)
+    return write_merged(tables, texts, format, output) if output else tables
 
 
-def merged_comment(merged: DataFrame) -> DataFrame:
-    return merged.withColumn("comment", F.concat(F.lit("merged from: "), F.array_join("sources", ", ")))
+def write_merged(tables: dict[str, DataFrame], texts: DataFrame, format: str, output: str) -> dict[str, DataFrame]:
+    """Write the tables of merge_texts(..., folder=output) that are not there yet, merged reports, and a provenance
+    record for each; return the tables as read back."""
+    spark, out = texts.sparkSession, dict(tables)
+    for name, df in tables.items():
+        if df is not None and name not in ("entries", "aliases", "relationships", "merged"):  # these are written
+            df.write.mode("overwrite").parquet(f"{output}/{name}")
+            out[name] = spark.read.schema(df.schema).parquet(f"{output}/{name}")
+    if out.get("reports") is not None:
+        out["reports"].select("set_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("set_id").text(f"{output}/report")
+    sets = texts.select("set_id").distinct().select("set_id", F.lit(format).alias("format"), F.current_timestamp().alias("created_at"))
+    none = spark.createDataFrame([], "set_id string, path string, values array<struct<source:string,value:string>>, resolution string, chosen string")
+    clashes = out["conflicts"].select(*none.columns) if out.get("conflicts") is not None else none
+    edits = spark.createDataFrame([], "set_id string, seq long, who string, `when` string, op string, path string, value string, from_path string, reason string, summary string")
+    records = provenance.provenance_records(sets, texts.select("set_id", "input_index", "source_id"), out["provenance"].select("set_id", "path", "sources"), clashes, edits)
+    provenance.write_provenance(records, f"{output}/provenance_records")
+    return out

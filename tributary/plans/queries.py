@@ -154,9 +154,8 @@ _G = "WITH g AS (SELECT o_custkey AS set_id, l_linenumber AS i, 'SPDXRef-o' || l
 
 @query(_G + "SELECT set_id, i AS input_index, 'SPDXRef-input' || i || '-o' || l_orderkey AS src, 'CONTAINS' AS type, 'SPDXRef-input' || i || '-p' || l_partkey AS dst FROM g")
 def namespaced_refs(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    declared = g.select("set_id", "input_index", F.col("src").alias("ref")).unionByName(g.select("set_id", "input_index", F.col("dst").alias("ref")))
-    return refs.rewrite_refs(g, refs.declared_refs(declared, "ref"), ["src", "dst"]).drop("l_partkey")
+    # Both ends are declared by the row itself, so their own names are a projection.
+    return refs.namespace(_graph(spark, sf_dir), ["src", "dst"]).drop("l_partkey")
 
 
 @query(_G + """, w AS (SELECT set_id, l_partkey, min(row(i, dst)) AS k, arg_min('SPDXRef-input' || i || '-p' || l_partkey, row(i, l_orderkey)) AS winner FROM g GROUP BY 1, 2)
@@ -343,7 +342,7 @@ def tagvalue_roundtrip(spark, sf_dir):
 def clixml_roundtrip(spark, sf_dir):
     b = _bodies(spark, sf_dir)
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    e = b.select("set_id", F.col("ord").alias("entry_ord"), F.lit("license_text").alias("kind"), F.lit("License").alias("section"), F.sha1("set_id.source").alias("component"), "name", none.alias("type"), F.col("text").alias("content"), none.alias("acknowledgements"), empty.alias("files"), empty.alias("hashes"), none.alias("topic"), empty.alias("licenses"))
+    e = b.select("set_id", F.col("ord").alias("entry_ord"), F.lit("license_text").alias("kind"), F.lit("License").alias("section"), F.sha1("set_id.source").alias("component"), "name", none.alias("type"), F.col("text").alias("content"), empty.alias("acknowledgements"), empty.alias("files"), empty.alias("hashes"), none.alias("topic"), empty.alias("licenses"))
     out = formats.entries_from_clixml(_texts(formats.render_clixml(formats.regroup_components(e))))
     return out.filter("section = 'License'").select(F.col("set_id.source").alias("set_id"), "name", F.md5(F.col("content")).alias("text_md5"))
 

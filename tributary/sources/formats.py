@@ -124,12 +124,20 @@ def render_spdx3(nodes: DataFrame) -> DataFrame:
 ROOT = "ComponentLicenseInformation"
 _XML = (
     "_componentSHA1 string, _component string, GeneralInformation struct<ComponentName:string,ComponentVersion:string,Community:string,ComponentId:string,ReviewedBy:string>, "
+    "AssessmentSummary struct<GeneralAssessment:string,CriticalFilesFound:string,DependencyNotes:string>, "
     "License array<struct<_type:string,_name:string,_spdxidentifier:string,Content:string,Acknowledgements:string,Files:string,FileHash:string>>, "
     "Copyright array<struct<Content:string,Files:string,FileHash:string>>, Obligation array<struct<Topic:string,Text:string,Licenses:struct<License:array<string>>>>, "
     "ExportRestrictions array<struct<Content:string>>, Patents array<struct<Content:string>>"
 )
 
 
+#: Columns of component entries, and where they stand in a root.
+COMPONENT_FIELDS = {
+    "ComponentName": "GeneralInformation", "ComponentVersion": "GeneralInformation", "Community": "GeneralInformation", "ComponentId": "GeneralInformation", "ReviewedBy": "GeneralInformation",
+    "GeneralAssessment": "AssessmentSummary", "CriticalFilesFound": "AssessmentSummary", "DependencyNotes": "AssessmentSummary",
+}
+
+
 def roots_from_clixml(texts: DataFrame) -> DataFrame:
     roots = texts.select(*INPUT, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)(<{ROOT}[ >].*?</{ROOT}>)"), F.lit(1))).alias("root_ord", "xml"))
     return roots.select(*INPUT, "root_ord", F.from_xml("xml", _XML).alias("r"))
@@ -137,13 +145,14 @@ def roots_from_clixml(texts: DataFrame) -> DataFrame:
 
 def entries_from_clixml(texts: DataFrame) -> DataFrame:
     """(input, entry_ord, kind, section, component, identity_key, name, type, content, acknowledgements, files, hashes,
-    topic, licenses): each root is a component; its children come with it unless it has no SHA-1."""
+    topic, licenses, and COMPONENT_FIELDS of components): each root is a component; its children come with it unless it
+    has no SHA-1. acknowledgements is a list of one or none."""
     roots = roots_from_clixml(texts).withColumn("component", F.lower("r._componentSHA1"))
     empty = F.array().cast("array<string>")
     text = F.lit(None).cast("string")
 
     def rows(df, section, kind, ord_, identity, name=text, type_=text, content=text, ack=text, files=empty, hashes=empty, topic=text, licenses=empty):
-        return df.select(*INPUT, F.struct(F.col("root_ord"), F.lit(section).alias("section"), ord_.alias("ord")).alias("entry_ord"), F.lit(kind).alias("kind"), F.lit(section).alias("section"), "component", identity.alias("identity_key"), name.alias("name"), type_.alias("type"), content.alias("content"), ack.alias("acknowledgements"), files.alias("files"), hashes.alias("hashes"), topic.alias("topic"), licenses.alias("licenses"))
+        return df.select(*INPUT, F.struct(F.col("root_ord"), F.lit(section).alias("section"), ord_.alias("ord")).alias("entry_ord"), F.lit(kind).alias("kind"), F.lit(section).alias("section"), "component", identity.alias("identity_key"), name.alias("name"), type_.alias("type"), content.alias("content"), F.when(F.coalesce(ack, F.lit("")) != "", F.array(ack)).otherwise(empty).alias("acknowledgements"), files.alias("files"), hashes.alias("hashes"), topic.alias("topic"), licenses.alias("licenses"), *[(F.col(f"r.{g}.{f}") if kind == "package" else text).alias(f) for f, g in COMPONENT_FIELDS.items()])
 
     out = rows(roots, "Component", "package", F.lit(0), F.nullif(F.col("component"), F.lit("")), name=F.coalesce(F.col("r.GeneralInformation.ComponentName"), F.col("r._component")))
     have = roots.filter("component <> ''")
@@ -163,8 +172,9 @@ def regroup_components(merged: DataFrame) -> DataFrame:
     two components share is a child of both."""
     child = F.struct("entry_ord", "section", "name", "type", "content", "acknowledgements", "files", "hashes", "topic", "licenses")
     kids = F.array_sort(F.collect_list(F.when(F.col("kind") != "package", child)))
-    ack = F.bool_or((F.col("section") == "License") & (F.coalesce("acknowledgements", F.lit("")) != ""))
-    return merged.groupBy("set_id", "component").agg(F.max(F.when(F.col("kind") == "package", F.col("name"))).alias("name"), kids.alias("children"), F.coalesce(ack, F.lit(False)).alias("includes_acknowledgements"))
+    ack = F.bool_or((F.col("section") == "License") & (F.size("acknowledgements") > 0))
+    own = lambda c: (F.max(F.when(F.col("kind") == "package", F.col(c))) if c in merged.columns else F.max(F.lit(None).cast("string"))).alias(c)
+    return merged.groupBy("set_id", "component").agg(own("name"), *[own(f) for f in COMPONENT_FIELDS], kids.alias("children"), F.coalesce(ack, F.lit(False)).alias("includes_acknowledgements"))
 
 
 def _xml_escape(c: Column) -> Column:
@@ -178,14 +188,18 @@ def render_clixml(components: DataFrame) -> DataFrame:
     tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<{name}>"), fx.escape_cdata(c), F.lit(f"</{name}>"))).otherwise("")
     attr = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f' {name}="'), _xml_escape(c), F.lit('"'))).otherwise("")
 
+    def general(group):
+        fields = F.concat(*[F.when(F.col(f).isNotNull(), F.concat(F.lit(f"<{f}>"), _xml_escape(F.col(f)), F.lit(f"</{f}>"))).otherwise("") for f, g in COMPONENT_FIELDS.items() if g == group])
+        return F.when(fields != "", F.concat(F.lit(f"<{group}>"), fields, F.lit(f"</{group}>"))).otherwise("")
+
     def child(x):
         licenses = F.when(F.size(x["licenses"]) > 0, F.concat(F.lit("<Licenses>"), F.array_join(F.transform(x["licenses"], lambda n: F.concat(F.lit("<License>"), _xml_escape(n), F.lit("</License>"))), ""), F.lit("</Licenses>"))).otherwise("")
-        body = F.when(x["section"] == "Obligation", F.concat(tag("Topic", x["topic"]), tag("Text", x["content"]), licenses)).otherwise(F.concat(F.lit("<Content>"), fx.escape_cdata(x["content"]), F.lit("</Content>"), tag("Acknowledgements", x["acknowledgements"]), tag("Files", F.array_join(x["files"], "\n")), tag("FileHash", F.array_join(x["hashes"], "\n"))))
+        body = F.when(x["section"] == "Obligation", F.concat(tag("Topic", x["topic"]), tag("Text", x["content"]), licenses)).otherwise(F.concat(F.lit("<Content>"), fx.escape_cdata(x["content"]), F.lit("</Content>"), tag("Acknowledgements", F.array_join(x["acknowledgements"], "\n")), tag("Files", F.array_join(x["files"], "\n")), tag("FileHash", F.array_join(x["hashes"], "\n"))))
         return F.concat(F.lit("<"), x["section"], attr("type", x["type"]), attr("name", x["name"]), F.lit(">"), body, F.lit("</"), x["section"], F.lit(">"))
 
     root = F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{ROOT}'), attr("component", F.col("name")), attr("componentSHA1", F.col("component")),
-        F.when(F.col("includes_acknowledgements"), ' includesAcknowledgements="true"').otherwise(""), F.lit(">"), F.array_join(F.transform("children", child), ""), F.lit(f"</{ROOT}>\n"),
+        F.when(F.col("includes_acknowledgements"), ' includesAcknowledgements="true"').otherwise(""), F.lit(">"), *[general(g) for g in dict.fromkeys(COMPONENT_FIELDS.values())], F.array_join(F.transform("children", child), ""), F.lit(f"</{ROOT}>\n"),
     )
     rows = components.withColumn("_x", root).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("component", "_x"))).alias("_r"))
     return rows.select("set_id", F.array_join(F.transform("_r", lambda r: r["_x"]), "").alias("text"))
@@ -194,7 +208,9 @@ def render_clixml(components: DataFrame) -> DataFrame:
 # --- tag-value text ---------------------------------------------------------------------------------------------
 
 TAGS_ONCE = ["PackageName", "SPDXID", "PackageVersion", "PackageCopyrightText", "PackageLicenseConcluded", "PackageLicenseDeclared", "FileName", "LicenseConcluded", "LicenseID", "LicenseName", "ExtractedText"]
-TAGS_MANY = ["LicenseInfoInFile", "Creator", "PackageChecksum", "FileChecksum"]
+TAGS_MANY = ["LicenseInfoInFile", "Creator", "PackageChecksum", "FileChecksum", "ExternalRef"]
+#: Of these fields the values are licence expressions, which may hold references to licence texts.
+EXPRESSIONS = ["PackageLicenseConcluded", "PackageLicenseDeclared", "LicenseConcluded", "LicenseInfoInFile"]
 
 
 def tagvalue_sections(texts: DataFrame) -> DataFrame:
@@ -214,9 +230,15 @@ def tagvalue_sections(texts: DataFrame) -> DataFrame:
 
 
 def entries_from_tagvalue(texts: DataFrame) -> DataFrame:
-    """Packages, files and licence texts with their tags, checksums as a map, identity_key and ref."""
-    kv = tagvalue_sections(texts).filter("kind in ('package', 'file', 'license_text')")
-    rows = sc.gather_tags(kv, [*INPUT, "section", "kind"], TAGS_ONCE, TAGS_MANY)
+    """Packages, files and licence texts with their tags, checksums as a map, identity_key and ref. Tags that have no
+    column of their own are in tags, an array of (tag, values); external references are a list."""
+    kv = tagvalue_sections(texts).filter("kind in ('package', 'file', 'license_text') and tag <> 'Relationship'")
+    key = [*INPUT, "section", "kind"]
+    other = ~F.col("tag").isin(*TAGS_ONCE, *TAGS_MANY)
+    rest = F.array_sort(F.collect_list(F.when(other, F.struct("line_no", "tag", "value")))).alias("_rest")
+    names = F.array_distinct(F.transform("_rest", lambda x: x["tag"]))
+    tags = F.transform(names, lambda n: F.struct(n.alias("tag"), F.transform(F.filter("_rest", lambda x: x["tag"] == n), lambda x: x["value"]).alias("values")))
+    rows = sc.gather_tags(kv, key, TAGS_ONCE, TAGS_MANY, more=[rest]).withColumn("tags", tags).drop("_rest").withColumnRenamed("ExternalRef", "externalRefs")
     sums = F.filter(F.transform(F.concat("PackageChecksum", "FileChecksum"), lambda c: F.struct(F.trim(F.substring_index(c, ":", 1)).alias("k"), F.trim(F.substring(c, F.instr(c, ":") + 1, F.length(c))).alias("v"))), lambda x: x["k"] != "")
     rows = rows.withColumn("checksums", F.map_from_entries(F.array_distinct(sums)))
     identity = F.when(F.col("kind") == "license_text", fx.text_identity(F.coalesce("ExtractedText", F.lit("")))).otherwise(fx.checksum_map_identity("checksums"))
@@ -240,7 +262,11 @@ def render_tagvalue(documents: DataFrame, relationships: DataFrame, entries: Dat
     mark = F.when(F.col("kind") == "package", _array("##Package", "")).when(F.col("kind") == "file", _array("##File", "")).otherwise(F.array().cast("array<string>"))
     sums = F.transform(F.array_sort(F.map_entries("checksums")), lambda x: F.concat(F.when(F.col("kind") == "package", "PackageChecksum: ").otherwise("FileChecksum: "), x["key"], F.lit(": "), x["value"]))
     sums = F.coalesce(sums, F.array().cast("array<string>"))
-    body = F.concat(mark, *[_pair(t, F.col(t)) for t in TAGS_ONCE if t in entries.columns], *[_pairs(t, F.col(t)) for t in ("LicenseInfoInFile", "Creator") if t in entries.columns], sums, _array(""))
+    many = [_pairs(t, F.col(c)) for t, c in (("LicenseInfoInFile", "LicenseInfoInFile"), ("Creator", "Creator"), ("ExternalRef", "externalRefs")) if c in entries.columns]
+    if "tags" in entries.columns:
+        pair = lambda t: F.transform(F.filter(t["values"], lambda v: v != ""), lambda v: F.concat(t["tag"], F.lit(": "), v))
+        many.append(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<struct<tag:string,values:array<string>>>")), pair)))
+    body = F.concat(mark, *[_pair(t, F.col(t)) for t in TAGS_ONCE if t in entries.columns], *many, sums, _array(""))
     rows = entries.select("set_id", part.alias("part"), F.col("ord").cast("long").alias("ord"), body.alias("lines"))
     rule = "##-------------------------"
     title = entries.filter("kind = 'license_text'").select("set_id").distinct().select("set_id", F.lit(4).alias("part"), F.lit(0).cast("long").alias("ord"), _array(rule, "## License Information", rule, "").alias("lines"))
