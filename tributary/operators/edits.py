@@ -185,6 +185,15 @@ def verify_edits(old: DataFrame, new: DataFrame, edits: DataFrame, key: str = "s
     return row(got).exceptAll(row(new)).unionByName(row(new).exceptAll(row(got))).select(key).distinct()
 
 
+def edits_or_replacement(old: DataFrame, new: DataFrame, edits: DataFrame, whole: DataFrame, key: str = "set_id") -> DataFrame:
+    """The edits of documents that they turn from old into new; for each other document one edit that replaces it by
+    whole(key, json), the new text."""
+    bad = verify_edits(old, new, edits, key)
+    good = edits.join(bad, key, "left_anti").select(key, "seq", "op", "path", "value")
+    texts = whole.join(bad, key, "left_semi").select(key, F.lit(1).cast("long").alias("seq"), F.lit("replace").alias("op"), F.lit("").alias("path"), F.col("json").alias("value"))
+    return good.unionByName(texts)
+
+
 def replace_documents(texts: DataFrame, edits: DataFrame, key: str = "set_id") -> DataFrame:
     """texts(key, text) after whole-document edits: a replace at / whose value is the new text; the last one wins."""
     last = edits.filter((F.col("op") == "replace") & F.col("path").isin("", "/")).groupBy(key).agg(F.max_by("value", "seq").alias("_v"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +47,79 @@ def line_window(rows: DataFrame, start: int, count: int) -> DataFrame:
     return rows.filter(F.col("line_no").between(start, start + count - 1))
 
 
-def _numbered(rows: DataFrame, pair: str, name: str) -> DataFrame:
-    """Lines with a number among their equals in the pair, so that equal lines join one to one."""
-    nth = F.row_number().over(Window.partitionBy(pair, "line").orderBy("line_no"))
-    return rows.select(pair, F.col("line_no").alias(name), "line", nth.alias("nth"))
+def longest_chain(j: list[int]) -> list[int]:
+    """Places of a longest strictly increasing subsequence."""
+    tails, ends, before = [], [], []  # of chains of each length the least end, its place; for each place the one before
+    for at, x in enumerate(j):
+        n = bisect_left(tails, x)
+        before.append(ends[n - 1] if n else -1)
+        if n == len(tails):
+            tails.append(x)
+            ends.append(at)
+        else:
+            tails[n], ends[n] = x, at
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+def _chained(candidates: DataFrame, pair: str) -> DataFrame:
+    """Of candidates(pair, i, j) a longest chain of each pair in which i and j both grow. Only numbers are moved; a task
+    holds those of one pair at a time."""
+    rows = candidates.select(pair, "i", "j").repartition(pair).sortWithinPartitions(pair, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held:
+                own = pa.Table.from_batches(held).combine_chunks()
+                yield from own.take(pa.array(longest_chain(own.column("j").to_pylist()), pa.int64())).to_batches()
+
+        last = None
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if hi == lo:
+                    continue
+                if held and keys[lo] != last:
+                    yield from finish()
+                    held = []
+                last = keys[lo]
+                held.append(b.slice(lo, hi - lo))
+        yield from finish()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _in_gaps(side: DataFrame, anchors: DataFrame, pair: str, name: str) -> DataFrame:
+    """Lines that no anchor has, with the number of anchors before them (gap)."""
+    marked = side.select(pair, F.col("line_no").alias(name), "line").join(anchors.select(pair, name, F.lit(1).alias("_a")), [pair, name], "left")
+    before = Window.partitionBy(pair).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("gap", F.coalesce(F.sum("_a").over(before), F.lit(0))).filter("_a is null").drop("_a")
 
 
 def matches(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """(pair, i, j): equal lines that stand in the same order on both sides. The k-th of equal lines meets the k-th;
-    of what crosses, a match stays if its right side is beyond that of all before it."""
-    both = _numbered(left, pair, "i").join(_numbered(right, pair, "j"), [pair, "line", "nth"]).select(pair, "i", "j")
-    before = Window.partitionBy(pair).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    kept = both.withColumn("_top", F.max("j").over(before)).filter(F.col("_top").isNull() | (F.col("j") > F.col("_top")))
-    return kept.drop("_top")
+    """(pair, i, j): equal lines that stand in the same order on both sides. Lines that either side has once are anchors,
+    as many as fit in one order; between two anchors the k-th of equal lines meets the k-th, as many as fit again."""
+    def once(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(pair, "line").agg(F.min("line_no").alias(name), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+
+    def nth(side: DataFrame, name: str) -> DataFrame:
+        return _in_gaps(side, anchors, pair, name).withColumn("nth", F.row_number().over(Window.partitionBy(pair, "gap", "line").orderBy(name)))
+
+    anchors = _chained(once(left, "i").join(once(right, "j"), [pair, "line"]), pair)
+    more = _chained(nth(left, "i").join(nth(right, "j"), [pair, "gap", "line", "nth"]), pair)
+    return anchors.unionByName(more)
 
 
 def opcodes(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Runs (pair, op_no, tag, i1, i2, j1, j2, row_start) that turn left into right: equal, replace, delete or insert,
-    ends exclusive. A valid alignment, not always the shortest one: a longest-common-subsequence tool may find fewer
-    changes. row_start is the run's first row in diff_rows."""
+    ends exclusive. A valid alignment, near to the shortest one but not always it (see matches). A pair is one window
+    partition here, which streams through its runs: a very large pair takes time, not memory. row_start is the run's first row in diff_rows."""
     m = matches(left, right, pair)
     count = lambda rows, name: rows.groupBy(pair).agg(F.count(F.lit(1)).alias(name))
     sizes = count(left, "n").join(count(right, "m"), pair, "full_outer").select(pair, F.coalesce("n", F.lit(0)).cast("int").alias("i"), F.coalesce("m", F.lit(0)).cast("int").alias("j"))
@@ -106,15 +164,18 @@ def diff_meta(ops: DataFrame, pair: str = "pair_id") -> DataFrame:
 
 def search_diff(ops: DataFrame, left: DataFrame, right: DataFrame, query: str, case_sensitive: bool = False, limit: int | None = 500, pair: str = "pair_id") -> DataFrame:
     """(pair, row, side, line_no, line) of lines that hold query, the first `limit` of each pair by row and side, or
-    all of them for None. An empty query finds nothing. Lines meet their run by pair and a range, not by a range alone."""
+    all of them for None. An empty query finds nothing."""
     if limit is not None and not 1 <= limit <= MAX_WINDOW:
         raise ValueError(f"limit {limit}")
     found = []
     for side, rows, lo, hi in (("left", left, "i1", "i2"), ("right", right, "j1", "j2")):
         line = F.col("line") if case_sensitive else F.lower("line")
-        hits = rows.filter(line.contains(query if case_sensitive else query.lower()) & F.lit(bool(query)))
-        placed = hits.join(ops.select(pair, "row_start", F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), pair).filter("line_no >= _lo and line_no < _hi")
-        found.append(placed.select(pair, (F.col("row_start") + F.col("line_no") - F.col("_lo")).alias("row"), F.lit(side).alias("side"), "line_no", "line"))
+        hits = rows.filter(line.contains(query if case_sensitive else query.lower()) & F.lit(bool(query))).select(pair, "line_no", "line", F.lit(1).alias("_kind"))
+        runs = ops.filter(F.col(lo) < F.col(hi)).select(pair, F.col(lo).alias("line_no"), F.lit(0).alias("_kind"), F.struct(F.col(lo).alias("lo"), "row_start").alias("_run"))
+        # A hit's run is the last one that begins at or before it: both are merged by line, so no hit meets other runs.
+        w = Window.partitionBy(pair).orderBy("line_no", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        placed = hits.unionByName(runs, allowMissingColumns=True).withColumn("_run", F.last("_run", ignorenulls=True).over(w)).filter("_kind = 1")
+        found.append(placed.select(pair, (F.col("_run.row_start") + F.col("line_no") - F.col("_run.lo")).alias("row"), F.lit(side).alias("side"), "line_no", "line"))
     every = found[0].unionByName(found[1])
     if limit is None:
         return every

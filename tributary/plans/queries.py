@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tributary.functions import text as fx
 from tributary.operators import catalog as cat
 from tributary.operators import checks, edits, lines, merge, refs, tree
+from tributary.plans.scratch import folder
 from tributary.sources import formats, provenance, reports
+from tributary.streaming.merge_stream import MergeTable, arrivals
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -281,11 +283,11 @@ def license_expr_rewrite(spark, sf_dir):
     return refs.rewrite_embedded_refs(rows, m, "expression", ["p_partkey"]).select("p_partkey", "expression")
 
 
-@query(r"""SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS safe, replace(replace(url, '~', '~0'), '/', '~1') AS escaped, CASE WHEN length(html) > 120 THEN left(html, 119) || '…' ELSE html END AS preview,
+@query(r"""SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g'), '._') AS safe, replace(replace(url, '~', '~0'), '/', '~1') AS escaped, CASE WHEN length(html) > 120 THEN left(html, 119) || '…' ELSE html END AS preview,
  CAST((length(lower(html)) - length(replace(lower(html), 'the', ''))) / 3 AS INTEGER) AS n_the FROM pages""")
 def text_functions(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_replace("url", r"[^A-Za-z0-9_.-]", "_").alias("safe"), fx.pointer_escape("url").alias("escaped"), fx.preview("html").alias("preview"), fx.count_matches("html", F.lit("The")).alias("n_the"))
+    return p.select("page_id", fx.safe_name("url").alias("safe"), fx.pointer_escape("url").alias("escaped"), fx.preview("html").alias("preview"), fx.count_matches("html", F.lit("The")).alias("n_the"))
 
 
 # --- formats: rendered from a table and parsed back --------------------------------------------------------------
@@ -443,9 +445,12 @@ def tree_overlay(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every document and the next one of its source, as lines of a pair's sides."""
-    nxt = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    p = _t(spark, sf_dir, "documents").withColumn("other", nxt).filter("other is not null and text is not null").select(F.col("doc_id").alias("pair_id"), "text", "other")
+    """Every document and the next one of its source, as lines of a pair's sides. Only ids are put in order."""
+    d = _t(spark, sf_dir, "documents")
+    nxt = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    ids = d.select("source", "doc_id").select("doc_id", nxt.alias("next_id")).filter("next_id is not null")
+    p = d.select("doc_id", "text").join(ids, "doc_id").join(d.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id")
+    p = p.filter("other is not null and text is not null").select(F.col("doc_id").alias("pair_id"), "text", "other")
     return lines.lines(p, ["pair_id"]), lines.lines(p, ["pair_id"], "other")
 
 
@@ -469,20 +474,41 @@ def changed_line_counts(spark, sf_dir):
     return lines.changed_line_counts(*_pairs(spark, sf_dir))
 
 
-@query()
+@query(_PAIRS + """, a AS (SELECT pair_id, count(*) AS n FROM l GROUP BY 1), b AS (SELECT pair_id, count(*) AS m FROM r GROUP BY 1)
+SELECT pair_id, coalesce(n, 0) AS left_lines, coalesce(m, 0) AS right_lines, true AS without_gaps, true AS equals_match FROM a FULL JOIN b USING (pair_id)""")
 def opcodes(spark, sf_dir):
-    return lines.opcodes(*_pairs(spark, sf_dir))
-
-
-@query()
+    """Alignments differ between tools; what must hold of each: its runs cover both sides without gaps, start at the
+    rows that the runs before them end at, and those called equal have equal lines."""
+    a, b = _pairs(spark, sf_dir)
+    ops = lines.opcodes(a, b)
+    w = Window.partitionBy("pair_id").orderBy("op_no")
+    start = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
+    span = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
+    after = F.coalesce(F.lag(F.col("row_start") + span).over(w), F.lit(0))
+    good = (F.col("i1") == start("i2")) & (F.col("j1") == start("j2")) & (F.col("row_start") == after) & ((F.col("tag") != "equal") | (F.col("i2") - F.col("i1") == F.col("j2") - F.col("j1")))
+    runs = ops.withColumn("good", good).groupBy("pair_id").agg(F.max("i2").cast("long").alias("left_lines"), F.max("j2").cast("long").alias("right_lines"), F.bool_and("good").alias("without_gaps"))
+    wrong = lines.diff_rows(ops, a, b).filter("type = 'equal' and not (left <=> right)").select("pair_id").distinct().withColumn("_wrong", F.lit(True))
+    return runs.join(wrong, "pair_id", "left").withColumn("equals_match", F.col("_wrong").isNull()).drop("_wrong")
+
+
+@query(_PAIRS + """, x AS (SELECT pair_id, unnest(range(len(s))) AS k, s FROM (SELECT pair_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS s FROM q WHERE text <> '')),
+y AS (SELECT pair_id, unnest(range(len(s))) AS k, s FROM (SELECT pair_id, string_split(regexp_replace(other, chr(10) || '$', ''), chr(10)) AS s FROM q WHERE other <> ''))
+SELECT pair_id, 'left' AS side, k AS line_no, s[k + 1] AS line FROM x UNION ALL SELECT pair_id, 'right', k, s[k + 1] FROM y""")
 def diff_rows(spark, sf_dir):
+    """Both sides read back from the rows of the diff."""
     a, b = _pairs(spark, sf_dir)
-    return lines.diff_rows(lines.opcodes(a, b), a, b)
+    rows = lines.diff_rows(lines.opcodes(a, b), a, b)
+    side = lambda n: rows.filter(F.col(f"{n}_no").isNotNull()).select("pair_id", F.lit(n).alias("side"), F.col(f"{n}_no").cast("long").alias("line_no"), F.col(n).alias("line"))
+    return side("left").unionByName(side("right"))
 
 
-@query(_PAIRS + ", ln AS (SELECT pair_id, count(*) AS n FROM l GROUP BY 1), rn AS (SELECT pair_id, count(*) AS m FROM r GROUP BY 1) SELECT pair_id, coalesce(n, 0) AS left_lines, coalesce(m, 0) AS right_lines FROM ln FULL JOIN rn USING (pair_id)")
+@query(_PAIRS + ", ln AS (SELECT pair_id, count(*) AS n FROM l GROUP BY 1), rn AS (SELECT pair_id, count(*) AS m FROM r GROUP BY 1) SELECT pair_id, coalesce(n, 0) AS left_lines, coalesce(m, 0) AS right_lines, true AS adds_up FROM ln FULL JOIN rn USING (pair_id)")
 def diff_sizes(spark, sf_dir):
-    return lines.diff_meta(lines.opcodes(*_pairs(spark, sf_dir))).select("pair_id", "left_lines", "right_lines")
+    """Rows per tag make up all rows, and no side has more lines than rows."""
+    m = lines.diff_meta(lines.opcodes(*_pairs(spark, sf_dir)))
+    least = F.col("n_equal") + F.col("n_delete"), F.col("n_equal") + F.col("n_insert")
+    adds_up = (F.col("n_equal") + F.col("n_replace") + F.col("n_insert") + F.col("n_delete") == F.col("n_rows")) & F.col("left_lines").between(least[0], least[0] + F.col("n_replace")) & F.col("right_lines").between(least[1], least[1] + F.col("n_replace"))
+    return m.select("pair_id", "left_lines", "right_lines", adds_up.alias("adds_up"))
 
 
 @query(_PAIRS + "SELECT pair_id, side, count(*) AS n FROM (SELECT pair_id, 'left' AS side, line FROM l UNION ALL SELECT pair_id, 'right', line FROM r) WHERE lower(line) LIKE '%license%' GROUP BY 1, 2")
@@ -545,21 +571,17 @@ def provenance_roundtrip(spark, sf_dir):
 # --- arriving entries --------------------------------------------------------------------------------------------
 
 
+def _events(spark, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern: the table may be one file
+
+
 @query("SELECT user_id, event_type, count(*) AS n_entries, arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS value FROM events GROUP BY 1, 2")
 def merge_stream(spark, sf_dir):
     """Events as entries that arrive through a stream; the merged table after the last batch."""
-    import uuid
-
-    from tributary.streaming.merge_stream import MergeTable
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="tributary-")
-    path = f"{shared}/merge-stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern: the table may be one file
+    path = folder(spark, "merge-stream")
+    stream = _events(spark, sf_dir)
     target = MergeTable(spark, path, ["user_id", "event_type"], ["input_index", "event_id"], first=["value"])
     ready = lambda df: df.select("user_id", "event_type", F.lit(0).alias("input_index"), "event_id", F.lit("in").alias("source_id"), "value")
     target.start(stream, f"{path}/checkpoint", ready).awaitTermination()
@@ -568,10 +590,12 @@ def merge_stream(spark, sf_dir):
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_entries FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    from tributary.streaming.merge_stream import arrivals
-
-    out = arrivals(_t(spark, sf_dir, "events"), "ts", by=["event_type"])
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """Events as a stream; each batch brings the counts of all windows up to date."""
+    path = folder(spark, "event-windows")
+    counted = arrivals(_events(spark, sf_dir), "ts", by=["event_type"])
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/counts")
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{path}/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # --- more of edits, trees, checks and sources --------------------------------------------------------------------

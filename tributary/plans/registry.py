@@ -1,7 +1,6 @@
-"""All queries of the merge library and their DuckDB equivalents."""
-
-from __future__ import annotations
+"""All queries of the merge library by name, and their DuckDB SQL."""
 
+from tributary.plans import more_queries  # noqa: F401  (registers its queries)
 from tributary.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

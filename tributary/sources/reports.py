@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 4096
+#: Numbers of so many files are broadcast (some 200 bytes each), so that no content is shuffled; those of more are joined.
+BROADCAST_FILES = 200_000
 # File names and first bytes of each format.
 NAME_PREFIXES = {"DEP5_": "dep5", "ReadMe_OSS_": "readmeoss", "SPDX3JSON_": "spdx3json", "CYCLONEDX_JSON_": "cyclonedx", "CLIXML_": "clixml"}
 DEBIAN_HEAD = "Format: https://www.debian.org/doc/packaging-manuals/copyright-format/"
@@ -20,9 +22,11 @@ def read_reports(spark: SparkSession, *globs: str, set_id: str | None = None) ->
     raw = spark.read.format("binaryFile").load(list(globs)).select("path", "content")
     folder = F.lit(set_id) if set_id else F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
     raw = raw.withColumn("set_id", folder).withColumn("source_id", F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
-    # Only names are ordered; contents are joined back by path.
+    # Only names are listed and ordered; contents get their numbers back by path.
     index = (F.row_number().over(Window.partitionBy("set_id").orderBy("path")) - 1).alias("input_index")
     numbers = raw.select("set_id", "path").select("path", index)
+    if raw.select("path").count() <= BROADCAST_FILES:
+        numbers = F.broadcast(numbers)
     return raw.join(numbers, "path").select("set_id", "input_index", "source_id", "path", "content")
 
 
