@@ -6,7 +6,6 @@ joined under its share, and what comes out is verified in all dimensions, each p
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,11 @@ from tributary.llm import common, components
 
 LEAST_COSINE = 0.95
 BLOCK_DIMENSIONS = 16
-#: Vectors of a cell, about; a tile compares two cells.
+#: Vectors of a cell, about: what a task holds, while those that come from other cells stream past.
 CELL_ROWS = 12_000
-#: Vectors on which the cells' borders are fitted, at most (a bound on what the driver sees; every vector is joined).
-FIT_ROWS = 20_000
+#: Vectors on which the cells' borders are fitted, about: so many, or so many for each cell if that is more (a bound on
+#: what the driver sees; every vector is joined).
+FIT_ROWS, FIT_CELL_ROWS = 20_000, 16
 #: For rounding: of a share itself (in single precision), and of the faster formula that finds candidates.
 _SLACK, _LOOSE = 1e-6, 2e-5
 
@@ -68,49 +68,37 @@ def fit_cells(sample: np.ndarray, rows: int, cell_rows: int) -> list:
     return split(sample, rows)
 
 
-def cells_and_boxes(tree, dimensions: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The box (low, high) of each cell, in the order of `cell_numbers`."""
-    out = []
-
-    def walk(t, low, high):
-        if t is None:
-            out.append((low, high))
-            return
-        axis, border, below, above = t
-        cut_high, cut_low = high.copy(), low.copy()
-        cut_high[axis], cut_low[axis] = border, border
-        walk(below, low, cut_high)
-        walk(above, cut_low, high)
-
-    walk(tree, np.full(dimensions, -np.inf), np.full(dimensions, np.inf))
-    return out
+def leaves(tree) -> int:
+    return 1 if tree is None else leaves(tree[2]) + leaves(tree[3])
 
 
-def cell_numbers(tree, x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), dtype=np.int64)
-    count = itertools.count()
+def reached(tree, x: np.ndarray, radius2: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each cell the places in x of the vectors that are within the radius of its box, and which of them are in it."""
 
-    def walk(t, at):
+    def walk(t, number, at, gaps, inside):
+        if not len(at):
+            return
         if t is None:
-            out[at] = next(count)
+            yield number, at, inside
             return
         axis, border, below, above = t
-        low = x[at, axis] < border
-        walk(below, at[low])
-        walk(above, at[~low])
+        left = x[at, axis] < border
+        step = (x[at, axis] - border) ** 2
+        for child, first, mine in ((below, number, left), (above, number + leaves(below), ~left)):
+            # Beyond a border the gap along its axis is at least the way to it; an earlier gap on the axis is no larger.
+            g = gaps.copy()
+            g[~mine, axis] = np.maximum(g[~mine, axis], step[~mine])
+            near = g.sum(axis=1) <= radius2
+            yield from walk(child, first, at[near], g[near], (inside & mine)[near])
 
-    walk(tree, np.arange(len(x)))
-    return out
+    yield from walk(tree, 0, np.arange(len(x)), np.zeros_like(x), np.ones(len(x), dtype=bool))
 
 
-def near_cells(boxes: list, radius2: float) -> list[list[int]]:
-    """For each cell the cells (itself and later ones too) whose boxes are within the radius."""
-    low, high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
-    out = []
-    for i in range(len(boxes)):
-        gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-        out.append(np.flatnonzero((gap**2).sum(axis=1) <= radius2).tolist())
-    return out
+def visits(home: np.ndarray, cell: int, cells: int) -> np.ndarray:
+    """Whether vectors of the cells `home` go to `cell`, and not the other way: round the circle of cells, to the half
+    behind it, so each cell has about as many visitors."""
+    step = (home - cell) % cells
+    return (step > 0) & ((2 * step < cells) | ((2 * step == cells) & (home > cell)))
 
 
 def compare(a: np.ndarray, b: np.ndarray, block: int, spans: list, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,68 +154,99 @@ class Forest:
 
 
 TILE = "node long, other long, n_links long"
+DEALT = "block int, cell int, visitor boolean, node long, v array<double>, copies long"
 
 
 def tile_links(unique: DataFrame, least: float = LEAST_COSINE, width: int = BLOCK_DIMENSIONS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Vectors are rotated once, so that all tiles see the same numbers; rotation leaves cosines as they are.
-
-    Rows (node, other, n_links) of all tiles: either a link that joins components (other), or how many vectors
-    (copies counted) a node links with in one tile. No tile emits its pairs: their number may grow with the square of
-    a group, but what is emitted grows with its vectors."""
-    spark = unique.sparkSession
-    n = unique.count()
-    first = unique.select(F.size("v").alias("n")).agg(F.min("n"), F.max("n")).first()
-    if not n:
-        return spark.createDataFrame([], TILE)
-    if first[0] != first[1]:
-        raise ValueError(f"vectors of {first[0]} and of {first[1]} dimensions")
-    dimensions = first[0]
-    spans, turn = blocks_of(dimensions, width), rotation(dimensions)
-    part = min(1.0, FIT_ROWS / n)
-    sample = unique.select("v").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * part)).limit(2 * FIT_ROWS)
+    """Rows (node, other, n_links) of all cells: either a link that joins components (other), or how many vectors
+    (copies counted) a node links with in one cell. No cell emits its pairs: their number may grow with the square of
+    a group, but what is emitted grows with its vectors. Vectors of different lengths have no cosine and never link."""
+    sizes = [r[0] for r in unique.select(F.size("v").alias("n")).distinct().collect()]
+    out = unique.sparkSession.createDataFrame([], TILE)
+    for n in sorted(sizes):
+        own = unique if len(sizes) == 1 else unique.filter(F.size("v") == n)
+        out = out.unionByName(_links_of_length(own, n, least, width, cell_rows))
+    return out
+
+
+def _links_of_length(unique: DataFrame, dimensions: int, least: float, width: int, cell_rows: int) -> DataFrame:
+    """tile_links for vectors of one length. They are rotated once, so that all cells see the same numbers; rotation
+    leaves cosines as they are. A vector goes to its own cell of each block, and as a visitor to those other cells whose
+    box is within the block's radius of the vector itself, each pair of cells in one direction only."""
+    n, spans, turn = unique.count(), blocks_of(dimensions, width), rotation(dimensions)
+    wanted = max(FIT_ROWS, FIT_CELL_ROWS * (n // cell_rows))
+    part = min(1.0, wanted / n)
+    sample = unique.select("v").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(np.ceil(1_000_000 * part))).limit(2 * wanted)
     sample = np.array([r[0] for r in sample.collect()]).reshape(-1, dimensions) @ turn
     trees = [fit_cells(sample[:, a:z], n, cell_rows) for a, z in spans]
-    near = [near_cells(cells_and_boxes(t, z - a), (2 - 2 * least) * (z - a) / dimensions + _SLACK) for t, (a, z) in zip(trees, spans, strict=True)]
-    shared = spark.sparkContext.broadcast((trees, near, turn))
+    shared = unique.sparkSession.sparkContext.broadcast((trees, turn))
+    radius2 = [(2 - 2 * least) * (z - a) / dimensions + _SLACK for a, z in spans]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, near, turn = shared.value
+        trees, turn = shared.value
         for b in batches:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
             rotated = v @ turn
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rotated.ravel()), dimensions).cast(pa.list_(pa.float64()))
             for block, (lo, hi) in enumerate(spans):
-                cell = cell_numbers(trees[block], rotated[:, lo:hi])
-                tiles = [(i, min(c, o), max(c, o), c != min(c, o)) for i, c in enumerate(cell.tolist()) for o in near[block][c]]
-                if not tiles:
+                cells, home = leaves(trees[block]), np.zeros(len(v), dtype=np.int64)
+                near = list(reached(trees[block], rotated[:, lo:hi], radius2[block]))
+                for cell, at, inside in near:
+                    home[at[inside]] = cell
+                for cell, at, inside in near:
+                    goes = inside | visits(home[at], cell, cells)
+                    at, inside = at[goes], inside[goes]
+                    if len(at):
+                        i = pa.array(at)
+                        columns = [pa.array(np.full(len(at), block, np.int32)), pa.array(np.full(len(at), cell, np.int32)), pa.array(~inside), b.column(0).take(i), flat.take(i), b.column(2).take(i)]
+                        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in DEALT.split(", ")])
+
+    dealt = common.map_arrow(unique.select("node", "v", "copies"), deal, DEALT)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of block, cell and visitor: a cell's own vectors are held, its visitors stream past them."""
+        now, held, closed = None, [], None
+
+        def found(block, mine, theirs=None):
+            sides = [mine] if theirs is None else [mine, theirs]
+            node, copies = (np.concatenate([s[k] for s in sides]) for k in (0, 2))
+            count, forest, joined = np.zeros(len(node), dtype=np.int64), Forest(), []
+            for p, q in compare(mine[1], sides[-1][1], block, spans, least, theirs is None):
+                q = q if theirs is None else q + len(mine[0])
+                np.add.at(count, p, copies[q])
+                np.add.at(count, q, copies[p])
+                joined += [(int(node[x]), int(node[y])) for x, y in zip(p.tolist(), q.tolist(), strict=True) if forest.join(x, y)]
+            has = np.flatnonzero(count)
+            a, b = ([x[k] for x in joined] for k in (0, 1))
+            columns = [pa.array(node[has].tolist() + a, pa.int64()), pa.array([None] * len(has) + b, pa.int64()), pa.array(count[has].tolist() + [0] * len(joined), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["node", "other", "n_links"])
+
+        def own():
+            return tuple(np.concatenate([h[k] for h in held]) if held else np.zeros((0, dimensions) if k == 1 else 0) for k in range(3))
+
+        for b in batches:
+            keys = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            visitor = b.column(2).to_numpy(zero_copy_only=False)
+            v = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+            node, copies = b.column(3).to_numpy(), b.column(5).to_numpy()
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (visitor[1:] != visitor[:-1])))
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+                if keys[lo] != now:
+                    if now is not None and closed is None:
+                        yield found(now >> 32, own())
+                    now, held, closed = int(keys[lo]), [], None
+                rows = (node[lo:hi], v[lo:hi], copies[lo:hi])
+                if not visitor[lo]:
+                    held.append(rows)
                     continue
-                i, x, y, right = (np.array(t) for t in zip(*tiles, strict=True))
-                for at in range(0, len(i), 8192):
-                    s = slice(at, at + 8192)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i[s]), block, np.int32)), pa.array(x[s]), pa.array(y[s]), pa.array(right[s]), b.column(0).take(pa.array(i[s])), flat.take(pa.array(i[s])), b.column(2).take(pa.array(i[s]))], ["block", "x", "y", "right", "node", "v", "copies"])
-
-    dealt = common.map_arrow(unique.select("node", "v", "copies"), deal, "block int, x long, y long, right boolean, node long, v array<double>, copies long")
-
-    def tile(table: pa.Table) -> pa.Table:
-        block, same = table.column("block")[0].as_py(), table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        right = table.column("right").to_numpy()
-        sides = [np.arange(len(v))] * 2 if same else [np.flatnonzero(~right), np.flatnonzero(right)]
-        count, forest, joined = np.zeros(len(v), dtype=np.int64), Forest(), []
-        for p, q in compare(*[v[s] for s in sides], block, spans, least, same):
-            p, q = sides[0][p], sides[1][q]
-            np.add.at(count, p, copies[q])
-            np.add.at(count, q, copies[p])
-            joined += [(int(node[x]), int(node[y])) for x, y in zip(p.tolist(), q.tolist(), strict=True) if forest.join(x, y)]
-        has = np.flatnonzero(count)
-        a, b = ([x[k] for x in joined] for k in (0, 1))
-        return pa.table({
-            "node": pa.array(node[has].tolist() + a, pa.int64()), "other": pa.array([None] * len(has) + b, pa.int64()),
-            "n_links": pa.array(count[has].tolist() + [0] * len(joined), pa.int64()),
-        })
-
-    return dealt.groupBy("block", "x", "y").applyInArrow(tile, TILE)
+                if closed is None:
+                    closed = own()
+                    yield found(now >> 32, closed)
+                yield found(now >> 32, closed, rows)
+        if now is not None and closed is None:
+            yield found(now >> 32, own())
+
+    return common.map_arrow(dealt.repartition("block", "cell").sortWithinPartitions("block", "cell", "visitor"), links, TILE)
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, width: int = BLOCK_DIMENSIONS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -235,8 +254,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, width: int
 
     Vectors link when their cosine in double precision is `least` or more. Null or zero vectors and those that hold
     null or non-finite components link with nothing. Exact copies are one node with a count; repeated rows are rows
-    of their own. A component's id is its smallest vec_id; a null vec_id is kept only as its own component. All
-    vectors must have the same length; an empty table gives an empty one; extra columns are ignored."""
+    of their own. A component's id is its smallest vec_id; a null vec_id is kept only as its own component.
+    Vectors of different lengths do not link; an empty table gives an empty one; extra columns are ignored."""
     members, unique = classes(vectors)
     tiles = common.stash(tile_links(unique, least, width, cell_rows), "tile-links")
     groups = components.connected(tiles.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
