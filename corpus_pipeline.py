@@ -55,7 +55,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Learned models and packing are beyond SQL; tests hold the pipeline against plain Python.
+#: Learned models and packing are beyond SQL. Tests run the stages one by one: near-duplicates, benchmark and packing
+#: against brute force, language and personal data by what they must and must not find.
 ORACLE_SQL = None
 
 
