@@ -69,10 +69,11 @@ def test_nodes(spark):
 
 
 def test_components_with_equal_references(spark):
-    doc = lambda a, b: json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "metadata": {"component": {"type": "application", "name": "up", "bom-ref": "1", "hashes": [{"alg": "SHA-1", "content": a}]}}, "components": [{"type": "file", "name": "f", "bom-ref": "1-1", "hashes": [{"alg": "SHA-1", "content": b}], "licenses": [{"license": {"id": "MIT"}}]}]})
-    out = merge_texts(texts(spark, doc("a1", "f1"), doc("a2", "f2")), "cyclonedx")
-    refs = [r["ref"] for r in out["merged"].collect()]
-    assert len(refs) == len(set(refs)) == 4
+    """Two reports name a lamp and its bulb alike, but mean four things."""
+    part = lambda kind, name, ref, digest: {"type": kind, "name": name, "bom-ref": ref, "hashes": [{"alg": "MD5", "content": digest}]}
+    doc = lambda n: json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "metadata": {"component": part("device", "lamp", "lamp", f"c{n}")}, "components": [part("file", "bulb", "lamp/bulb", f"d{n}")]})
+    merged = merge_texts(texts(spark, doc(0), doc(1)), "cyclonedx")["merged"].collect()
+    assert {(r["ref"], r["upload_ref"]) for r in merged} == {(f"input{n}-lamp", None) for n in range(2)} | {(f"input{n}-lamp/bulb", f"input{n}-lamp") for n in range(2)}
 
 
 def test_files(spark, tmp_path):

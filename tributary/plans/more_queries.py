@@ -90,14 +90,14 @@ def merge_tagvalue_rendered(spark, sf_dir):
 
 def _component_texts(spark, sf_dir: str) -> DataFrame:
     one = lambda kind, name, ref, digest, licence: F.struct(F.lit(kind).alias("type"), name.alias("name"), ref.alias("bom-ref"), F.array(F.struct(F.lit("SHA-1").alias("alg"), digest.alias("content"))).alias("hashes"), F.array(F.struct(F.struct(licence.alias("id")).alias("license"))).alias("licenses"))
-    main = one("application", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.lit("1"), F.sha1(F.col("o_orderkey").cast("string")), F.lit("MIT"))
-    parts = F.transform("parts", lambda p: one("file", p["p_name"], F.concat(F.lit("1-"), p["l_linenumber"].cast("string")), F.sha1(p["p_partkey"].cast("string")), F.col("o_orderstatus")))
+    main = one("application", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.lit("top"), F.sha1(F.col("o_orderkey").cast("string")), F.lit("MIT"))
+    parts = F.transform("parts", lambda p: one("file", p["p_name"], F.concat(F.lit("part"), p["l_linenumber"].cast("string")), F.sha1(p["p_partkey"].cast("string")), F.col("o_orderstatus")))
     doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"), F.struct(main.alias("component")).alias("metadata"), parts.alias("components")))
     return _order_reports(spark, sf_dir).select(F.col("o_custkey").alias("set_id"), F.col("n").alias("input_index"), F.concat(F.lit("in"), F.col("n").cast("string")).alias("source_id"), doc.alias("text"))
 
 
 @query(_REPORTS + """, m AS (SELECT set_id, id, min(row(n, k)) AS first, array_to_string(list_sort(list(DISTINCT status)), '|') AS licenses FROM f GROUP BY 1, 2)
-SELECT set_id, 'input' || first[1] || '-1-' || first[2] AS ref, 'file' AS type, licenses, 'input' || first[1] || '-1' AS upload FROM m UNION ALL SELECT set_id, 'input' || n || '-1', 'library', 'MIT', NULL FROM g""")
+SELECT set_id, 'input' || first[1] || '-part' || first[2] AS ref, 'file' AS type, licenses, 'input' || first[1] || '-top' AS upload FROM m UNION ALL SELECT set_id, 'input' || n || '-top', 'library', 'MIT', NULL FROM g""")
 def merge_components(spark, sf_dir):
     """Component reports that all use the same references, merged, rendered and read back with their properties."""
     out = merge_texts(_component_texts(spark, sf_dir), "cyclonedx", folder(spark, "merge-components"))["reports"]
