@@ -100,6 +100,27 @@ def test_fold(spark):
     assert got == {(1, 0): ("user", "bye!"), (1, 1): ("assistant", "new"), (2, 0): ("assistant", "x"), (None, None): ("", "")}
 
 
+def test_regenerations_take_back_later_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 3)
+    rng = random.Random(4)
+    rows, want = [], set()
+    for conv in (None, 1, 2):
+        n, seq, began, again = 20, 0, {}, []
+        for turn in range(n):
+            began[turn] = seq
+            rows.append((conv, turn, turn, "user", "message", seq, f"t{turn}"))
+            seq += 1
+            if rng.random() < 0.25:
+                back = rng.randrange(turn + 1)
+                again.append((back, seq))
+                rows += [(conv, back, back, "user", "regenerate", seq, None), (conv, back, back, "user", "delta", seq + 1, "new")]
+                seq += 2
+        want |= {(conv, t) for t in range(n) if not any(b < t and s > began[t] for b, s in again)}
+    rng.shuffle(rows)
+    got = chat.fold(spark.createDataFrame(rows, EVENTS)).collect()
+    assert {(r["conv_id"], r["turn"]) for r in got} == want and len(got) == len(want)
+
+
 def test_conversations_come_back(spark):
     odd = ["<s>[user]\nhi</s>\n", "\\", "\\l", "[", "]\n", "", None, "é" * 5000, "</s>[INST] ok [/INST]"]
     rows = [(i % 3, i, ("user", "assistant", "a]\n<b", None)[i % 4], t) for i, t in enumerate(odd)] + [(0, 0, "user", odd[0])]

@@ -65,12 +65,30 @@ def fold(events: DataFrame) -> DataFrame:
     live = F.filter("log", lambda e: last.isNull() | (e["seq"] > last) | ((e["seq"] == last) & (e["kind"] != "regenerate")))
     live = F.filter(live, lambda e: last.isNull() | (e["seq"] > last) | (e["kind"] != "delta"))
     messages = messages.withColumn("text", F.array_join(F.transform(live, lambda e: e["text"]), ""))
-    takes_back = messages.filter("regenerated is not null").groupBy(F.col("conv_id").alias("_conv")).agg(F.collect_list(F.struct("turn", "regenerated")).alias("cuts"))
-    kept = messages.join(takes_back, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    gone = F.exists("cuts", lambda c: (c["turn"] < F.col("turn")) & (c["regenerated"] > F.col("began")))
+    kept = messages.join(_cuts(messages), F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
+    gone = F.col("_cut") > F.col("began")
     return kept.filter(~F.coalesce(gone, F.lit(False))).select("conv_id", "turn", "message_id", F.coalesce("role", F.lit("")).alias("role"), "text")
 
 
+#: Turns whose regenerations are ordered together.
+TURNS = 1024
+
+
+def _cuts(messages: DataFrame) -> DataFrame:
+    """(_conv, _turn, _cut): the last regeneration of any earlier turn. Per turn it is a maximum that is combined before
+    the shuffle; the running one goes over stretches of TURNS turns and then over the turns of each, so a long
+    conversation is dealt out too."""
+    touched = messages.filter("regenerated is not null").select(F.col("conv_id").alias("_c")).distinct()
+    own = messages.filter("turn is not null").join(touched, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
+    turns = own.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(F.max("regenerated").alias("_own")).withColumn("_part", F.floor(F.col("_turn") / TURNS))
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns.groupBy("_conv", "_part").agg(F.max("_own").alias("_most")).withColumn("_above", F.max("_most").over(before("_conv").orderBy("_part")))
+    parts = parts.select(F.col("_conv").alias("_c"), F.col("_part").alias("_p"), "_above")
+    both = turns.join(parts, F.col("_conv").eqNullSafe(F.col("_c")) & F.col("_part").eqNullSafe(F.col("_p")))
+    here = F.max("_own").over(before("_conv", "_part").orderBy("_turn"))
+    return both.withColumn("_cut", F.greatest("_above", here)).filter("_cut is not null").select("_conv", "_turn", "_cut")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """Messages plus formatted (one turn in the template) and, for assistants, loss_start and loss_end: the code
     points of formatted that count in training (end exclusive)."""
