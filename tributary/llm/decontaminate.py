@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 from tributary.llm import common, textvec
 
 WINDOW = 10
-#: Bytes of item text in one broadcast set. A larger benchmark is cut into blocks of whole items, and the
-#: documents are scanned once for each block, so that no set outgrows this bound.
+#: Bytes of item text in one broadcast set. A larger benchmark is cut into blocks, and the
+#: documents are scanned once for each block, so that no set outgrows this bound; an item of more than half of it is cut
+#: into pieces that overlap by a window less one word.
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
 
 
+@dataclass
+class Sequences:
+    """Distinct windows of one length, by hash: hash k has the sequences first[k] to first[k + 1]; a sequence has one
+    place (item and word number) at which its words stand, and the numbers of all items that have it."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    owners_first: np.ndarray
+    owners: np.ndarray
+    seen: np.ndarray  # bitmap over the top bits of the hashes
+
+
 @dataclass
 class Block:
-    """Windows of some items: for each length sorted hashes, and for each hash its places (item, first word)."""
+    """Windows of some items."""
 
-    items: list  # item_id of each item
+    items: list  # item_id of each item (or piece of one)
     words: list  # words of each item, as bytes
-    places: dict  # length -> (sorted distinct hashes, first place of each, places as item and word numbers)
-    seen: dict  # length -> bitmap over the top bits of the hashes
+    sequences: dict  # length -> Sequences
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -46,48 +60,80 @@ def build(items: list[tuple], window: int = WINDOW) -> Block:
         n = min(window, len(w.starts))
         if n:
             h = textvec.window_hashes(w.hashes(), n)
-            found.setdefault(n, []).append((h, np.full(len(h), number), np.arange(len(h))))
-    places, seen = {}, {}
+            found.setdefault(n, []).append((h, textvec.window_hashes(w.hashes(), n, which=2), np.full(len(h), number), np.arange(len(h))))
+    sequences = {}
     for n, parts in found.items():
-        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, item, at = h[order], item[order], at[order]
-        keys, first = np.unique(h, return_index=True)
-        places[n] = (keys, np.append(first, len(h)), item, at)
+        h, other, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((item, other, h))
+        h, other, item, at = h[order], other[order], item[order], at[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1]))
+        begin = np.flatnonzero(new)
+        one = new | np.append(True, item[1:] != item[:-1])  # an item's first place of each sequence
+        keys, first = np.unique(h[begin], return_index=True)
         bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
         bits[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        seen[n] = np.packbits(bits, bitorder="little")
-    return Block([i for i, _ in items], words, places, seen)
+        owners_first = np.append(np.searchsorted(np.flatnonzero(one), begin), one.sum())
+        sequences[n] = Sequences(keys, np.append(first, len(begin)), item[begin], at[begin], owners_first, item[one], np.packbits(bits, bitorder="little"))
+    return Block([i for i, _ in items], words, sequences)
 
 
 def scan(w: textvec.Words, block: Block) -> tuple[np.ndarray, dict[int, set]]:
-    """Which words of the chunk are hit, and for each row (from w.lo) the numbers of the items found in it."""
+    """Which words of the chunk are hit, and for each row (from w.lo) the numbers of the items found in it. A hit is
+    compared word by word with one place of its sequence, however many items have it."""
     hit = np.zeros(len(w.starts) + 1, dtype=np.int64)
-    items: dict[int, set] = {}
+    found: dict[int, set] = {}
     h, blob = w.hashes(), w.data.tobytes()
-    for n, (keys, first, item, at) in block.places.items():
+    for n, s in block.sequences.items():
         if len(h) < n:
             continue
         wh = textvec.window_hashes(h, n)
         top = (wh >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-        may = (block.seen[n][top >> 3] >> (top & 7).astype(np.uint8)) & 1
+        may = (s.seen[top >> 3] >> (top & 7).astype(np.uint8)) & 1
         may &= w.rows[: len(wh)] == w.rows[n - 1 :]
         here = np.flatnonzero(may)
-        k = np.searchsorted(keys, wh[here])
-        same = (k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == wh[here])
+        k = np.searchsorted(s.keys, wh[here])
+        same = (k < len(s.keys)) & (s.keys[np.minimum(k, len(s.keys) - 1)] == wh[here])
         for i, k in zip(here[same].tolist(), k[same].tolist(), strict=True):
             text = [blob[w.starts[j] : w.ends[j]] for j in range(i, i + n)]
-            good = [p for p in range(first[k], first[k + 1]) if block.words[item[p]][at[p] : at[p] + n] == text]
+            good = [q for q in range(s.first[k], s.first[k + 1]) if block.words[s.item[q]][s.at[q] : s.at[q] + n] == text]
             if good:
                 hit[i] += 1
                 hit[i + n] -= 1
-                items.setdefault(int(w.rows[i]), set()).update(int(item[p]) for p in good)
+                found.setdefault(int(w.rows[i]), set()).update((n, q) for q in good)
+    items = {row: {int(x) for n, q in qs for s in (block.sequences[n],) for x in s.owners[s.owners_first[q] : s.owners_first[q + 1]]} for row, qs in found.items()}
     return np.cumsum(hit[:-1]) > 0, items
 
 
+def cut_items(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text) with items of more than `most` bytes in pieces; each window of an item is whole in one of them."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text.encode()) <= most:
+                    ids.append(name)
+                    texts.append(text)
+                    continue
+                w = next(textvec.chunks(pa.array([text]), textvec.ALNUM_LOWER))
+                lo = 0
+                while lo < len(w.starts):
+                    hi = max(lo + window, int(np.searchsorted(w.ends, w.starts[lo] + most, "right")))
+                    hi = min(hi, len(w.starts))
+                    ids.append(name)
+                    texts.append(w.raw[w.starts[lo] : w.ends[hi - 1]].tobytes().decode())
+                    if hi == len(w.starts):
+                        break
+                    lo = hi - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return common.map_arrow(rows, run, "item_id string, text string")
+
+
 def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Block]:
     """The benchmark in blocks of about block_bytes."""
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    sized = cut_items(benchmark, window, block_bytes // 2)
     total = sized.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
