@@ -37,13 +37,16 @@ class Model:
     start: np.ndarray
 
 
-def gram_ids(data: np.ndarray) -> np.ndarray:
-    """(3, bytes): buckets of the 1- to 3-grams that begin at each byte; what is beyond a word's end counts as 0."""
+def gram_ids(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(3, bytes): buckets of the 1- to 3-grams that begin at each byte; what is beyond a word's end (ends, exclusive)
+    counts as 0."""
     n = len(data)
     pad = np.zeros(n + 2, dtype=np.uint32)
     pad[:n] = data
-    a, b, c = pad[:n], pad[1 : n + 1], pad[2:]
-    c = np.where(b == 0, 0, c)
+    last = np.zeros(n + 1, dtype=bool)
+    last[ends - 1] = True
+    a, b = pad[:n], np.where(last[:n], 0, pad[1 : n + 1]).astype(np.uint32)
+    c = np.where((b == 0) | last[1:], 0, pad[2:]).astype(np.uint32)
     out = np.empty((3, n), dtype=np.int32)
     for k, x in enumerate((a, a * np.uint32(257) + b + np.uint32(1), (a * np.uint32(257) + b) * np.uint32(263) + c + np.uint32(7))):
         out[k] = ((x * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32) + k * BUCKETS
@@ -61,20 +64,29 @@ def word_ids(w: textvec.Words) -> np.ndarray:
     return out
 
 
+#: Bytes of text whose n-grams are looked up at once.
+_SLICE_BYTES = 1 << 18
+
+
 def emissions(w: textvec.Words, model: Model) -> np.ndarray:
     """(words, languages): each word's score."""
     n = len(model.langs)
-    if not len(w.starts):
-        return np.zeros((0, n), dtype=np.float32)
     score = np.zeros((len(w.starts), n), dtype=np.float32)
+    if not len(w.starts):
+        return score
     for ids in word_ids(w):
         score += model.whole[ids]
-    at = gram_ids(w.data)
-    total = model.grams[at[0]]
-    total += model.grams[at[1]]
-    total += model.grams[at[2]]
-    total[w.data == 0] = 0
-    return score + np.add.reduceat(total, w.starts, axis=0)
+    cut = [0, *(np.flatnonzero(np.diff(w.starts // _SLICE_BYTES)) + 1).tolist(), len(w.starts)]
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        begin = w.starts[lo]
+        data = w.data[begin : w.ends[hi - 1]]
+        at = gram_ids(data, w.ends[lo:hi] - begin)
+        total = model.grams[at[0]]
+        total += model.grams[at[1]]
+        total += model.grams[at[2]]
+        total[data == 0] = 0
+        score[lo:hi] += np.add.reduceat(total, w.starts[lo:hi] - begin, axis=0)
+    return score
 
 
 def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -156,7 +168,7 @@ def _part(texts: list[str], labels: list[int], rng: np.random.Generator) -> Part
     lengths = np.array([b - a for a, b in spans])
     cut = np.append(0, np.cumsum(np.add.reduceat(lengths, np.arange(0, len(lengths), 4))))
     inside = np.flatnonzero(w.data != 0)
-    return Part(word_ids(w), gram_ids(w.data)[:, inside], np.searchsorted(inside, w.starts), order, cut, np.array(labels)[text_of][order])
+    return Part(word_ids(w), gram_ids(w.data, w.ends)[:, inside], np.searchsorted(inside, w.starts), order, cut, np.array(labels)[text_of][order])
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 11, part_chars: int = 1 << 18) -> Model:
