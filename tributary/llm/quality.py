@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import common, textvec
@@ -20,7 +20,8 @@ KEEP_SHARE = 0.8
 #: are broadcast, so texts are not shuffled; the model of raw text is of all texts.
 TARGET_ROWS = 20_000
 SEED = 1729
-_STEPS = 65_536
+#: Values among which the driver finds the k-th by itself, and steps in which a task counts those of more.
+_SEEN, _STEPS = 50_000, 4096
 
 
 def bucket_numbers(w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -78,29 +79,56 @@ def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     return common.map_arrow(kept, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", log_weight double")
 
 
+def kth(rows: DataFrame, value: Column, k: int) -> tuple:
+    """The k-th smallest of a number (double or long, not null) over rows, how many are smaller, and how many equal.
+
+    Values are counted in steps of equal width, then those of the step that has the k-th in narrower ones, until a step
+    has no more than the driver may see or one value only: so neither a task nor the driver ever orders them all."""
+    rows = rows.select(value.alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    below = 0
+    while low != high:
+        width = float(high - low) / _STEPS
+        way = (F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("double") if isinstance(low, int) else F.col("v") - F.lit(low)
+        inside = rows.filter((F.col("v") >= low) & (F.col("v") <= high))
+        steps = inside.groupBy(F.least(F.lit(_STEPS - 1), F.floor(way / width)).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for step in sorted(steps, key=lambda r: r["s"]):
+            if below + step["n"] >= k:
+                low, high, n = step["lo"], step["hi"], step["n"]
+                break
+            below += step["n"]
+        if low != high and n <= _SEEN:
+            seen = sorted(r[0] for r in rows.filter((F.col("v") >= low) & (F.col("v") <= high)).collect())
+            v = seen[k - below - 1]
+            return v, below + seen.index(v), seen.count(v)
+    return low, below, rows.filter(F.col("v") == F.lit(low)).count()
+
+
 def gumbel_top_k(rows: DataFrame, k: int | None = None, share: float = KEEP_SHARE, temperature: float = 1.0, seed: int = SEED) -> DataFrame:
     """rows(doc_id, log_weight, ...) plus score (log_weight / temperature plus Gumbel noise) and selected: the k
-    highest scores (or `share` of all rows), exactly; ties go to the smaller doc_id, then to the smaller hash.
+    highest scores (or `share` of all rows), exactly; ties go to the smaller doc_id (null last), then to the smaller
+    hash of the row, and among rows that are the same in all to any.
 
-    The noise is a hash of the row and the seed, so a task that runs again draws the same. The k-th score is found
-    by counting scores in steps, then ranking only the rows in the step where it lies."""
+    The noise is a hash of the row and the seed, so a task that runs again draws the same. What parts the selected from
+    the others is found by counts (see kth): no task ranks rows, however many have one score."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "log_weight"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     scored = rows.withColumn("score", F.col("log_weight") / temperature - F.log(-F.log(u)))
     scored = common.stash(scored, "gumbel-scores")
-    n, low, high = scored.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).first()
+    n = scored.count()
     k = min(n, round(n * share) if k is None else k)
-    if not n or not k:
+    if not k:
         return scored.withColumn("selected", F.lit(False))
-    width = (high - low) / _STEPS or 1.0
-    step = F.least(F.lit(_STEPS - 1), F.floor((F.col("score") - low) / width)).cast("int")
-    by_step = dict(scored.groupBy(step.alias("step")).count().collect())  # _STEPS rows at most
-    above, cut = 0, _STEPS - 1
-    while above + by_step.get(cut, 0) < k:
-        above += by_step.get(cut, 0)
-        cut -= 1
-    order = Window.orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), F.xxhash64(*rows.columns))
-    ranked = scored.filter(step == cut).withColumn("selected", F.row_number().over(order) <= k - above)
-    return scored.filter(step != cut).withColumn("selected", step > cut).unionByName(ranked)
+    # The last two tell apart rows that are the same in all columns.
+    keys = [-F.col("score"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(*rows.columns), F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+    chosen, tied, need, pool = F.lit(False), F.lit(True), k, scored
+    for key in keys:
+        v, below, equal = kth(pool, key, need)
+        chosen, need = chosen | (tied & (key < v)), need - below
+        tied = tied & (key == v)
+        if equal == need:
+            break
+        pool = pool.filter(key == v)
+    return scored.withColumn("selected", chosen | tied)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
