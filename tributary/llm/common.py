@@ -25,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); a local one of our own only where it is unset."""
+    """The folder that all machines share (spark.checkpoint.dir). Where it is unset, a local session gets a folder of its
+    own; on a cluster that is an error, as machines would not see each other's files."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not shared and "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tributary-")
         atexit.register(shutil.rmtree, _own["dir"], True)

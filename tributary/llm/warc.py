@@ -197,11 +197,11 @@ class LoserTree:
 def merge_runs(runs: DataFrame, rows: int | None = None) -> DataFrame:
     """K-way merge of sorted runs into globally ordered capture histories: by url_key, captured_at and page_id.
 
-    Each task gets one key range, about MERGE_ROWS captures (a hot URL is cut by time and id); its shuffle blocks
-    are slices of sorted runs, which a loser tree merges. Adds range_no and position: their order is the global order."""
+    Each task gets one key range, about MERGE_ROWS captures (a hot URL is cut by time and id, and rows that are the same
+    in all by their number in the runs); its shuffle blocks are slices of sorted runs, which a loser tree merges. Adds range_no and position: their order is the global order."""
     rows = runs.count() if rows is None else rows
     parts = max(1, -(-rows // MERGE_ROWS))
-    dealt = runs.repartitionByRange(parts, "url_key", "captured_at", "page_id")
+    dealt = runs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, "url_key", "captured_at", "page_id", "_row").drop("_row")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
