@@ -163,6 +163,21 @@ def test_files_in_reports_and_records_out(spark, tmp_path):
         merge(spark, str(tmp_path / "in" / "*.spdx"))
 
 
+@pytest.mark.parametrize(("name", "text", "rule"), [
+    ("a.spdx", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\nRelationship: SPDXRef-x CONTAINS\n", "lines"),
+    ("a.spdx", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\n##Package\n\nPackageName: y\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 02\n", "duplicate_refs"),
+    ("a.spdx", "SPDXVersion: SPDX-2.3\n", "empty_reports"),
+    ("DEP5_a.txt", "Format: f\n\nFiles: a\nCopyrihgt: me\nLicense: MIT\n", "fields"),
+    ("CYCLONEDX_JSON_a.json", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.3", "components": [component("r", "n", "AA", "MIT")]}), "headers"),
+    ("CYCLONEDX_JSON_a.json", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "components": [component("r", "", "AA", "MIT")]}), "components"),
+    ("SPDX3JSON_a.json", json.dumps([{"type": "software_File", "spdxId": "f", "verifiedUsing": [{"algorithm": "sha1", "hashValue": "ab"}]}, {"spdxId": "g"}]), "nodes"),
+])
+def test_broken_reports_are_told(spark, tmp_path, name, text, rule):
+    (tmp_path / name).write_text(text)
+    with pytest.raises(checks.InvalidReports, match=rule):
+        merge(spark, str(tmp_path / name))
+
+
 def test_a_new_process_goes_on_from_the_last_batch(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(rows, "k string, input_index int, source_id string, v string")
     new = lambda: MergeTable(spark, str(tmp_path / "t"), ["k"], ["input_index"], buckets=4, first=["v"])

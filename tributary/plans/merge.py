@@ -144,8 +144,8 @@ def _render(texts: DataFrame, tables: dict[str, DataFrame], format: str, ref_map
 def merge(spark: SparkSession, *globs: str, format: str | None = None, output: str | None = None, validate: bool = True) -> dict[str, DataFrame]:
     """Read reports, tell their format (or hold them to the one given), and merge them.
 
-    With validate, entries without an identity, references that an input declares twice and reports without entries
-    are errors. With output, a folder, the entries, the tables, the merged reports (a folder per set) and a provenance
+    With validate, entries without an identity, reports without entries, bytes that are not UTF-8 and what breaks the
+    format's own rules (formats.violations) are errors. With output, a folder, the entries, the tables, the merged reports (a folder per set) and a provenance
     record per set are written below it, and the tables returned are those written."""
     raw = reports.with_format(reports.read_reports(spark, *globs))
     found = [r[0] for r in reports.set_formats(raw).select("format").distinct().take(3)]
@@ -158,10 +158,9 @@ def merge(spark: SparkSession, *globs: str, format: str | None = None, output: s
     texts = reports.texts(raw)
     tables = merge_texts(texts, format, output)
     if validate:
-        rules = {"missing_identity": checks.missing_identity(tables["entries"]), "empty_reports": checks.empty_reports(texts.select("set_id", "input_index", "path"), tables["entries"])}
-        if "aliases" in tables:
-            rules["duplicate_refs"] = checks.duplicate_refs(tables["entries"], "ref")
-        checks.assert_valid(**rules)
+        entries = tables["entries"]
+        rules = {"invalid_utf8": checks.invalid_utf8(raw).select("path"), "missing_identity": checks.missing_identity(entries), "empty_reports": checks.empty_reports(texts.select("set_id", "input_index", "path"), entries)}
+        checks.assert_valid(**rules, **formats.violations(texts, entries, format))
     return write_merged(tables, texts, format, output) if output else tables
 
 

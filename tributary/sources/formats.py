@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as fx
+from tributary.operators import checks
 from tributary.operators.lines import lines as line_table
 from tributary.sources import sections as sc
 
@@ -427,6 +428,24 @@ def render_notice(headers: DataFrame, blocks: DataFrame, footers: DataFrame | No
     return _emit(head.unionByName(body).unionByName(foot))
 
 
+def violations(texts: DataFrame, entries: DataFrame, format: str) -> dict[str, DataFrame]:
+    """What breaks a format's own rules, by rule: wrong headers, components without name or type, nodes without a type,
+    malformed lines, fields that a stanza may not have, references that an input declares twice."""
+    out = {}
+    if format in ("cyclonedx", "spdx2tv", "spdx3json"):
+        out["duplicate_refs"] = checks.duplicate_refs(entries, "ref")
+    if format == "cyclonedx":
+        out["headers"] = checks.required_fields(cyclonedx_headers(texts), [], {"bomFormat": "CycloneDX", "specVersion": "1.4"})
+        out["components"] = checks.required_fields(entries, ["name", "type"]).select(*INPUT, "ref", "field")
+    elif format == "spdx3json":
+        out["nodes"] = checks.required_fields(nodes_from_spdx3(texts), ["type"]).select(*INPUT, "node_ord", "field")
+    elif format == "spdx2tv":
+        out["lines"] = checks.malformed_lines(_lines(texts))
+    elif format == "dep5":
+        out["fields"] = checks.unknown_stanza_fields(_dep5_sections(texts).filter("kind = 'stanza'"))
+    return out
+
+
 #: Parsers by format; register_format adds others.
 PARSERS = {"cyclonedx": entries_from_cyclonedx, "spdx3json": entries_from_spdx3, "clixml": entries_from_clixml, "spdx2tv": entries_from_tagvalue, "dep5": entries_from_dep5, "readmeoss": entries_from_notice}
 CONFLICT_HOOKS = {"dep5": glob_overlaps}
