@@ -640,7 +640,9 @@ def set_formats(spark, sf_dir):
     return reports.set_formats(reports.with_format(raw))
 
 
-@query()
+@query(_PAIRS + """SELECT pair_id, true AS told, true AS short FROM q WHERE regexp_replace(text, chr(10) || '$', '') <> regexp_replace(other, chr(10) || '$', '') OR (text = '') <> (other = '')""")
 def text_diff_summary(spark, sf_dir):
+    """Pairs whose lines differ have a summary of no more than eight changes and how many more there are."""
     a, b = _pairs(spark, sf_dir)
-    return lines.summarize_text_diff(lines.diff_rows(lines.opcodes(a, b), a, b))
+    said = lines.summarize_text_diff(lines.diff_rows(lines.opcodes(a, b), a, b))
+    return said.select("pair_id", (F.col("summary") != "").alias("told"), (F.size(F.split("summary", "\n")) <= 9).alias("short"))
