@@ -83,21 +83,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
-EDGES = "e long, next long, d long, th long, idx int, run int"
+EDGES = "e long, next long, d long, th long, idx int, run int, proof long"
 
 
 def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The edges of every row: e, the edge after it there, the row's key, its number there, and run: how often it
-    follows itself from there on. So text that repeats a few words over and over gives one row, not many."""
+    """The edges of every row: e, the edge after it there, the row's key, its number there, run: how often it follows
+    itself from there on, and proof: a second hash of its words, made of their bytes anew. So text that repeats a few
+    words over and over gives one row, not many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for w in textvec.chunks(batch.column(2), textvec.BLANK_SEPARATED):
-                e, _, _, rows, _ = edges_of(w, window)
+                e, starts, ends, rows, _ = edges_of(w, window)
                 if not len(e):
                     continue
                 e = e.view(np.int64)
+                proof = textvec.window_hashes(w.hashes(1), ends - starts, starts, which=2).view(np.int64)
                 new = np.append(True, rows[1:] != rows[:-1])
                 begin = np.flatnonzero(new)
                 idx = np.arange(len(e)) - np.repeat(begin, np.diff(np.append(begin, len(e))))
@@ -105,7 +107,7 @@ def edge_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 length = np.diff(np.append(at, len(e)))
                 e, rows, new = e[at], rows[at], new[at]
                 last = np.append(new[1:], True)
-                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.append(e[1:], 0), mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx[at].astype(np.int32)), pa.array(length.astype(np.int32))], [x.split()[0] for x in EDGES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.append(e[1:], 0), mask=last), pa.array(d[w.lo + rows]), pa.array(th[w.lo + rows]), pa.array(idx[at].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(proof[at])], [x.split()[0] for x in EDGES.split(", ")])
 
     return common.map_arrow(_keyed(docs), run, EDGES)
 
@@ -118,29 +120,34 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
 
 
 def paths(repeated: DataFrame) -> DataFrame:
-    """The repeated edges (e) with their place in the first document that has them (od, oth, oidx, orun: its key, the
-    edge's number and run there), the number of the first edge of their nonbranching path there (head), and plain:
-    whether the edge never follows itself.
+    """The repeated edges (e) with their place in the first document that has them (od, oth, oidx, orun, oproof: its key,
+    the edge's number, run and proof there), the number of the first edge of their nonbranching path there (head), and
+    plain: whether the edge never follows itself and has one proof wherever it occurs.
 
     An edge goes on in its path if one and the same edge follows wherever it occurs, and that one occurs as often: so
     neither occurs without the other, and all documents that have one edge of a path have all of it."""
     edges = repeated.groupBy("e").agg(
-        F.min(F.struct("d", "th", "idx", "run")).alias("first"), F.count(F.lit(1)).alias("n"), F.count("next").alias("followed"), F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("run").alias("most"),
+        F.min(F.struct("d", "th", "idx", "run", "proof")).alias("first"), F.count(F.lit(1)).alias("n"), F.count("next").alias("followed"), F.min("next").alias("lo"), F.max("next").alias("hi"),
+        F.max("run").alias("most"), (F.min("proof") == F.max("proof")).alias("proven"),
     )
-    plain = (F.col("most") == 1).alias("plain")
+    plain = ((F.col("most") == 1) & F.col("proven")).alias("plain")
     only = F.when((F.col("n") == F.col("followed")) & (F.col("lo") == F.col("hi")) & (F.col("most") == 1), F.col("lo")).alias("only")
-    own = edges.select("e", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), F.col("first.run").alias("orun"), plain, "n", only)
+    own = edges.select("e", F.col("first.d").alias("od"), F.col("first.th").alias("oth"), F.col("first.idx").alias("oidx"), F.col("first.run").alias("orun"), F.col("first.proof").alias("oproof"), plain, "n", only)
     w = Window.partitionBy("od", "oth").orderBy("oidx")
     joined = F.col("plain") & (F.lag("only").over(w) == F.col("e")) & (F.lag("n").over(w) == F.col("n"))
     own = own.withColumn("head", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("oidx")))
     head = F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.select("e", "od", "oth", "oidx", "orun", "plain", head.alias("head"))
+    return own.select("e", "od", "oth", "oidx", "orun", "oproof", "plain", head.alias("head"))
 
 
 def path_spans(repeated: DataFrame) -> DataFrame:
     """Per row key its spans along one path: an array of (first, last: numbers of edges here; reach: the last edge up
-    to which the first document goes on alike; od, oth, oidx: where the span is in that document; plain)."""
-    placed = repeated.select("e", "d", "th", "idx", "run").join(paths(repeated), "e")
+    to which the first document goes on alike; od, oth, oidx: where the span is in that document; plain). Edges are
+    held against the first document's at these places by their proofs."""
+    placed = repeated.select("e", "d", "th", "idx", "run", "proof").join(paths(repeated), "e")
+    # What fails the proof at its place in the first document is only like itself; its windows stay open.
+    like = F.col("proof") == F.col("oproof")
+    placed = placed.withColumns({o: F.when(like, F.col(o)).otherwise(F.col(own)) for o, own in (("od", "d"), ("oth", "th"), ("oidx", "idx"), ("orun", "run"))})
     w = Window.partitionBy("d", "th").orderBy("idx")
     before = lambda c: F.lag(c).over(w)
     goes_on = (before("idx") + before("run") == F.col("idx")) & (before("run") == before("orun")) & (before("oidx") + before("orun") == F.col("oidx"))
@@ -211,7 +218,7 @@ def settle(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame
                 if open_at:
                     at = np.concatenate([x for _, x in open_at])
                     row = np.repeat([r for r, _ in open_at], [len(x) for _, x in open_at])
-                    h1, h2 = (textvec.window_hashes(h, window, at, which).view(np.int64) for which in (1, 2))
+                    h1, h2 = (textvec.window_hashes(x, window, at, which).view(np.int64) for which, x in ((1, h), (2, w.hashes(1))))
                     for i in range(0, len(at), 100_000):
                         some = slice(i, i + 100_000)
                         r = row[some]
@@ -273,6 +280,17 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_copies(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k : k + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+f AS (SELECT win, min(doc_id) AS least FROM x GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM x JOIN f USING (win) WHERE least < doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM p ANTI JOIN g USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], window: int = WINDOW) -> list[tuple]:
     """(doc_id, n_words, n_removed, text) with every window of every document in one dictionary; for tests."""
     lists = [(d, (t or "").encode().split()) for d, t in docs]

@@ -60,17 +60,17 @@ class Words:
     first: np.ndarray  # for each row the index of its first word; one more entry at the end
     offsets: np.ndarray  # for each row its first byte; one more entry at the end
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, which)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; different ones for `which` 0, 1 and 2."""
     size = ends - starts
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
     eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    h = mix(size.astype(np.uint64) * _LEFT)
+    h = mix(size.astype(np.uint64) * _LEFT + np.uint64(_SEEDS[which]))
     live = np.flatnonzero(size <= _LONG_WORD)
     for at in range(0, _LONG_WORD, 8):
         live = live[size[live] > at]
@@ -78,7 +78,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             break
         h[live] = mix(h[live] ^ (eight[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]))
     for i in np.flatnonzero(size > _LONG_WORD).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
     return h
 
 
