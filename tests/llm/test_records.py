@@ -138,7 +138,7 @@ def test_conversations_come_back(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "conversations"):
+    for t in ("pages", "embeddings", "conversations", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     q = con.execute(registry.ORACLES[name])

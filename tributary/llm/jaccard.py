@@ -391,6 +391,18 @@ def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(common.table(spark, sf_dir, "documents")).drop("th")
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 75 * (x.n + y.n - both_have)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.seen FROM r JOIN l ON r.doc_id = l.a),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], shingle: int = SHINGLE) -> list[tuple]:
     """The same by comparing all pairs; for tests."""
     sets = []

@@ -18,4 +18,7 @@ QUERIES: dict = {
     "op10_substring_dedup": substring.op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict = {"op1_warc_index_merge": warc.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_chat_formatting": chat.ORACLE}
+ORACLES: dict = {
+    "op1_warc_index_merge": warc.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_chat_formatting": chat.ORACLE,
+    "op9_ngram_jaccard_join": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE,
+}
