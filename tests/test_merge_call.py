@@ -182,6 +182,8 @@ def test_a_new_process_goes_on_from_the_last_batch(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(rows, "k string, input_index int, source_id string, v string")
     new = lambda: MergeTable(spark, str(tmp_path / "t"), ["k"], ["input_index"], buckets=4, first=["v"])
     assert new().merged() is None
+    new().update(frame().limit(0), -1)
+    assert new().merged() is None
     new().update(frame(("a", 5, "s5", "late"), ("b", 1, "s1", "b"), (None, 1, "s1", "none")), 0)
     new().update(frame(("c", 1, "s1", "c"), ("a", 1, "s1", "early")), 1)
     new().update(frame(("c", 1, "s1", "c"), ("a", 1, "s1", "early")), 1)  # lost after it was written, and run again
