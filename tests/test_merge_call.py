@@ -6,7 +6,7 @@ import pytest
 
 from tributary.operators import checks
 from tributary.plans.merge import merge, merge_texts
-from tributary.sources import provenance
+from tributary.sources import formats, provenance
 from tributary.streaming.merge_stream import MergeTable, remerge
 
 TEXTS = "set_id string, input_index int, source_id string, text string"
@@ -159,23 +159,23 @@ def test_files_in_reports_and_records_out(spark, tmp_path):
     record = provenance.read_provenance(spark, str(tmp_path / "out" / "provenance_records"))
     assert record["inputs"].count() == 2 and record["provenance"].filter("size(sources) = 2").count() > 0
     (tmp_path / "in" / "bad.spdx").write_text("##Package\n\nPackageName: x\nSPDXID: SPDXRef-q\n")
-    with pytest.raises(checks.InvalidReports, match="missing_identity"):
+    (tmp_path / "in" / "none.spdx").write_text("SPDXVersion: SPDX-2.3\n")
+    with pytest.raises(checks.InvalidReports, match="(?s)missing_identity.*empty_reports"):
         merge(spark, str(tmp_path / "in" / "*.spdx"))
 
 
-@pytest.mark.parametrize(("name", "text", "rule"), [
-    ("a.spdx", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\nRelationship: SPDXRef-x CONTAINS\n", "lines"),
-    ("a.spdx", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\n##Package\n\nPackageName: y\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 02\n", "duplicate_refs"),
-    ("a.spdx", "SPDXVersion: SPDX-2.3\n", "empty_reports"),
-    ("DEP5_a.txt", "Format: f\n\nFiles: a\nCopyrihgt: me\nLicense: MIT\n", "fields"),
-    ("CYCLONEDX_JSON_a.json", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.3", "components": [component("r", "n", "AA", "MIT")]}), "headers"),
-    ("CYCLONEDX_JSON_a.json", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "components": [component("r", "", "AA", "MIT")]}), "components"),
-    ("SPDX3JSON_a.json", json.dumps([{"type": "software_File", "spdxId": "f", "verifiedUsing": [{"algorithm": "sha1", "hashValue": "ab"}]}, {"spdxId": "g"}]), "nodes"),
+@pytest.mark.parametrize(("kind", "text", "rule"), [
+    ("spdx2tv", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\nRelationship: SPDXRef-x CONTAINS\n", "lines"),
+    ("spdx2tv", "##Package\n\nPackageName: x\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 01\n\n##Package\n\nPackageName: y\nSPDXID: SPDXRef-x\nPackageChecksum: SHA1: 02\n", "duplicate_refs"),
+    ("dep5", "Format: f\n\nFiles: a\nCopyrihgt: me\nLicense: MIT\n", "fields"),
+    ("cyclonedx", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.3", "components": [component("r", "n", "AA", "MIT")]}), "headers"),
+    ("cyclonedx", json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "components": [component("r", "", "AA", "MIT")]}), "components"),
+    ("spdx3json", json.dumps([{"type": "software_File", "spdxId": "f", "verifiedUsing": [{"algorithm": "sha1", "hashValue": "ab"}]}, {"spdxId": "g"}]), "nodes"),
 ])
-def test_broken_reports_are_told(spark, tmp_path, name, text, rule):
-    (tmp_path / name).write_text(text)
+def test_broken_reports_are_told(spark, kind, text, rule):
+    texts = spark.createDataFrame([("s", 0, "a", text)], TEXTS)
     with pytest.raises(checks.InvalidReports, match=rule):
-        merge(spark, str(tmp_path / name))
+        checks.assert_valid(**formats.violations(texts, formats.PARSERS[kind](texts), kind))
 
 
 def test_a_new_process_goes_on_from_the_last_batch(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -168,10 +170,14 @@ def write_merged(tables: dict[str, DataFrame], texts: DataFrame, format: str, ou
     """Write the tables of merge_texts(..., folder=output) that are not there yet, merged reports, and a provenance
     record for each; return the tables as read back."""
     spark, out = texts.sparkSession, dict(tables)
-    for name, df in tables.items():
-        if df is not None and name not in ("entries", "aliases", "relationships", "merged"):  # these are written
-            df.write.mode("overwrite").parquet(f"{output}/{name}")
-            out[name] = spark.read.schema(df.schema).parquet(f"{output}/{name}")
+
+    def write(name: str) -> None:
+        tables[name].write.mode("overwrite").parquet(f"{output}/{name}")
+        out[name] = spark.read.schema(tables[name].schema).parquet(f"{output}/{name}")
+
+    written = ("entries", "aliases", "relationships", "merged")
+    with ThreadPoolExecutor(checks.JOBS) as pool:  # they do not hang on each other
+        list(pool.map(write, [name for name, df in tables.items() if df is not None and name not in written]))
     if out.get("reports") is not None:
         out["reports"].select("set_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("set_id").text(f"{output}/report")
     sets = texts.select("set_id").distinct().select("set_id", F.lit(format).alias("format"), F.current_timestamp().alias("created_at"))
