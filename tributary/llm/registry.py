@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, packing, pii, quality, substring, warc
+from tributary.llm import chat, decontaminate, embeddings, jaccard, langid, licenses, packing, pii, quality, substring, warc
 
 QUERIES: dict = {
     "op1_warc_index_merge": warc.op1_warc_index_merge,
@@ -16,9 +16,10 @@ QUERIES: dict = {
     "op8_pii": pii.op8_pii,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op12_license_scan": licenses.op12_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict = {
     "op1_warc_index_merge": warc.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_chat_formatting": chat.ORACLE,
-    "op9_ngram_jaccard_join": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE,
+    "op9_ngram_jaccard_join": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE, "op12_license_scan": licenses.ORACLE,
 }
