@@ -318,8 +318,9 @@ g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM w UNION ALL SELECT lang,
 f AS MATERIALIZED (SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL),
 c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
 k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
-s AS (SELECT k.lang, k.phrase, k.size, k.w, k.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.f * k.f) // (l.f::HUGEINT * r.f) AS score FROM k
-  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k + 1:], ' ')),
+h AS MATERIALIZED (SELECT lang, phrase, size, w, f AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM k),
+lf AS MATERIALIZED (SELECT lang, phrase AS first, f AS l FROM f WHERE f >= 10), rf AS MATERIALIZED (SELECT lang, phrase AS rest, f AS r FROM f WHERE f >= 10),
+s AS MATERIALIZED (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM h JOIN lf USING (lang, first) JOIN rf USING (lang, rest)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 t AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM c WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM c WHERE size = 3) GROUP BY 1, 2),
 u AS (SELECT b.* FROM b LEFT JOIN t USING (lang, phrase) WHERE t.f IS NULL OR 100 * t.f < 50 * b.a),
