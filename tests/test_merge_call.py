@@ -180,7 +180,7 @@ def test_broken_reports_are_told(spark, kind, text, rule):
 
 def test_a_new_process_goes_on_from_the_last_batch(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(rows, "k string, input_index int, source_id string, v string")
-    new = lambda: MergeTable(spark, str(tmp_path / "t"), ["k"], ["input_index"], buckets=4, first=["v"])
+    new = lambda: MergeTable(spark, str(tmp_path / "t"), ["k"], ["input_index"], fan_in=2, first=["v"])
     assert new().merged() is None
     new().update(frame().limit(0), -1)
     assert new().merged() is None

@@ -96,6 +96,50 @@ def merge_entries(entries: DataFrame, keys: list[str], order: list[str], union:
     return merged.withColumn("sources", sources).withColumn("source_id", F.array_join("sources", ",")).drop("_sources")
 
 
+def _state_fields(union: list[str], conflict: list[str], first: list[str]) -> list[tuple[str, str]]:
+    return [*[(f, "union") for f in union], *[(f, "first") for f in (*conflict, *first)], *[(f, "range") for f in conflict]]
+
+
+def entry_states(entries: DataFrame, keys: list[str], order: list[str], union: list[str], conflict: list[str], first: list[str], source: str = "source_id") -> DataFrame:
+    """What is needed of a key's entries to merge them with others later: counts, sources, sets of union fields, first
+    values with their ranks, least and greatest values. finish_states(entry_states(e)) is merge_entries(e)."""
+    check_policies(list(union), list(conflict))
+    rank, aggs = F.struct(*order), {"first": [], "union": [], "range": []}
+    for f, kind in _state_fields(union, conflict, first):
+        value, at = F.col(f), F.when(F.col(f).isNotNull(), rank)
+        if kind == "union":
+            aggs[kind].append(agg_union(value, _is_array(entries, f)).alias(f"set_{f}"))
+        elif kind == "first":
+            aggs[kind] += [F.min(at).alias(f"rank_{f}"), F.min_by(value, at).alias(f"first_{f}")]
+        else:
+            aggs[kind] += [F.min(value).alias(f"least_{f}"), F.max(value).alias(f"most_{f}")]
+    writers = F.collect_set(F.struct(F.col(order[0]).alias("at"), F.col(source).alias("id"))).alias("writers")
+    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entries"), writers, *aggs["union"], *aggs["first"], *aggs["range"])
+
+
+def combine_states(states: DataFrame, keys: list[str], union: list[str], conflict: list[str], first: list[str]) -> DataFrame:
+    """States of the same keys as one state each. Every part is associative and commutative, so neither the order of
+    batches nor how they were combined before matters."""
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    aggs = [F.sum("n_entries").alias("n_entries"), together("writers").alias("writers")]
+    for f, kind in _state_fields(union, conflict, first):
+        if kind == "union":
+            aggs.append(F.array_sort(together(f"set_{f}")).alias(f"set_{f}"))
+        elif kind == "first":
+            aggs += [F.min(f"rank_{f}").alias(f"rank_{f}"), F.min_by(f"first_{f}", f"rank_{f}").alias(f"first_{f}")]
+        else:
+            aggs += [F.min(f"least_{f}").alias(f"least_{f}"), F.max(f"most_{f}").alias(f"most_{f}")]
+    return states.groupBy(*keys).agg(*aggs)
+
+
+def finish_states(states: DataFrame, keys: list[str], union: list[str], conflict: list[str], first: list[str]) -> DataFrame:
+    """The merged rows, with the columns of merge_entries, of states with one row per key."""
+    sources = F.array_distinct(F.transform(F.array_sort("writers"), lambda s: s["id"]))
+    own = [F.col(f"set_{f}").alias(f) for f in union] + [F.col(f"first_{f}").alias(f) for f in (*conflict, *first)]
+    clash = [F.coalesce(F.col(f"least_{f}") != F.col(f"most_{f}"), F.lit(False)).alias(f"{f}_conflict") for f in conflict]
+    return states.select(*keys, "n_entries", *own, *clash, sources.alias("sources")).withColumn("source_id", F.array_join("sources", ","))
+
+
 def _long(entries: DataFrame, keys: list[str], fields: list[str], order: list[str], source: str) -> DataFrame:
     """One row per entry and field that it has."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
