@@ -111,7 +111,7 @@ def apply_edits(tree: DataFrame, edits: DataFrame, key: str = "set_id", on_error
         raise ValueError(on_error)
     root = lambda c: F.when(c == "/", "").otherwise(c)
     values = edits.filter("value is not null").select(key, "seq", F.struct(F.col(key).alias("k"), F.col("seq").alias("s")).alias("_id"), "value")
-    below = trees.field_tree(values.select("_id", F.col("value").alias("json")), "_id", hide=False)
+    below = trees.field_tree(values.select("_id", F.col("value").alias("json")), "_id", hide=False, piece=None)
     kind = trees._kind(F.to_json(F.parse_json("value")))
     top = values.select("_id", F.lit("").alias("path"), kind.alias("value_type"), F.to_json(F.parse_json("value")).alias("value"))
     subs = _state(below.select("_id", "path", "value_type", "value").unionByName(top), "_id").select(F.col("_id.k").alias(key), F.col("_id.s").alias("seq"), F.col("m").alias("sub"))
