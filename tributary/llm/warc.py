@@ -2,8 +2,9 @@
 
 Records are built and parsed with DataFrame functions. An archive part is a plain WARC/1.1 file: the text
 writer puts CRLF CRLF after each record, and the reader takes CRLF CRLF "WARC/1.1" CRLF as what parts records.
-A payload that holds CRLF CRLF "WARC/1.1" is sent with Transfer-Encoding: chunked, a chunk border inside it; the
-chunk extension names the payload's own digest, so that no payload can imitate the border."""
+A payload that holds "WARC/1.1" anywhere is sent with Transfer-Encoding: chunked, a chunk border inside it, so a block
+never holds it, whatever stands before or behind; the chunk extension names the payload's own digest, so that no payload
+can imitate the border."""
 
 from __future__ import annotations
 
@@ -18,8 +19,7 @@ from tributary.llm import common
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
 BORDER = CRLF + CRLF + VERSION + CRLF
-START = BORDER[:-2]
-HEAD, TAIL = START[:6], START[6:]
+HEAD, TAIL = VERSION[:2], VERSION[2:]
 #: Captures that one task of the index merge holds at most, about.
 MERGE_ROWS = 100_000
 #: Captures in a locally sorted run.
@@ -64,7 +64,7 @@ def _hex_length(c: Column) -> Column:
 
 
 def _chunked(payload: Column, digest: Column) -> Column:
-    parts = F.split(payload, START.replace(".", r"\."), -1)
+    parts = F.split(payload, VERSION.replace(".", r"\."), -1)
     n = F.size(parts)
 
     def chunk(x: Column, i: Column) -> Column:
@@ -76,7 +76,7 @@ def _chunked(payload: Column, digest: Column) -> Column:
 
 def records(rows: DataFrame) -> DataFrame:
     """One column, value: the WARC record of each row of with_revisits, without its closing CRLF CRLF."""
-    revisit, odd = F.col("record_type") == "revisit", F.col("payload").contains(START)
+    revisit, odd = F.col("record_type") == "revisit", F.col("payload").contains(VERSION)
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF),
         F.when(odd & ~revisit, "Transfer-Encoding: chunked" + CRLF).otherwise(F.concat(F.lit("Content-Length: "), F.octet_length("payload"), F.lit(CRLF))),
