@@ -132,8 +132,8 @@ def cut_items(benchmark: DataFrame, window: int, most: int) -> DataFrame:
 
 
 def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark in blocks of about block_bytes."""
-    sized = cut_items(benchmark, window, block_bytes // 2)
+    """The benchmark in blocks of about block_bytes. Equal rows count once, so a block's size follows from the hash."""
+    sized = cut_items(benchmark, window, block_bytes // 2).distinct()
     total = sized.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
