@@ -26,7 +26,8 @@ def band_top(band: int) -> int:
     return top
 
 
-_TOPS = np.array([band_top(b) for b in range(60)], dtype=np.int64)
+#: Up to sets of 10 ** 12 features, more than a text can have.
+_TOPS = np.array([band_top(b) for b in range(100)], dtype=np.int64)
 
 
 def band_parts(band) -> np.ndarray:
@@ -213,7 +214,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _needed(band: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(int(band_extra(b)) + 1) for b in range(60)]), band + 1)
+    return F.element_at(F.array(*[F.lit(int(band_extra(b)) + 1) for b in range(len(_TOPS))]), band + 1)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -291,20 +292,25 @@ def open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     return out
 
 
-#: Sets on either side of a tile, at most about: those apart from their pivot, and all of the pivot's.
+#: Sets on either side of a tile, at most about: those apart from their pivot, and all of the pivot's. And features of
+#: either side (or those of one set, if it has more).
 TILE_APART, TILE_ALL = 500, 1000
+TILE_FEATURES = 1 << 22
 _FEATURES = 2048
 
 
 def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among sets of open buckets of one pivot, of which at least one is of another component than the pivot.
     Sets of a bucket have one pivot, so no pair of a bucket is left out. A pivot's sets are dealt by a hash into tiles;
-    a tile counts what all pairs share by products of 0/1 matrices and emits only links that join something, so what
+    a tile of bounded sets and features counts what all pairs share by products of 0/1 matrices and emits only links that join something, so what
     is emitted grows with the sets, not with their pairs."""
     rows = members.groupBy(F.col("pivot").alias("a"), F.col("f").alias("b")).agg(F.bool_or("apart").alias("apart"))
-    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("u")).filter("u > 0")
-    rows = common.stash(rows.join(sizes, "a"), "apart-sets")
-    across, down = F.ceil(F.col("u") / TILE_APART).cast("int"), F.ceil(F.col("n") / TILE_ALL).cast("int")
+    rows = rows.join(sets.select(F.col("f").alias("b"), F.size("shingles").cast("long").alias("_m")), "b")
+    features = F.sum("_m").alias("m"), F.sum(F.when(F.col("apart"), F.col("_m")).otherwise(0)).alias("um")
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("u"), *features).filter("u > 0")
+    rows = common.stash(rows.drop("_m").join(sizes, "a"), "apart-sets")
+    pieces = lambda n, most, m: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(m) / TILE_FEATURES)).cast("int")
+    across, down = pieces("u", TILE_APART, "um"), pieces("n", TILE_ALL, "m")
     h = F.xxhash64("b")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     left = rows.filter("apart").select("a", "b", F.lit(True).alias("apart"), F.pmod(h, across).cast("int").alias("i"), F.explode(every(down)).alias("j"))
