@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tributary.operators import edits, lines, tree
@@ -93,3 +94,50 @@ def test_log(spark):
     assert [r["seq"] for r in edits.undo(log, 1, 1).collect()] == [2]
     with pytest.raises(IndexError):
         edits.undo(log, 1, 3)
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("pairs_a_line", [0, 8])
+def test_alignments_are_longest(monkeypatch, pairs_a_line):
+    """Common subsequences of random lists, of few values and of many, by both ways of finding them."""
+    monkeypatch.setattr(lines, "PAIRS_A_LINE", pairs_a_line)
+    rng = random.Random(pairs_a_line)
+    for n in range(400):
+        kinds = rng.choice([1, 2, 3, 10, 60])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.choice([0, 1, 5, 40, 130]))] for _ in range(2))
+        if n % 3 == 0:
+            b = [x for x in a if rng.random() < 0.9] + b[:3]
+        i, j = lines.longest_common(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+        assert (np.diff(i) > 0).all() and (np.diff(j) > 0).all() and [a[k] for k in i] == [b[k] for k in j]
+        assert len(i) == lcs(a, b), (a, b)
+
+
+def test_large_alignments():
+    """Thousands of lines: a shuffled file of few values, and one that is nearly the same."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 20, 6000), rng.integers(0, 20, 6000)
+    i, j = lines.longest_common(a, b)
+    assert len(i) == int(lines._common_lengths(a, b)[-1]) and (a[i] == b[j]).all() and 1500 < len(i) < 6000
+    a = rng.integers(0, 1 << 40, 200_000)
+    b = np.delete(a, rng.integers(0, len(a), 500))
+    i, j = lines.longest_common(a, np.append(b[::-1][:100], b))
+    assert len(i) == len(b)
+
+
+def test_summaries(spark):
+    pairs = [(1, "a\nb\n", "a\nb\n"), (2, "a\nb\n", "a\r\nb"), (3, "a\nx\ny\nc\n", "a\nz\nc\nd\n"), (4, "".join(f"l{i}\n" for i in range(20)), ""), (5, "q" * 900, "w" * 900), (6, "--\nk\n", "++\nk\n"), (7, "", "")]
+    texts = spark.createDataFrame(pairs, "pair_id int, left string, right string")
+    a, b = (lines.lines(texts, ["pair_id"], c) for c in ("left", "right"))
+    got = {r["pair_id"]: (r["n_changed"], r["summary"]) for r in lines.summarize_text_diff(lines.opcodes(a, b), a, b, texts).collect()}
+    assert got[1] == got[7] == (0, "(no textual change)") and got[2] == (0, "Document updated") and got[6] == (0, "Document updated")
+    assert got[3] == (4, "-x\n-y\n+z\n+d")
+    assert got[4] == (20, "\n".join(f"-l{i}" for i in range(8)) + "\n… (12 more changed lines)")
+    assert got[5][0] == 2 and len(got[5][1]) == 400 and got[5][1].endswith("q…")

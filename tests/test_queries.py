@@ -67,3 +67,12 @@ def test_reports_of_a_large_source_are_bounded(spark, tmp_path, monkeypatch):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_notice_an_empty_alignment(spark, con, monkeypatch):
+    """The queries about diffs fail where no line is ever matched."""
+    monkeypatch.setattr(queries.lines, "matches", lambda left, right, pair="pair_id": left.limit(0).select(pair, left.line_no.cast("int").alias("i"), left.line_no.cast("int").alias("j")))
+    for name in ("opcodes", "aligned_segments", "diff_rows", "diff_sizes", "text_diff_summary"):
+        q = con.execute(ORACLES[name])
+        columns = [d[0] for d in q.description]
+        assert sorted(map(tuple, QUERIES[name](spark, SF).select(*columns).collect()), key=str) != sorted(q.fetchall(), key=str), name

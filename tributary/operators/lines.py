@@ -5,9 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 MAX_WINDOW = 5000
 
@@ -65,18 +67,107 @@ def longest_chain(j: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _chained(candidates: DataFrame, pair: str) -> DataFrame:
-    """Of candidates(pair, i, j) a longest chain of each pair in which i and j both grow. Only numbers are moved; a task
-    holds those of one pair at a time."""
-    rows = candidates.select(pair, "i", "j").repartition(pair).sortWithinPartitions(pair, "i", "j")
+def _masks(b: np.ndarray):
+    """For a value the places where b has it, as the bits of a number; made anew each time, but kept for values that b
+    has often."""
+    order = np.argsort(b, kind="stable")
+    values, first = np.unique(b[order], return_index=True)
+    ends = np.append(first[1:], len(b))
+    where = {v: order[x:y] for v, x, y in zip(values.tolist(), first.tolist(), ends.tolist(), strict=True)}
+    often, kept = max(8, int(len(b) ** 0.5)), {}
+
+    def mask(v: int) -> int:
+        if v in kept:
+            return kept[v]
+        at = where.get(v)
+        if at is None:
+            return 0
+        if len(at) == 1:
+            return 1 << int(at[0])
+        bits = np.zeros(len(b), dtype=np.uint8)
+        bits[at] = 1
+        out = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if len(at) >= often:
+            kept[v] = out
+        return out
+
+    return mask
+
+
+def _common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with b[:0], b[:1], ... b: rows of the usual table as bits of
+    one number, so that a step of a takes len(b) / 64 machine words."""
+    full = (1 << len(b)) - 1
+    row, mask = full, _masks(b)
+    for v in a.tolist():
+        same = row & mask(v)
+        if same:
+            row = ((row + same) | (row - same)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+#: So many pairs of equal lines for each line are chained one by one; more are counted by bits.
+PAIRS_A_LINE = 8
+
+
+def longest_common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of a longest common subsequence, in order. Memory grows with the lines: where equal lines are
+    few, pairs of them are chained; else a is halved, and b is cut where the halves have most in common with its parts."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        a1, a2, b1, b2 = work.pop()
+        x, y = a[a1:a2], b[b1:b2]
+        n = min(len(x), len(y))
+        head = int(np.argmin(np.append(x[:n] == y[:n], False)))
+        tail = int(np.argmin(np.append((x[len(x) - n + head :] == y[len(y) - n + head :])[::-1], False))) if head < n else 0
+        if head:
+            found.append((np.arange(a1, a1 + head), np.arange(b1, b1 + head)))
+        if tail:
+            found.append((np.arange(a2 - tail, a2), np.arange(b2 - tail, b2)))
+        a1, a2, b1, b2 = a1 + head, a2 - tail, b1 + head, b2 - tail
+        x, y = a[a1:a2], b[b1:b2]
+        if not len(x) or not len(y):
+            continue
+        order = np.argsort(y, kind="stable")
+        lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+        pairs = int((hi - lo).sum())
+        if pairs <= PAIRS_A_LINE * (len(x) + len(y)) or len(x) == 1:
+            i = np.repeat(np.arange(len(x)), hi - lo)
+            # Of a line's partners the last comes first, so that a chain takes one of them at most.
+            j = order[np.repeat(hi - 1, hi - lo) - (np.arange(pairs) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo))]
+            chain = np.array(longest_chain(j.tolist()), dtype=np.int64)
+            found.append((a1 + i[chain], b1 + j[chain]))
+            continue
+        half = len(x) // 2
+        cut = int(np.argmax(_common_lengths(x[:half], y) + _common_lengths(x[half:][::-1], y[::-1])[::-1]))
+        work += [(a1, a1 + half, b1, b1 + cut), (a1 + half, a2, b1 + cut, b2)]
+    i, j = (np.sort(np.concatenate([f[k] for f in found])) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    return i, j
+
+
+def matches(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, i, j): equal lines in the same order on both sides, as many as there can be.
+
+    Lines that both sides have get a number, by equi-joins; lines that only one side has match nothing. Only numbers are
+    brought together, a pair's in one task, which holds those of one pair at a time."""
+    firsts = left.groupBy(pair, "line").agg(F.min("line_no").alias("id"))
+    known = firsts.join(right.select(pair, "line").distinct(), [pair, "line"])
+    side = lambda t, n: t.select(pair, "line", "line_no").join(known, [pair, "line"]).select(pair, F.lit(n).alias("side"), "line_no", "id")
+    rows = side(left, 0).unionByName(side(right, 1)).repartition(pair).sortWithinPartitions(pair, "side", "line_no")
+    out = StructType([rows.schema[pair], StructField("i", IntegerType()), StructField("j", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if held:
-                own = pa.Table.from_batches(held).combine_chunks()
-                yield from own.take(pa.array(longest_chain(own.column("j").to_pylist()), pa.int64())).to_batches()
+            own = pa.concat_tables(held).combine_chunks()
+            sides, nos, ids = (own.column(c).to_numpy() for c in (1, 2, 3))
+            cut = int(np.searchsorted(sides, 1))
+            i, j = longest_common(ids[:cut], ids[cut:])
+            key = own.column(0).take(pa.array(np.zeros(len(i), dtype=np.int64)))
+            yield from pa.table([key, pa.array(nos[:cut][i], pa.int32()), pa.array(nos[cut:][j], pa.int32())], names=out.names).combine_chunks().to_batches()
 
         last = None
         for b in batches:
@@ -89,37 +180,17 @@ def _chained(candidates: DataFrame, pair: str) -> DataFrame:
                     yield from finish()
                     held = []
                 last = keys[lo]
-                held.append(b.slice(lo, hi - lo))
-        yield from finish()
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _in_gaps(side: DataFrame, anchors: DataFrame, pair: str, name: str) -> DataFrame:
-    """Lines that no anchor has, with the number of anchors before them (gap)."""
-    marked = side.select(pair, F.col("line_no").alias(name), "line").join(anchors.select(pair, name, F.lit(1).alias("_a")), [pair, name], "left")
-    before = Window.partitionBy(pair).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("gap", F.coalesce(F.sum("_a").over(before), F.lit(0))).filter("_a is null").drop("_a")
-
-
-def matches(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """(pair, i, j): equal lines that stand in the same order on both sides. Lines that either side has once are anchors,
-    as many as fit in one order; between two anchors the k-th of equal lines meets the k-th, as many as fit again."""
-    def once(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(pair, "line").agg(F.min("line_no").alias(name), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
-
-    def nth(side: DataFrame, name: str) -> DataFrame:
-        return _in_gaps(side, anchors, pair, name).withColumn("nth", F.row_number().over(Window.partitionBy(pair, "gap", "line").orderBy(name)))
+                held.append(pa.Table.from_batches([b.slice(lo, hi - lo)]))
+        if held:
+            yield from finish()
 
-    anchors = _chained(once(left, "i").join(once(right, "j"), [pair, "line"]), pair)
-    more = _chained(nth(left, "i").join(nth(right, "j"), [pair, "gap", "line", "nth"]), pair)
-    return anchors.unionByName(more)
+    return rows.mapInArrow(run, out)
 
 
 def opcodes(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Runs (pair, op_no, tag, i1, i2, j1, j2, row_start) that turn left into right: equal, replace, delete or insert,
-    ends exclusive. A valid alignment, near to the shortest one but not always it (see matches). A pair is one window
-    partition here, which streams through its runs: a very large pair takes time, not memory. row_start is the run's first row in diff_rows."""
+    ends exclusive: a shortest script, no other keeps more lines (see matches). A pair is one window partition here, which
+    streams through its runs: a very large pair takes time, not memory. row_start is the run's first row in diff_rows."""
     m = matches(left, right, pair)
     count = lambda rows, name: rows.groupBy(pair).agg(F.count(F.lit(1)).alias(name))
     sizes = count(left, "n").join(count(right, "m"), pair, "full_outer").select(pair, F.coalesce("n", F.lit(0)).cast("int").alias("i"), F.coalesce("m", F.lit(0)).cast("int").alias("j"))
@@ -199,11 +270,23 @@ def diff_entries(left: DataFrame, right: DataFrame, keys: list[str], value: str
     return both.select(*keys, "left_value", "right_value", status.alias("status"))
 
 
-def summarize_text_diff(rows: DataFrame, pair: str = "pair_id", most: int = 8) -> DataFrame:
-    """(pair, summary): the first changed rows of diff_rows and how many more there are."""
-    shown = F.when(F.col("type") == "insert", F.concat(F.lit("+ "), F.col("right"))).when(F.col("type") == "delete", F.concat(F.lit("- "), F.col("left"))).otherwise(F.concat(F.lit("- "), F.coalesce("left", F.lit("")), F.lit(" + "), F.coalesce("right", F.lit(""))))
-    changed = rows.filter("type <> 'equal'").withColumn("_n", F.row_number().over(Window.partitionBy(pair).orderBy("row")))
-    first = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", shown.alias("s")))))
-    out = changed.groupBy(pair).agg(first.alias("_f"), F.count(F.lit(1)).alias("n"))
-    more = F.when(F.col("n") > most, F.concat(F.lit("\n"), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
-    return out.select(pair, F.concat(F.array_join(F.transform("_f", lambda x: x["s"]), "\n"), more).alias("summary"))
+def summarize_text_diff(ops: DataFrame, left: DataFrame, right: DataFrame, texts: DataFrame, pair: str = "pair_id", most: int = 8, length: int = 400) -> DataFrame:
+    """(pair, n_changed, summary) for every row of texts(pair, left, right), the whole texts.
+
+    summary has the first `most` removed (-) and added (+) lines, those of a run's left side first, and how many more
+    there are, cut to `length` letters. Equal texts and texts that differ in line ends alone are said to be so. As in a
+    unified diff, lines that then begin with --- or +++ would read as its header and are left out."""
+    def side(rows: DataFrame, sign: str, lo: str, hi: str, nth: int) -> DataFrame:
+        runs = ops.filter(f"tag <> 'equal' and {lo} < {hi}").select(pair, "op_no", F.explode(F.sequence(F.col(lo), F.col(hi) - 1)).alias("line_no"))
+        return runs.join(rows.select(pair, "line_no", "line"), [pair, "line_no"]).select(pair, F.struct("op_no", F.lit(nth).alias("side"), "line_no").alias("at"), F.concat(F.lit(sign), "line").alias("line"))
+
+    changed = side(left, "-", "i1", "i2", 0).unionByName(side(right, "+", "j1", "j2", 1)).filter(~F.col("line").rlike(r"^(---|\+\+\+)"))
+    counted = changed.withColumn("nth", F.row_number().over(Window.partitionBy(pair).orderBy("at")))
+    first = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "line"))))
+    told = counted.groupBy(pair).agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    more = F.when(F.col("n") > most, F.concat(F.lit("\n… ("), (F.col("n") - most).cast("string"), F.lit(" more changed lines)"))).otherwise("")
+    shown = F.concat(F.array_join(F.transform("first", lambda x: x["line"]), "\n"), more)
+    cut = F.when(F.length(shown) > length, F.concat(F.substring(shown, 1, length - 1), F.lit("…"))).otherwise(shown)
+    out = texts.select(pair, F.col("left").eqNullSafe(F.col("right")).alias("same")).join(told, pair, "left")
+    summary = F.when(F.col("same"), "(no textual change)").when(F.col("n").isNull(), "Document updated").otherwise(cut)
+    return out.select(pair, F.coalesce("n", F.lit(0)).cast("long").alias("n_changed"), summary.alias("summary"))

@@ -312,9 +312,11 @@ def tree_modes(spark, sf_dir):
     return out.unionByName(tree.filter_tree(t, "edited", edits=log).select("set_id", F.lit("edited").alias("mode"), "path"))
 
 
-@query("SELECT c_custkey AS set_id, c_mktsegment AS format FROM customer")
+@query("SELECT c_custkey AS set_id, c_mktsegment AS format, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey * 7919 % 1000 DESC, c_custkey) AS place FROM customer")
 def listed_catalog(spark, sf_dir):
-    return cat.list_catalog(_catalog(spark, sf_dir)).select("set_id", "format")
+    """The listing, newest first, with each set's place in it among those of its format."""
+    listed = cat.list_catalog(_catalog(spark, sf_dir)).withColumn("at", F.monotonically_increasing_id())
+    return listed.select("set_id", "format", F.row_number().over(Window.partitionBy("format").orderBy("at")).cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")

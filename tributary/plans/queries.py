@@ -444,14 +444,19 @@ def tree_overlay(spark, sf_dir):
 # --- lines and diffs ---------------------------------------------------------------------------------------------
 
 
-def _pairs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every document and the next one of its source, as lines of a pair's sides. Only ids are put in order."""
+def _pair_texts(spark, sf_dir: str) -> DataFrame:
+    """Every document (left) and the next one of its source (right). Only ids are put in order."""
     d = _t(spark, sf_dir, "documents")
     nxt = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
     ids = d.select("source", "doc_id").select("doc_id", nxt.alias("next_id")).filter("next_id is not null")
     p = d.select("doc_id", "text").join(ids, "doc_id").join(d.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id")
-    p = p.filter("other is not null and text is not null").select(F.col("doc_id").alias("pair_id"), "text", "other")
-    return lines.lines(p, ["pair_id"]), lines.lines(p, ["pair_id"], "other")
+    return p.filter("other is not null and text is not null").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left"), F.col("other").alias("right"))
+
+
+def _pairs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of both sides of a pair."""
+    p = _pair_texts(spark, sf_dir)
+    return lines.lines(p, ["pair_id"], "left"), lines.lines(p, ["pair_id"], "right")
 
 
 _PAIRS = """WITH p AS (SELECT doc_id AS pair_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents), q AS (SELECT * FROM p WHERE other IS NOT NULL AND text IS NOT NULL),
@@ -459,6 +464,15 @@ l AS (SELECT pair_id, unnest(string_split(regexp_replace(text, chr(10) || '$', '
 lc AS (SELECT pair_id, line, count(*) AS a FROM l GROUP BY 1, 2), rc AS (SELECT pair_id, line, count(*) AS b FROM r GROUP BY 1, 2) """
 
 
+#: After _PAIRS: lcs(pair_id, n, m, n_equal), with the length of a longest common subsequence of both sides' lines. Line by
+#: line of the left side, tails[k] is the least right line at which a common subsequence of k lines ends.
+_LCS = """, li AS (SELECT pair_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) END AS s, CASE WHEN other = '' THEN [] ELSE string_split(regexp_replace(other, chr(10) || '$', ''), chr(10)) END AS t FROM q),
+""" + (_STEPS := """z AS (SELECT pair_id, 0::BIGINT AS i, []::BIGINT[] AS tails FROM li UNION ALL
+  SELECT pair_id, i + 1, list_reduce(list_transform(list_filter(range(len(t)::BIGINT, 0, -1), lambda j: t[j] = s[i + 1]), lambda j: [j]), lambda a, x: a[1:len(list_filter(a, lambda v: v < x[1]))] || x || a[len(list_filter(a, lambda v: v < x[1])) + 2:], tails) FROM z JOIN li USING (pair_id) WHERE i < len(s)),
+lcs AS (SELECT pair_id, len(s)::BIGINT AS n, len(t)::BIGINT AS m, len(tails)::BIGINT AS n_equal FROM z JOIN li USING (pair_id) WHERE i = len(s)) """)
+_RECURSIVE_PAIRS = _PAIRS.replace("WITH", "WITH RECURSIVE", 1)
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM documents")
 def line_stats(spark, sf_dir):
     return lines.source_stats(_t(spark, sf_dir, "documents"), ["doc_id"])
@@ -474,41 +488,58 @@ def changed_line_counts(spark, sf_dir):
     return lines.changed_line_counts(*_pairs(spark, sf_dir))
 
 
-@query(_PAIRS + """, a AS (SELECT pair_id, count(*) AS n FROM l GROUP BY 1), b AS (SELECT pair_id, count(*) AS m FROM r GROUP BY 1)
-SELECT pair_id, coalesce(n, 0) AS left_lines, coalesce(m, 0) AS right_lines, true AS without_gaps, true AS equals_match FROM a FULL JOIN b USING (pair_id)""")
-def opcodes(spark, sf_dir):
-    """Alignments differ between tools; what must hold of each: its runs cover both sides without gaps, start at the
-    rows that the runs before them end at, and those called equal have equal lines."""
-    a, b = _pairs(spark, sf_dir)
-    ops = lines.opcodes(a, b)
+def _checked_runs(ops: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per pair what must hold of any shortest script: how many lines it keeps, whether its runs cover both sides without
+    gaps and start at the rows that the runs before them end at, and whether those called equal have equal lines."""
     w = Window.partitionBy("pair_id").orderBy("op_no")
     start = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
     span = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
     after = F.coalesce(F.lag(F.col("row_start") + span).over(w), F.lit(0))
     good = (F.col("i1") == start("i2")) & (F.col("j1") == start("j2")) & (F.col("row_start") == after) & ((F.col("tag") != "equal") | (F.col("i2") - F.col("i1") == F.col("j2") - F.col("j1")))
-    runs = ops.withColumn("good", good).groupBy("pair_id").agg(F.max("i2").cast("long").alias("left_lines"), F.max("j2").cast("long").alias("right_lines"), F.bool_and("good").alias("without_gaps"))
+    kept = F.sum(F.when(F.col("tag") == "equal", F.col("i2") - F.col("i1")).otherwise(0)).cast("long")
+    runs = ops.withColumn("good", good).groupBy("pair_id").agg(F.max("i2").cast("long").alias("left_lines"), F.max("j2").cast("long").alias("right_lines"), kept.alias("n_equal"), F.bool_and("good").alias("without_gaps"))
     wrong = lines.diff_rows(ops, a, b).filter("type = 'equal' and not (left <=> right)").select("pair_id").distinct().withColumn("_wrong", F.lit(True))
     return runs.join(wrong, "pair_id", "left").withColumn("equals_match", F.col("_wrong").isNull()).drop("_wrong")
 
 
-@query(_PAIRS + """, x AS (SELECT pair_id, unnest(range(len(s))) AS k, s FROM (SELECT pair_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS s FROM q WHERE text <> '')),
-y AS (SELECT pair_id, unnest(range(len(s))) AS k, s FROM (SELECT pair_id, string_split(regexp_replace(other, chr(10) || '$', ''), chr(10)) AS s FROM q WHERE other <> ''))
-SELECT pair_id, 'left' AS side, k AS line_no, s[k + 1] AS line FROM x UNION ALL SELECT pair_id, 'right', k, s[k + 1] FROM y""")
+_RUNS = "SELECT pair_id, n AS left_lines, m AS right_lines, n_equal, true AS without_gaps, true AS equals_match FROM lcs WHERE n + m > 0"
+
+
+@query(_RECURSIVE_PAIRS + _LCS + _RUNS)
+def opcodes(spark, sf_dir):
+    a, b = _pairs(spark, sf_dir)
+    return _checked_runs(lines.opcodes(a, b), a, b)
+
+
+@query("WITH RECURSIVE c AS (SELECT c_nationkey, list(c_mktsegment ORDER BY c_custkey) AS x FROM customer GROUP BY 1), li AS (SELECT c.c_nationkey AS pair_id, c.x AS s, d.x AS t FROM c JOIN c d ON d.c_nationkey = c.c_nationkey + 1), " + _STEPS + _RUNS)
+def aligned_segments(spark, sf_dir):
+    """The customers' segments of a nation and of the next one as lines: five different ones, over and over."""
+    c = _t(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("line"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("line_no"))
+    nations = c.select(F.col("c_nationkey").alias("n")).distinct()
+    a = c.join(nations, F.col("n") == F.col("c_nationkey") + 1, "left_semi").select(F.col("c_nationkey").alias("pair_id"), "line_no", "line")
+    b = c.join(nations, F.col("n") == F.col("c_nationkey") - 1, "left_semi").select((F.col("c_nationkey") - 1).alias("pair_id"), "line_no", "line")
+    return _checked_runs(lines.opcodes(a, b), a, b)
+
+
+@query(_RECURSIVE_PAIRS + _LCS + """, x AS (SELECT pair_id, 'left' AS side, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM li UNION ALL SELECT pair_id, 'right', unnest(range(len(t))), unnest(t) FROM li)
+SELECT pair_id, side, line_no, line, n_equal FROM x JOIN lcs USING (pair_id)""")
 def diff_rows(spark, sf_dir):
-    """Both sides read back from the rows of the diff."""
+    """Both sides read back from the rows of the diff, with the number of rows that are equal."""
     a, b = _pairs(spark, sf_dir)
     rows = lines.diff_rows(lines.opcodes(a, b), a, b)
+    equal = rows.groupBy("pair_id").agg(F.count_if((F.col("type") == "equal") & (F.col("left") == F.col("right"))).alias("n_equal"))
     side = lambda n: rows.filter(F.col(f"{n}_no").isNotNull()).select("pair_id", F.lit(n).alias("side"), F.col(f"{n}_no").cast("long").alias("line_no"), F.col(n).alias("line"))
-    return side("left").unionByName(side("right"))
+    return side("left").unionByName(side("right")).join(equal, "pair_id")
 
 
-@query(_PAIRS + ", ln AS (SELECT pair_id, count(*) AS n FROM l GROUP BY 1), rn AS (SELECT pair_id, count(*) AS m FROM r GROUP BY 1) SELECT pair_id, coalesce(n, 0) AS left_lines, coalesce(m, 0) AS right_lines, true AS adds_up FROM ln FULL JOIN rn USING (pair_id)")
+@query(_RECURSIVE_PAIRS + _LCS + "SELECT pair_id, n AS left_lines, m AS right_lines, n_equal, n + m - 2 * n_equal AS n_changed FROM lcs WHERE n + m > 0")
 def diff_sizes(spark, sf_dir):
-    """Rows per tag make up all rows, and no side has more lines than rows."""
-    m = lines.diff_meta(lines.opcodes(*_pairs(spark, sf_dir)))
-    least = F.col("n_equal") + F.col("n_delete"), F.col("n_equal") + F.col("n_insert")
-    adds_up = (F.col("n_equal") + F.col("n_replace") + F.col("n_insert") + F.col("n_delete") == F.col("n_rows")) & F.col("left_lines").between(least[0], least[0] + F.col("n_replace")) & F.col("right_lines").between(least[1], least[1] + F.col("n_replace"))
-    return m.select("pair_id", "left_lines", "right_lines", adds_up.alias("adds_up"))
+    """Rows per tag, and the changed lines of both sides that they stand for."""
+    a, b = _pairs(spark, sf_dir)
+    ops = lines.opcodes(a, b)
+    changed = ops.filter("tag <> 'equal'").groupBy("pair_id").agg(F.sum(F.col("i2") - F.col("i1") + F.col("j2") - F.col("j1")).cast("long").alias("n_changed"))
+    m = lines.diff_meta(ops).filter("n_equal + n_replace + n_insert + n_delete = n_rows")
+    return m.join(changed, "pair_id", "left").select("pair_id", "left_lines", "right_lines", "n_equal", F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
 @query(_PAIRS + "SELECT pair_id, side, count(*) AS n FROM (SELECT pair_id, 'left' AS side, line FROM l UNION ALL SELECT pair_id, 'right', line FROM r) WHERE lower(line) LIKE '%license%' GROUP BY 1, 2")
@@ -531,7 +562,7 @@ def diff_entries(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir: str) -> DataFrame:
-    sets = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_id"), F.col("c_mktsegment").alias("format"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.col("c_name").alias("output_filename"))
+    sets = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_id"), F.col("c_mktsegment").alias("format"), F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, c_custkey * 7919 % 1000)").alias("created_at"), F.col("c_name").alias("output_filename"))
     o = _t(spark, sf_dir, "orders")
     inputs = o.select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("input_index"), F.concat(F.lit("o"), "o_orderkey").alias("source_id"))
     return cat.catalog(sets, inputs, o.filter("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "set_id"), o.filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "set_id"))
@@ -640,9 +671,14 @@ def set_formats(spark, sf_dir):
     return reports.set_formats(reports.with_format(raw))
 
 
-@query(_PAIRS + """SELECT pair_id, true AS told, true AS short FROM q WHERE regexp_replace(text, chr(10) || '$', '') <> regexp_replace(other, chr(10) || '$', '') OR (text = '') <> (other = '')""")
+@query(_RECURSIVE_PAIRS + _LCS + """, h AS (SELECT pair_id, len(list_filter(s, lambda v: starts_with(v, '--'))) + len(list_filter(t, lambda v: starts_with(v, '++'))) AS n_headers FROM li)
+SELECT pair_id, n + m - 2 * n_equal AS n_changed, CASE WHEN text = other THEN 'same' WHEN n + m = 2 * n_equal THEN 'line ends' ELSE 'lines' END AS kind, true AS fits FROM lcs JOIN q USING (pair_id) JOIN h USING (pair_id) WHERE n_headers = 0""")
 def text_diff_summary(spark, sf_dir):
-    """Pairs whose lines differ have a summary of no more than eight changes and how many more there are."""
+    """Summaries of pairs without lines that read as a diff's header (those are left out of a summary): how many changed
+    lines each speaks of, what kind it is, and whether it is short."""
     a, b = _pairs(spark, sf_dir)
-    said = lines.summarize_text_diff(lines.diff_rows(lines.opcodes(a, b), a, b))
-    return said.select("pair_id", (F.col("summary") != "").alias("told"), (F.size(F.split("summary", "\n")) <= 9).alias("short"))
+    said = lines.summarize_text_diff(lines.opcodes(a, b), a, b, _pair_texts(spark, sf_dir))
+    headers = a.filter(F.col("line").startswith("--")).select("pair_id").unionByName(b.filter(F.col("line").startswith("++")).select("pair_id"))
+    kind = F.when(F.col("summary") == "(no textual change)", "same").when(F.col("summary") == "Document updated", "line ends").when(F.col("summary").rlike("^[-+]"), "lines")
+    said = said.join(headers.distinct(), "pair_id", "left_anti")
+    return said.select("pair_id", "n_changed", kind.alias("kind"), (F.length("summary") <= 400).alias("fits"))
