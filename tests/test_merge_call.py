@@ -162,6 +162,13 @@ def test_files_in_reports_and_records_out(spark, tmp_path):
     (tmp_path / "in" / "none.spdx").write_text("SPDXVersion: SPDX-2.3\n")
     with pytest.raises(checks.InvalidReports, match="(?s)missing_identity.*empty_reports"):
         merge(spark, str(tmp_path / "in" / "*.spdx"))
+    # A call that fails leaves what an earlier one has written, and nothing beside it; one that works replaces it.
+    with pytest.raises(checks.InvalidReports):
+        merge(spark, str(tmp_path / "in" / "*.spdx"), output=str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "merged")).count() == 6 and not list(tmp_path.glob("out.*"))
+    again = merge(spark, str(tmp_path / "in" / "r0.spdx"), output=str(tmp_path / "out"))
+    assert again["merged"].count() == 1 + 2 + 1 and not list(tmp_path.glob("out.*"))
+    assert len(spark.read.text(str(tmp_path / "out" / "report" / "*" / "*.txt"), wholetext=True).collect()) == 1
 
 
 @pytest.mark.parametrize(("kind", "text", "rule"), [

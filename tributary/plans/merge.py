@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,12 +34,12 @@ def _namespaced(entries: DataFrame, texts: DataFrame, format: str) -> tuple[Data
     return refs.namespace(entries, ["ref"]), ref_map
 
 
-def merge_texts(texts: DataFrame, format: str, folder: str | None = None) -> dict[str, DataFrame]:
+def merge_texts(texts: DataFrame, format: str, folder: str | None = None, check: Callable[[DataFrame], None] = lambda entries: None) -> dict[str, DataFrame]:
     """Merge texts (set_id, input_index, source_id, text) of one format: tables entries, merged, conflicts, provenance,
     for formats with references aliases and (tag-value only) relationships, and reports: a text per set.
 
     With a folder the tables are written below it one by one, so that none is computed twice; without, nothing runs until
-    a table is used, and each parses the texts anew. References are namespaced by input before the merge and point at the merged entries
+    a table is used, and each parses the texts anew. check gets the entries before anything is merged. References are namespaced by input before the merge and point at the merged entries
     after it. A licence text of a tag-value report takes id and name of its last writer."""
     if format not in formats.PARSERS:
         raise ValueError(f"no such format: {format}")
@@ -55,6 +57,7 @@ def merge_texts(texts: DataFrame, format: str, folder: str | None = None) -> dic
     if graph:
         entries, ref_map = _namespaced(entries, texts, format)
     entries = kept(entries, "entries")
+    check(entries)
     keys = [*KEYS, "component"] if format == "clixml" else KEYS
     union, conflict = ([f for f in fields if f in entries.columns] for fields in (union, conflict))
     first = [c for c in entries.columns if c not in (*keys, *PLACE, *union, *conflict)]
@@ -147,8 +150,10 @@ def merge(spark: SparkSession, *globs: str, format: str | None = None, output: s
     """Read reports, tell their format (or hold them to the one given), and merge them.
 
     With validate, entries without an identity, reports without entries, bytes that are not UTF-8 and what breaks the
-    format's own rules (formats.violations) are errors. With output, a folder, the entries, the tables, the merged reports (a folder per set) and a provenance
-    record per set are written below it, and the tables returned are those written."""
+    format's own rules (formats.violations) are errors, told before anything is merged. With output, a folder, the
+    entries, the tables, the merged reports (a folder per set) and a provenance record per set are written in a folder
+    beside it and put in their places when all of them are there: a call that fails leaves output as it was. The
+    tables returned are those written."""
     raw = reports.with_format(reports.read_reports(spark, *globs))
     found = [r[0] for r in reports.set_formats(raw).select("format").distinct().take(3)]
     if format is None:
@@ -158,12 +163,40 @@ def merge(spark: SparkSession, *globs: str, format: str | None = None, output: s
     bad = reports.format_mismatches(raw, format).select("path")
     checks.assert_valid(format_mismatches=bad)
     texts = reports.texts(raw)
-    tables = merge_texts(texts, format, output)
-    if validate:
-        entries = tables["entries"]
+
+    def check(entries: DataFrame) -> None:
         rules = {"invalid_utf8": checks.invalid_utf8(raw).select("path"), "missing_identity": checks.missing_identity(entries), "empty_reports": checks.empty_reports(texts.select("set_id", "input_index", "path"), entries)}
         checks.assert_valid(**rules, **formats.violations(texts, entries, format))
-    return write_merged(tables, texts, format, output) if output else tables
+
+    if not output:
+        return merge_texts(texts, format, None, check) if validate else merge_texts(texts, format)
+    staging = f"{output.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        tables = write_merged(merge_texts(texts, format, staging, check) if validate else merge_texts(texts, format, staging), texts, format, staging)
+        publish(spark, staging, output)
+    finally:
+        _files(spark, staging)[0].delete(_files(spark, staging)[1], True)
+    return {name: df and spark.read.schema(df.schema).parquet(f"{output}/{name}") for name, df in tables.items()}
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def publish(spark: SparkSession, staging: str, output: str) -> None:
+    """Put all folders of staging in the place of those of output. Each is renamed, and what was there is removed last."""
+    fs, at = _files(spark, staging)
+    old = f"{staging}-old"
+    for path in (output, old):
+        fs.mkdirs(_files(spark, path)[1])
+    for name in sorted(f.getPath().getName() for f in fs.listStatus(at)):
+        new, place = (_files(spark, f"{x}/{name}")[1] for x in (staging, output))
+        if fs.exists(place) and not fs.rename(place, _files(spark, f"{old}/{name}")[1]):
+            raise OSError(f"{place} can't be replaced")
+        if not fs.rename(new, place):
+            raise OSError(f"{place} can't be written")
+    fs.delete(_files(spark, old)[1], True)
 
 
 def write_merged(tables: dict[str, DataFrame], texts: DataFrame, format: str, output: str) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary.functions import text as fx
 from tributary.operators import catalog as cat
 from tributary.operators import checks, edits, lines, merge, refs, tree
+from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
 from tributary.plans.queries import _ORDER, ITEMS, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
 from tributary.plans.scratch import folder
@@ -151,6 +152,83 @@ def collected_entries(spark, sf_dir):
     return every.groupBy(F.col("source_id").alias("source")).agg(F.count(F.lit(1)).alias("n_entries"), F.count("status").alias("n_status"))
 
 
+# --- the one call, from files to merged tables ------------------------------------------------------------------
+
+#: Documents by source and doc_id range, three files a set; texts repeat within and across files.
+_FILED = r"""WITH b AS (SELECT 's' || regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') || '-' || doc_id // 1280 AS name_, doc_id % 3 AS n, doc_id, 'n' || doc_id AS name, 'body ' || coalesce(lang, '-') || ' ' || n_chars % 9 AS text, 'f' || doc_id % 4 AS file FROM documents),
+m AS (SELECT 'set=' || name_ AS set_id, text, arg_min(name, row(n, doc_id)) AS name, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT file)), '|') AS files FROM b GROUP BY 1, 2) """
+
+
+def _merged_files(spark, sf_dir: str, format: str, head, one, end: str = "") -> DataFrame:
+    """The table merged of one call of the merge over files of a format."""
+    path = folder(spark, f"files-{format}")
+    d = _t(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("s"), F.regexp_replace("source", "[^A-Za-z0-9]", "_"), F.lit("-"), F.floor(F.col("doc_id") / 1280).cast("string")).alias("set"), F.pmod("doc_id", F.lit(3)).alias("n"), "doc_id", F.concat(F.lit("n"), "doc_id").alias("name"), F.concat(F.lit("body "), F.coalesce("lang", F.lit("-")), F.lit(" "), F.pmod("n_chars", F.lit(9)).cast("string")).alias("text"), F.concat(F.lit("f"), F.pmod("doc_id", F.lit(4)).cast("string")).alias("file"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one(rows).alias("t")))), lambda x: x["t"]), "")
+    reports_ = rows.groupBy("set", "n").agg(F.concat(F.lit(head), parts, F.lit(end)).alias("value"))
+    reports_.repartition("n", "set").write.partitionBy("n", "set").text(path)
+    return merge_files(spark, f"{path}/*/*/*.txt", format=format, output=folder(spark, f"merged-{format}"))["merged"]
+
+
+@query(_FILED + "SELECT set_id, text, name, n_entries FROM m")
+def merge_dep5_files(spark, sf_dir):
+    m = _merged_files(spark, sf_dir, "dep5", reports.DEBIAN_HEAD + "1.0/\nUpstream-Name: u\n", lambda r: F.concat(F.lit("\nLicense: "), "name", F.lit("\n "), "text", F.lit("\n")))
+    return m.select("set_id", "text", "name", "n_entries")
+
+
+@query(_FILED + "SELECT set_id, text, name, n_entries FROM m")
+def merge_notice_files(spark, sf_dir):
+    rule, thin = "=" * 120, "-" * 120
+    m = _merged_files(spark, sf_dir, "readmeoss", f"{rule}\n\npkg\n\n{thin}\n\n{rule}\n\n MAIN LICENSES \n\n{thin}\n\n", lambda r: F.concat("name", F.lit("\n\n"), "text", F.lit(f"\n\n{thin}\n\n")), "<Copyright notices>\n(c)\n\n<notices>\n")
+    return m.select("set_id", "text", "name", "n_entries")
+
+
+@query(_FILED + "SELECT set_id, text, name, n_entries, files FROM m")
+def merge_clixml_files(spark, sf_dir):
+    one = lambda r: F.concat(F.lit('<License type="t" name="'), "name", F.lit('"><Content><![CDATA['), "text", F.lit("]]></Content><Files>"), "file", F.lit("</Files></License>"))
+    m = _merged_files(spark, sf_dir, "clixml", '<ComponentLicenseInformation component="c" componentSHA1="AB">', one, "</ComponentLicenseInformation>")
+    return m.filter("section = 'License'").select("set_id", F.col("content").alias("text"), "name", "n_entries", _join("files").alias("files"))
+
+
+@query("SELECT format, field, policy FROM (VALUES " + ", ".join(f"('{f}', '{x}', '{k}')" for f, p in merge.POLICIES.items() for k in ("union", "conflict") for x in p[k]) + """) v(format, field, policy) UNION ALL
+SELECT c_mktsegment, 'policy of ' || c_custkey, 'first-writer' FROM customer""")
+def loaded_policies(spark, sf_dir):
+    """The policies as a table, and fields of the given tables that it does not name, which are first-writer."""
+    known = merge.load_policies(spark)
+    asked = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("format"), F.concat(F.lit("policy of "), "c_custkey").alias("field"))
+    return known.unionByName(asked.join(known, ["format", "field"], "left").select("format", "field", F.coalesce("policy", F.lit("first-writer")).alias("policy")))
+
+
+@query("""SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND doc_id % 3 = 1""")
+def invalid_utf8(spark, sf_dir):
+    """Of all texts as bytes, every third with a byte that UTF-8 does not have, those that are told."""
+    d = _t(spark, sf_dir, "documents").filter("length(text) > 0")
+    content = F.when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit(b"\xff"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    return checks.invalid_utf8(d.withColumn("content", content)).select("doc_id")
+
+
+@query("""SELECT o_orderkey AS set_id, l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN CASE WHEN o_orderstatus = 'F' THEN 'ok' ELSE 'failed' END WHEN l_returnflag = 'A' THEN 'missing' ELSE 'ok' END AS status
+FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey""")
+def edit_statuses(spark, sf_dir):
+    """A log of tests, of edits to paths that are not there, and of replacements: what becomes of each."""
+    li = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").alias("seq")).agg(F.min("l_returnflag").alias("flag"))
+    op = F.when(F.col("flag") == "R", "test").when(F.col("flag") == "A", "remove").otherwise("replace")
+    path = F.when(F.col("flag") == "R", "/status").when(F.col("flag") == "A", "/nowhere").otherwise("/priority")
+    log = li.select("set_id", "seq", op.alias("op"), path.alias("path"), F.when(F.col("flag") == "R", '"F"').when(F.col("flag") != "A", '"new"').alias("value"), F.lit(None).cast("string").alias("from_path"))
+    return edits.apply_edits(tree.field_tree(_order_docs(spark, sf_dir, False)), log)[1].select("set_id", F.col("seq").cast("int").alias("seq"), "status")
+
+
+@query(ITEMS + """, g AS (SELECT DISTINCT identity_key FROM e WHERE i <= 3), a AS (SELECT identity_key, i, o, CASE WHEN flags = 'R' THEN 'replace' WHEN flags = 'A' THEN 'remove' ELSE 'add' END AS op FROM e)
+SELECT identity_key, i AS input_index, o[1] AS orderkey, CASE WHEN op <> 'add' AND g.identity_key IS NOT NULL THEN 'ok' ELSE 'missing' END AS status FROM a LEFT JOIN g USING (identity_key)""")
+def remerge_statuses(spark, sf_dir):
+    """A log of edits against the merge of the first inputs: ok, or missing where the entry or the operation is not there."""
+    e = item_entries(spark, sf_dir)
+    op = F.when(F.col("flags") == "R", "replace").when(F.col("flags") == "A", "remove").otherwise("add")
+    log = e.select("identity_key", F.struct("input_index", "entry_ord").alias("seq"), F.lit("status").alias("field"), op.alias("op"), F.lit("x").alias("value"))
+    _, status = remerge(e.filter("input_index <= 2"), e.filter("input_index = 3"), ["identity_key"], _ORDER, log, union=["flags"], first=["status"])
+    return status.select("identity_key", "seq.input_index", F.col("seq.entry_ord.l_orderkey").alias("orderkey"), "status")
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
