@@ -217,23 +217,36 @@ EXPRESSIONS = ["PackageLicenseConcluded", "PackageLicenseDeclared", "LicenseConc
 def tagvalue_sections(texts: DataFrame) -> DataFrame:
     """Tags with the section that they stand in: (input, line_no, section, kind, tag, value). A section starts at
     ##Package, ##File, LicenseID, or a PackageName outside a package; before the first it is the document's."""
-    rows = sc.fold_text_blocks(_lines(texts), INPUT)
+    return _tagvalue_sections(sc.fold_text_blocks(_lines(texts), INPUT))
+
+
+def _tagvalue_sections(rows: DataFrame, split: str | None = None) -> DataFrame:
     bare = F.trim("line")
     opened = F.when(bare == "##Package", "package").when(bare.startswith("##File"), "file").when(bare.startswith("LicenseID:"), "license_text").when(bare.rlike("^## License Information"), "none")
-    w = Window.partitionBy(*INPUT).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_open", opened).withColumn("_before", F.last("_open", ignorenulls=True).over(w))
+    rows = sc.running_last(rows.withColumn("_open", opened), INPUT, F.col("_open"), "_before", split, before=True)
     # An implicit package also starts at a second PackageName after another section.
     implicit = bare.startswith("PackageName:") & (F.coalesce("_before", F.lit("document")) != "package")
     rows = rows.withColumn("_open", F.when(implicit, "package").otherwise(F.col("_open")))
-    rows = sc.number_sections(rows, INPUT, F.col("_open").isNotNull())
-    kind = F.first("_open", ignorenulls=True).over(Window.partitionBy(*INPUT, "section"))
-    return sc.key_values(rows.withColumn("kind", F.coalesce(kind, F.lit("document")))).select(*INPUT, "line_no", "section", "kind", "tag", "value")
+    rows = sc.number_sections(rows, INPUT, F.col("_open").isNotNull(), split=split)
+    rows = sc.running_last(rows, INPUT, F.col("_open"), "kind", split)
+    return sc.key_values(rows.withColumn("kind", F.coalesce("kind", F.lit("document")))).select(*INPUT, "line_no", "section", "kind", "tag", "value")
 
 
 def entries_from_tagvalue(texts: DataFrame) -> DataFrame:
     """Packages, files and licence texts with their tags, checksums as a map, identity_key and ref. Tags that have no
     column of their own are in tags, an array of (tag, values); external references are a list."""
-    kv = tagvalue_sections(texts).filter("kind in ('package', 'file', 'license_text') and tag <> 'Relationship'")
+    return _tagvalue_entries(tagvalue_sections(texts))
+
+
+def entries_from_tagvalue_lines(lines: DataFrame) -> DataFrame:
+    """The same of reports.report_lines(...): a report of any size is parsed by as many tasks as it has splits; only an
+    entry, and a value from <text> to </text>, must fit a row."""
+    rows = sc.fold_split_blocks(lines.select(*INPUT, "split", "line_no", "line"), INPUT, "split")
+    return _tagvalue_entries(_tagvalue_sections(rows, "split"))
+
+
+def _tagvalue_entries(sections: DataFrame) -> DataFrame:
+    kv = sections.filter("kind in ('package', 'file', 'license_text') and tag <> 'Relationship'")
     key = [*INPUT, "section", "kind"]
     other = ~F.col("tag").isin(*TAGS_ONCE, *TAGS_MANY)
     rest = F.array_sort(F.collect_list(F.when(other, F.struct("line_no", "tag", "value")))).alias("_rest")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.plans.scratch import stash
+
 HEAD_BYTES = 4096
 #: Numbers of so many files are broadcast (some 200 bytes each), so that no content is shuffled; those of more are joined.
 BROADCAST_FILES = 200_000
@@ -13,13 +15,27 @@ NAME_PREFIXES = {"DEP5_": "dep5", "ReadMe_OSS_": "readmeoss", "SPDX3JSON_": "spd
 DEBIAN_HEAD = "Format: https://www.debian.org/doc/packaging-manuals/copyright-format/"
 
 
+def _empty_files(files: DataFrame) -> list[str]:
+    """Paths of empty files, which Spark lists but makes no rows of; names are looked at only where there are such."""
+    listed = files.inputFiles()
+    if len(listed) == files.select("path").count():
+        return []
+    jvm, seen = files.sparkSession.sparkContext._jvm, {r["path"] for r in files.select("path").collect()}
+    names = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x)).toString() for x in listed}
+    return sorted(names - seen)
+
+
 def read_reports(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
     """raw(set_id, input_index, source_id, path, content): all files of the globs, numbered by path within a set (their
     folder's name unless set_id is given). No glob, or one that matches nothing, is an error. A content is read by the
     tasks that use it."""
     if not globs:
         raise ValueError("no inputs")
-    raw = spark.read.format("binaryFile").load(list(globs)).select("path", "content")
+    raw = spark.read.format("binaryFile").load(list(globs))
+    empty = _empty_files(raw)
+    raw = raw.select("path", "content")
+    if empty:
+        raw = raw.unionByName(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
     folder = F.lit(set_id) if set_id else F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
     raw = raw.withColumn("set_id", folder).withColumn("source_id", F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
     # Only names are listed and ordered; contents get their numbers back by path.
@@ -30,6 +46,30 @@ def read_reports(spark: SparkSession, *globs: str, set_id: str | None = None) ->
     return raw.join(numbers, "path").select("set_id", "input_index", "source_id", "path", "content")
 
 
+def report_lines(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
+    """lines(set_id, input_index, source_id, path, split, line_no, line) of all files of the globs, numbered as in
+    read_reports. Spark reads a large file in splits of spark.sql.files.maxPartitionBytes, a task each, and cuts them at
+    line ends; split is a split's first byte. A line's number is its place in its split after the lines of the splits
+    before, from a table of one row a split. What is not UTF-8 becomes U+FFFD; lines end with LF, CR or both."""
+    if not globs:
+        raise ValueError("no inputs")
+    read = spark.read.text(list(globs))
+    at = F.monotonically_increasing_id().alias("at")  # grows within a split, as a split is read in one go
+    rows = stash(read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), at, F.make_valid_utf8("value").alias("line")), "report-lines")
+    splits = rows.groupBy("path", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    folder = F.lit(set_id) if set_id else F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
+    binary = spark.read.format("binaryFile").load(list(globs))  # only names are read
+    files = binary.select(F.col("_metadata.file_path").alias("path"))
+    if empty := _empty_files(binary):
+        files = files.unionByName(spark.createDataFrame([(p,) for p in empty], "path string"))
+    files = files.withColumn("set_id", folder).withColumn("source_id", F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    files = files.withColumn("input_index", F.row_number().over(Window.partitionBy("set_id").orderBy("path")) - 1)
+    numbered = rows.join(splits.join(files, "path"), ["path", "split"])
+    return numbered.select("set_id", "input_index", "source_id", "path", "split", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")
+
+
 def with_format(raw: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """raw with format by file name, then first bytes, then extension; null if none fits."""
     name, suffix = F.regexp_extract(path, "([^/]*)$", 1), F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
