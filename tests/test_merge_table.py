@@ -5,7 +5,8 @@ import random
 import pytest
 
 from tributary.operators import merge as ops
-from tributary.streaming.merge_stream import MergeTable
+from tributary.operators import refs
+from tributary.streaming.merge_stream import GraphTable, MergeTable
 
 SCHEMA = "k string, part int, input_index int, entry_ord int, source_id string, tags array<string>, name string, note string, size int"
 POLICIES = {"union": ["tags"], "conflict": ["name", "size"], "first": ["note"]}
@@ -83,3 +84,36 @@ def test_states_are_a_merge(spark):
     many = ops.finish_states(ops.combine_states(parts, KEYS, *args), KEYS, *args)
     want = rows(ops.merge_entries(e, KEYS, ORDER, **POLICIES))
     assert rows(one) == want and rows(many) == want
+
+
+def test_relationships_follow_survivors(spark, tmp_path):
+    """Inputs arrive from the lowest priority to the highest, so every batch changes survivors; after each batch the
+    relationships are those of a merge from scratch, and none dangles."""
+    rng = random.Random(7)
+    entry = "set_id string, identity_key string, input_index int, entry_ord int, source_id string, ref string, name string"
+    keys, order = ["set_id", "identity_key"], ["input_index", "entry_ord"]
+    batches = []
+    for n in (2, 1, 0):
+        rows = [(s, f"k{rng.randrange(6)}", n, i, f"in{n}", f"input{n}-{s}{i}", f"n{n}") for s in "ab" for i in range(8)]
+        own = [[r[5] for r in rows if r[0] == s] for s in "ab"]
+        edges = [(s, rng.choice(own[k]), "CONTAINS", rng.choice(own[k])) for k, s in enumerate("ab") for _ in range(12)]
+        batches.append((spark.createDataFrame(rows, entry), spark.createDataFrame(edges, "set_id string, src string, type string, dst string")))
+    survivors = []
+    for n, (e, r) in enumerate(batches):
+        GraphTable(spark, str(tmp_path / "g"), keys, order, fan_in=2).update(e, r, n)
+        t = GraphTable(spark, str(tmp_path / "g"), keys, order, fan_in=2)
+        t.update(e, r, n)  # twice
+        t.compact()
+        every = ops.collect_entries(*[b[0] for b in batches[: n + 1]])
+        edges = ops.collect_entries(*[b[1] for b in batches[: n + 1]])
+        want = refs.redirect_to_survivors(edges, ops.alias_map(every, keys, order, "ref"), ["src", "dst"]).distinct()
+        assert rows_of(t.relationships()) == rows_of(want) and t.dangling().count() == 0
+        survivors.append({r["ref"] for r in t.merged().collect()})
+        assert "all_refs" not in t.merged().columns
+    assert not survivors[0] & survivors[2]
+    with pytest.raises(ValueError):
+        GraphTable(spark, str(tmp_path / "x"), ["k"], order)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))

@@ -10,10 +10,10 @@ from tributary.operators import catalog as cat
 from tributary.operators import checks, edits, lines, merge, refs, tree
 from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
-from tributary.plans.queries import _ORDER, ITEMS, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
+from tributary.plans.queries import _BODY, _ORDER, ITEMS, _bodies, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
 from tributary.plans.scratch import folder
 from tributary.sources import formats, reports, sections
-from tributary.streaming.merge_stream import remerge
+from tributary.streaming.merge_stream import GraphTable, remerge
 
 # --- whole merges: every order is a report of its customer -------------------------------------------------------
 
@@ -152,6 +152,22 @@ def collected_entries(spark, sf_dir):
     return every.groupBy(F.col("source_id").alias("source")).agg(F.count(F.lit(1)).alias("n_entries"), F.count("status").alias("n_status"))
 
 
+@query(ITEMS + """, f AS (SELECT identity_key, min(row(i, l_orderkey)) AS first FROM (SELECT concat_ws('-', l_partkey, l_suppkey) AS identity_key, l_linenumber AS i, l_orderkey FROM lineitem) GROUP BY 1),
+r AS (SELECT DISTINCT concat_ws('-', l_partkey, l_suppkey) AS identity_key, l_orderkey, l_linenumber FROM lineitem)
+SELECT DISTINCT 'o' || l_orderkey AS src, first[1] || '-' || first[2] || '-' || identity_key AS dst FROM r JOIN f USING (identity_key)""")
+def redirected_arrivals(spark, sf_dir):
+    """Items of orders arrive in three batches, those of the highest priority last; each order's relationships to them
+    at the survivors of all."""
+    li = _t(spark, sf_dir, "lineitem").select(F.lit("s").alias("set_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("identity_key"), F.col("l_linenumber").alias("input_index"), F.col("l_orderkey").alias("entry_ord"), F.concat(F.lit("in"), "l_linenumber").alias("source_id"))
+    e = li.withColumn("ref", F.concat_ws("-", "input_index", "entry_ord", "identity_key"))
+    target = GraphTable(spark, folder(spark, "arriving-graph"), ["set_id", "identity_key"], ["input_index", "entry_ord"], fan_in=2)
+    for n, some in enumerate(("input_index > 4", "input_index between 3 and 4", "input_index < 3")):
+        own = e.filter(some)
+        target.update(own, own.select("set_id", F.concat(F.lit("o"), "entry_ord").alias("src"), F.lit("CONTAINS").alias("type"), F.col("ref").alias("dst")), n)
+        target.compact()
+    return target.relationships().select("src", "dst")
+
+
 # --- the one call, from files to merged tables ------------------------------------------------------------------
 
 #: Documents by source and doc_id range, three files a set; texts repeat within and across files.
@@ -229,6 +245,17 @@ def remerge_statuses(spark, sf_dir):
     return status.select("identity_key", "seq.input_index", F.col("seq.entry_ord.l_orderkey").alias("orderkey"), "status")
 
 
+@query(_BODY)
+def split_tagvalue(spark, sf_dir):
+    """All texts of a source in large tag-value files, which are read line by line in splits and parsed."""
+    path = folder(spark, "split-tagvalue")
+    b = _bodies(spark, sf_dir).withColumn("source", F.col("set_id.source"))
+    entry = F.concat(F.lit("LicenseID: LicenseRef-"), "name", F.lit("\nLicenseName: "), "source", F.lit("\nExtractedText: <text>"), "text", F.lit("</text>\n"))
+    b.select("source", F.pmod("ord", F.lit(4)).alias("n"), entry.alias("value")).repartition("source", "n").drop("n").write.partitionBy("source").text(path)
+    out = formats.entries_from_tagvalue_lines(reports.report_lines(spark, f"{path}/*/*.txt"))
+    return out.select(F.col("LicenseName").alias("set_id"), F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
