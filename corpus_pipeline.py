@@ -4,6 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ from tributary.llm import common, decontaminate, jaccard, langid, packing, pii
 LEAST_SCORE = 0.3
 
 
+#: Columns that stages read or bring up to date; all others only pass through.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def passes_others(stage):
+    """A stage that never sees columns beyond OWN under their names, so that they can't clash with an operator's."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        out = stage(spark, docs.withColumnsRenamed({c: f"other column {i}" for i, c in enumerate(others)}), sf_dir)
+        return out.withColumnsRenamed({f"other column {i}": c for i, c in enumerate(others)})
+
+    return run
+
+
+@passes_others
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known; a null lang becomes the predicted one."""
     seen = langid.identify(docs, langid.train(docs))
@@ -20,17 +39,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@passes_others
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, that with the smallest doc_id."""
     return jaccard.one_of_each(docs)
 
 
+@passes_others
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out of the texts; documents of which nothing is left go."""
     clean = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), mode="spans")
     return _counted(clean).filter(F.col("text").isNull() | F.col("text").rlike(r"\S"))
 
 
+@passes_others
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact personal data in the texts; every document stays."""
     return _counted(pii.redact(docs, pii.train(docs)))
@@ -55,8 +77,9 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Learned models and packing are beyond SQL. Tests run the stages one by one: near-duplicates, benchmark and packing
-#: against brute force, language and personal data by what they must and must not find.
+#: Learned models and packing are beyond SQL. A test runs the stages one by one, each on what the one before kept:
+#: near-duplicates and benchmark passages against brute force, packing by its places and lengths, language and personal
+#: data by what they must keep and must not leave.
 ORACLE_SQL = None
 
 
