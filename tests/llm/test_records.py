@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tributary.llm import chat, common, components, embeddings, pii, registry, warc
+from tributary.llm import chat, common, components, decontaminate, embeddings, jaccard, packing, pii, registry, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,12 +147,46 @@ def test_query_with_sql(spark, name):
 
 
 def test_pipeline(spark):
+    """Stage by stage on what the one before kept: near-duplicates and benchmark passages against brute force, personal
+    data by what must not be left, packing by its places and lengths."""
     docs = common.table(spark, SF, "documents")
     steps = [docs]
     for name, stage in corpus_pipeline.STAGES:
         steps.append(common.stash(stage(spark, steps[-1], SF), "stage"))
     assert all(s.columns == docs.columns for s in steps[:-1])
-    ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in steps]
+    texts = [{r["doc_id"]: r["text"] for r in s.select("doc_id", "text").collect()} for s in steps[:-1]]
+    ids = [set(t) for t in texts]
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False))
-    assert not any(pii.base_spans(r["text"] or "") for r in steps[4].collect())
-    assert {r["doc_id"] for r in steps[5].collect()} == ids[4]
+    assert len(ids[1]) > 0.8 * len(ids[0]) and all(texts[0][d] == t for d, t in texts[1].items())
+    assert ids[2] == {d for d, _, c in jaccard.brute_force(sorted(texts[1].items())) if d == c}
+    items = [tuple(r) for r in common.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    found = {r[0]: r for r in decontaminate.brute_force(sorted(texts[2].items()), items)}
+    assert {d for d in ids[2] if texts[3].get(d) != texts[2][d]} == {d for d, r in found.items() if r[2] > 0}
+    assert not any(r[2] for r in decontaminate.brute_force(sorted(texts[3].items()), items) if found[r[0]][2] == 0)
+    assert ids[4] == ids[3] and not any(pii.base_spans(t or "") for t in texts[4].values())
+    kept = [t for d, t in texts[4].items() if t != texts[3][d]]
+    assert all("<" in t for t in kept) and kept
+    placed = steps[5].collect()
+    assert {r["doc_id"] for r in placed} == ids[4]
+    runs: dict = {}
+    for r in placed:
+        runs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in runs.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(n for _, n in places) <= packing.CAPACITY
+
+
+def test_stages_take_any_columns(spark):
+    """Ties, repeated rows, nulls, and extra columns with the names that operators use inside."""
+    rows = [(1, "red fox runs in the old wood by day", "en"), (1, "red fox runs in the old wood by day", "en"), (2, "red fox runs in the old wood by day", None), (3, None, "en"), (4, "mail a@b.org or 10.0.0.1 at once please", "en"), (5, "", "de"), (6, "12345 67", "en")]
+    extra = {"component": "c", "th": "1", "f": "2", "spans": "s", "_key": "k", "score": "0.1", "lang_pred": "xx", "_items": "i", "label": "l"}
+    docs = spark.createDataFrame([(*r, "s", 1, *extra.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    for cut in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, cut, SF)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(r["component"] == "c" and r["_key"] == "k" and r["spans"] == "s" for r in got)
+        corpus_pipeline.STAGES[-1][1](spark, cut, SF).collect()
+    near = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in near) == [1, 3, 4, 5, 6]

@@ -387,9 +387,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     empty = found.filter("n_shingles = 0").select("doc_id", "th").distinct()
     first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min("th").alias("th")).select(F.col("component_id").alias("doc_id"), "th")
     stay = empty.unionByName(first).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(stay, rows["_key"].eqNullSafe(F.col("_th")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_key", "doc_id"]).drop("_key")
+    key = next(name for k in range(len(docs.columns) + 1) if (name := f"_key{k}") not in docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(stay, rows[key].eqNullSafe(F.col("_th")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    return kept.dropDuplicates([key, "doc_id"]).drop(key)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
