@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tributary.functions import text as fx
 from tributary.operators import checks
 from tributary.operators.lines import lines as line_table
+from tributary.plans.scratch import stash
 from tributary.sources import sections as sc
 
 INPUT = ["set_id", "input_index", "source_id"]
@@ -223,12 +224,12 @@ def tagvalue_sections(texts: DataFrame) -> DataFrame:
 def _tagvalue_sections(rows: DataFrame, split: str | None = None) -> DataFrame:
     bare = F.trim("line")
     opened = F.when(bare == "##Package", "package").when(bare.startswith("##File"), "file").when(bare.startswith("LicenseID:"), "license_text").when(bare.rlike("^## License Information"), "none")
-    rows = sc.running_last(rows.withColumn("_open", opened), INPUT, F.col("_open"), "_before", split, before=True)
+    rows = sc.running(rows.withColumn("_open", opened), INPUT, lasts={"_before": F.col("_open")}, split=split, before=True)
+    rows = stash(rows, "tag-value-lines") if split else rows
     # An implicit package also starts at a second PackageName after another section.
     implicit = bare.startswith("PackageName:") & (F.coalesce("_before", F.lit("document")) != "package")
     rows = rows.withColumn("_open", F.when(implicit, "package").otherwise(F.col("_open")))
-    rows = sc.number_sections(rows, INPUT, F.col("_open").isNotNull(), split=split)
-    rows = sc.running_last(rows, INPUT, F.col("_open"), "kind", split)
+    rows = sc.running(rows, INPUT, {"section": F.when(F.col("_open").isNotNull(), 1).otherwise(0)}, {"kind": F.col("_open")}, split)
     return sc.key_values(rows.withColumn("kind", F.coalesce("kind", F.lit("document")))).select(*INPUT, "line_no", "section", "kind", "tag", "value")
 
 
