@@ -105,8 +105,7 @@ def apply_edits(tree: DataFrame, edits: DataFrame, key: str = "set_id", on_error
     status): ok, missing (a path that isn't there or doesn't fit), failed (a test), or not run.
 
     edits(key, seq, op, path, value as JSON, from_path). on_error skip goes on after a bad edit, fail stops there. The
-    fold is built-in expressions over a map of the document's nodes; give it only the touched entries of large
-    documents (see apply_keyed_edits). Documents without edits stay as they are."""
+    fold is built-in expressions over a map of the document's nodes; for large documents see large_edits. Documents without edits stay as they are."""
     if on_error not in ("skip", "fail"):
         raise ValueError(on_error)
     root = lambda c: F.when(c == "/", "").otherwise(c)
@@ -115,7 +114,8 @@ def apply_edits(tree: DataFrame, edits: DataFrame, key: str = "set_id", on_error
     kind = trees._kind(F.to_json(F.parse_json("value")))
     top = values.select("_id", F.lit("").alias("path"), kind.alias("value_type"), F.to_json(F.parse_json("value")).alias("value"))
     subs = _state(below.select("_id", "path", "value_type", "value").unionByName(top), "_id").select(F.col("_id.k").alias(key), F.col("_id.s").alias("seq"), F.col("m").alias("sub"))
-    steps = edits.join(subs, [key, "seq"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "op", root(F.col("path")).alias("path"), root(F.col("from_path")).alias("source"), "sub")), lambda x, y: F.sign(x["seq"] - y["seq"]).cast("int")).alias("steps"))
+    pointer = (F.col("path") == "") | F.col("path").startswith("/")  # no other path is one
+    steps = edits.join(subs, [key, "seq"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.when(pointer, F.col("op")).alias("op"), F.coalesce(root(F.col("path")), F.lit("\0")).alias("path"), root(F.col("from_path")).alias("source"), "sub")), lambda x, y: F.sign(x["seq"] - y["seq"]).cast("int")).alias("steps"))
 
     def step(s: Column, e: Column) -> Column:
         m, op, path, sub = s["m"], e["op"], e["path"], e["sub"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary.functions import text as fx
 from tributary.operators import catalog as cat
 from tributary.operators import checks, edits, lines, merge, refs, tree
+from tributary.operators.large_edits import apply_large_edits
 from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
 from tributary.plans.queries import _BODY, _ORDER, ITEMS, _bodies, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
@@ -370,6 +371,41 @@ def undone_edits(spark, sf_dir):
     return edits.list_edits(edits.undo(log, first), first).select("seq")
 
 
+def _month_edits(spark, sf_dir):
+    """Nodes of one document per month, a list of its orders, and a log: pending orders are taken off one after the
+    other, urgent ones are put in at every second place, as far as the list goes."""
+    o = _t(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("set_id"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    at = Window.partitionBy("set_id").orderBy("o_orderkey")
+    o = o.withColumn("i", F.row_number().over(at) - 1)
+    items = o.select("set_id", F.concat(F.lit("/list/"), "i").alias("path"), F.col("o_orderkey").cast("string").alias("value"), F.lit("number").alias("value_type"), F.lit(0).alias("child_count"))
+    heads = o.groupBy("set_id").agg(F.count(F.lit(1)).cast("int").alias("child_count")).select("set_id", F.lit("/list").alias("path"), F.lit(None).cast("string").alias("value"), F.lit("array").alias("value_type"), "child_count")
+    step = lambda rows, first, op, index, value: rows.withColumn("j", F.row_number().over(at) - 1).select("set_id", (F.lit(first) + F.col("i")).cast("long").alias("seq"), F.lit(op).alias("op"), F.concat(F.lit("/list/"), index).alias("path"), value.alias("value"), F.lit(None).cast("string").alias("from_path"))
+    off = step(o.filter("o_orderstatus = 'P'"), 1, "remove", F.col("i") - F.col("j"), F.lit(None).cast("string"))
+    on = step(o.filter("o_orderpriority = '1-URGENT'"), 1 << 32, "add", F.col("j") * 2, F.to_json(F.struct(F.col("o_orderkey").alias("k"))))
+    return items.unionByName(heads), off.unionByName(on)
+
+
+_MONTHS = """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS set_id, o_orderkey AS k, o_orderstatus = 'P' AS off, o_orderpriority = '1-URGENT' AS ins FROM orders),
+s AS (SELECT set_id, count(*) FILTER (NOT off) AS n, count(*) FILTER (off) AS n_off, count(*) FILTER (ins) AS m, least(count(*) FILTER (ins), 1 + count(*) FILTER (NOT off)) AS used FROM o GROUP BY 1),
+old AS (SELECT set_id, k, row_number() OVER (PARTITION BY set_id ORDER BY k) - 1 AS r FROM o WHERE NOT off),
+new AS (SELECT set_id, k, row_number() OVER (PARTITION BY set_id ORDER BY k) - 1 AS r FROM o WHERE ins)"""
+
+
+@query(_MONTHS + """ SELECT set_id, '/list' AS path, '[]' AS value FROM s UNION ALL
+SELECT set_id, '/list/' || (CASE WHEN r < used THEN 2 * r + 1 ELSE r + used END), CAST(k AS VARCHAR) FROM old JOIN s USING (set_id) UNION ALL
+SELECT set_id, '/list/' || (2 * r), '{}' FROM new JOIN s USING (set_id) WHERE r < used UNION ALL
+SELECT set_id, '/list/' || (2 * r) || '/k', CAST(k AS VARCHAR) FROM new JOIN s USING (set_id) WHERE r < used""")
+def large_list_edits(spark, sf_dir):
+    """Removals and inserts in long lists, each at the index that earlier edits left it."""
+    return apply_large_edits(*_month_edits(spark, sf_dir))[0].select("set_id", "path", "value")
+
+
+@query(_MONTHS + """ SELECT set_id, 'ok' AS status, n_off + used AS n FROM s WHERE n_off + used > 0 UNION ALL SELECT set_id, 'missing', m - used FROM s WHERE m > used""")
+def large_edit_statuses(spark, sf_dir):
+    """How many edits of a month could be applied; an insert behind a list's end could not."""
+    return apply_large_edits(*_month_edits(spark, sf_dir))[1].groupBy("set_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT o_orderkey AS set_id, unnest(['/p2', '/priority', '/s2', '/tags', '/tags/0', '/tags/1', '/tags/2']) AS path, unnest(['"' || o_orderpriority || '"', '"' || o_orderpriority || '"', '"' || o_orderstatus || '"', '[]', '"urgent"', CAST(o_custkey AS VARCHAR), '"first"']) AS value FROM orders""")
 def edit_operations(spark, sf_dir):
     """Add into a list, copy, move, and tests that hold and that fail."""
