@@ -206,3 +206,20 @@ def test_odd_logs(spark):
     assert small[0] == got[0] and fold[0] == said[0][:5] + said[0][7:]  # log[5] is no pointer, log[6] no operation
     none = edited(spark, docs, [])
     assert none == ({0: nodes_of(docs[0][1]), 1: nodes_of(docs[1][1])}, {})
+
+
+def test_equal_branches_are_left_out(spark):
+    """Diffs with and without digests are equal, and what is joined is in proportion to the changes."""
+    rng = random.Random(3)
+    docs = [(i, {k: made(rng, 5) for k in "abcd"} | {"list": [made(rng, 3) for _ in range(300)]}) for i in range(4)]
+    changed = [(i, run(d, made_log(rng, d, 3) + [("remove", "/list/299", None, None), ("replace", "/list/7", "[1]", None)])[0] if i % 2 else d) for i, d in docs]
+    a, b = (tree.field_tree(spark.createDataFrame([(i, json.dumps(d)) for i, d in x], "set_id int, json string"), hide=False, with_json=True) for x in (docs, changed))
+    rows = lambda t: sorted(map(tuple, t.collect()), key=str)
+    plain = rows(edits.diff_to_edits(a, b))
+    assert plain and rows(edits.diff_to_edits(a, b, levels=(2,))) == plain == rows(edits.diff_to_edits(a, b, levels=(1, 2, 4)))
+    left, _ = edits.differing_branches(a, b, levels=(1, 2, 4))
+    assert {r[0] for r in left.select("set_id").distinct().collect()} <= {1, 3}
+    one = [(0, {"list": [{"v": [i]} for i in range(2000)]}), (1, {"list": [{"v": [i if i != 77 else -1]} for i in range(2000)]})]
+    a, b = (tree.field_tree(spark.createDataFrame([(0, json.dumps(d))], "set_id int, json string"), with_json=True) for _, d in one)
+    assert [t.count() for t in edits.differing_branches(a, b, levels=(2,))] == [3, 3]
+    assert [r["path"] for r in edits.diff_to_edits(a, b, levels=(2,)).collect()] == ["/list/77/v/0"]

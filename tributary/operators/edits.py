@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import text as fx
 from tributary.operators import tree as trees
+from tributary.plans.scratch import stash
 
 OBJECT, ARRAY = "{}", "[]"
 
@@ -162,9 +163,26 @@ def value_at(edits: DataFrame, tree: DataFrame, key: str = "set_id") -> DataFram
     return edits.join(tree.select(key, "path", F.col("value").alias("old_value")), [key, "path"], "left")
 
 
-def diff_to_edits(old: DataFrame, new: DataFrame, key: str = "set_id") -> DataFrame:
+def differing_branches(old: DataFrame, new: DataFrame, key: str = "set_id", levels: tuple[int, ...] = (2, 4)) -> tuple[DataFrame, DataFrame]:
+    """The nodes of both field trees that lie in branches which differ, seen level by level: of a branch only the digest
+    is shuffled, an exclusive or over the nodes of both trees, which is zero where they are the same (paths are unique;
+    128 bits of hash). What is left, nodes above a level that are equal among them, grows with the changes."""
+    for level in levels:
+        branch = F.substring_index("path", "/", level + 1)
+        node = [F.col("path"), F.col("value_type"), F.coalesce("value", F.lit(""))]
+        both = old.select(key, "path", "value_type", "value").unionByName(new.select(key, "path", "value_type", "value"))
+        digest = both.groupBy(key, branch.alias("_b")).agg(F.bit_xor(F.xxhash64(*node)).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), *node)).alias("y"))
+        open_ = stash(digest.filter("x <> 0 or y <> 0").select(key, "_b"), "branches")
+        kept = [t.withColumn("_b", branch).join(open_, [key, "_b"], "left_semi").drop("_b") for t in (old, new)]
+        old, new = (stash(t, "branch-nodes") for t in kept)
+    return old, new
+
+
+def diff_to_edits(old: DataFrame, new: DataFrame, key: str = "set_id", levels: tuple[int, ...] = ()) -> DataFrame:
     """Edits (key, seq, op, path, value) that turn old into new; both are field trees with_json. Only the topmost
-    change of a branch counts; lists are compared by index, and what is taken off them goes from the end."""
+    change of a branch counts; lists are compared by index, and what is taken off them goes from the end. With levels,
+    branches that are equal in both are left out before nodes are joined: for large trees with few changes."""
+    old, new = differing_branches(old, new, key, levels)
     a = old.select(key, "path", F.col("value_type").alias("ta"), F.col("value").alias("va"), F.lit(1).alias("ia"))
     b = new.select(key, "path", F.col("value_type").alias("tb"), F.col("value").alias("vb"), F.col("json").alias("jb"), F.lit(1).alias("ib"))
     both = a.join(b, [key, "path"], "full_outer")

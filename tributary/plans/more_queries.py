@@ -371,6 +371,25 @@ def undone_edits(spark, sf_dir):
     return edits.list_edits(edits.undo(log, first), first).select("seq")
 
 
+@query("""WITH d AS (SELECT coalesce(source, 'und') AS set_id, doc_id, lang, md5(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY set_id, h ORDER BY doc_id) > 1 AS copy, '/docs/' || doc_id AS place FROM d),
+k AS (SELECT DISTINCT set_id, h FROM c WHERE copy)
+SELECT set_id, 'remove' AS op, place AS path, NULL AS value FROM c WHERE copy UNION ALL
+SELECT set_id, 'replace', place || '/lang', '"und"' FROM c WHERE lang IS NULL AND NOT copy UNION ALL
+SELECT set_id, 'add', place || '/first', 'true' FROM c JOIN k USING (set_id, h) WHERE NOT copy""")
+def diff_of_large_trees(spark, sf_dir):
+    """Edits between two trees of each source's documents: copies go, their first gets a mark, a missing language is und."""
+    d = _t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("und")).alias("set_id"), "doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    first = d.groupBy("set_id", "h").agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) > 1).alias("first")).select("doc_id", "first")
+    d = d.join(first, "doc_id", "left").withColumn("at", F.concat(F.lit("/docs/"), "doc_id"))
+    row = lambda name, kind, value: F.struct(F.concat("at", F.lit(name)).alias("path"), F.lit(kind).alias("value_type"), value.cast("string").alias("value"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    own, digest, lang = row("", "object", F.lit(None)), row("/digest", "string", quoted(F.col("h"))), F.coalesce("lang", F.lit("null"))
+    old = d.select("set_id", F.inline(F.array(own, digest, row("/lang", "string", F.when(F.col("lang").isNull(), "null").otherwise(quoted(lang))))))
+    new = d.filter("first is not null").select("set_id", F.inline(F.array_compact(F.array(own, digest, row("/lang", "string", quoted(F.coalesce("lang", F.lit("und")))), F.when(F.col("first"), row("/first", "boolean", F.lit("true")))))))
+    return edits.diff_to_edits(old, new.withColumn("json", F.col("value")), levels=(2,)).select("set_id", "op", "path", "value")
+
+
 def _month_edits(spark, sf_dir):
     """Nodes of one document per month, a list of its orders, and a log: pending orders are taken off one after the
     other, urgent ones are put in at every second place, as far as the list goes."""
