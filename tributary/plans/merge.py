@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import text as fx
 from tributary.operators import checks, refs
 from tributary.operators import merge as ops
-from tributary.sources import formats, provenance, reports
+from tributary.sources import formats, provenance, report_files, reports
 
 KEYS = ["set_id", "kind", "identity_key"]
 ORDER = ["input_index", "entry_ord"]
@@ -34,9 +34,11 @@ def _namespaced(entries: DataFrame, texts: DataFrame, format: str) -> tuple[Data
     return refs.namespace(entries, ["ref"]), ref_map
 
 
-def merge_texts(texts: DataFrame, format: str, folder: str | None = None, check: Callable[[DataFrame], None] = lambda entries: None) -> dict[str, DataFrame]:
+def merge_texts(texts: DataFrame, format: str, folder: str | None = None, check: Callable[[DataFrame], None] = lambda entries: None, whole: bool = True, lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """Merge texts (set_id, input_index, source_id, text) of one format: tables entries, merged, conflicts, provenance,
-    for formats with references aliases and (tag-value only) relationships, and reports: a text per set.
+    for formats with references aliases and (tag-value only) relationships, and reports: a text per set; without whole,
+    pieces in its place, the reports cut in lines that stand together. lines, of tag-value reports only, are those of
+    reports.report_lines, and texts then need no text: so neither what is read nor what is written must fit a row.
 
     With a folder the tables are written below it one by one, so that none is computed twice; without, nothing runs until
     a table is used, and each parses the texts anew. check gets the entries before anything is merged. References are namespaced by input before the merge and point at the merged entries
@@ -51,7 +53,9 @@ def merge_texts(texts: DataFrame, format: str, folder: str | None = None, check:
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     union, conflict = ops.field_policies(format)
-    entries = formats.PARSERS[format](texts)
+    if lines is not None and format != "spdx2tv":
+        raise ValueError(f"{format} is not read line by line")
+    entries = formats.PARSERS[format](texts) if lines is None else formats.entries_from_tagvalue_lines(lines)
     graph = ops.POLICIES.get(format, {}).get("category") == "graph"
     ref_map = None
     if graph:
@@ -83,14 +87,15 @@ def merge_texts(texts: DataFrame, format: str, folder: str | None = None, check:
     if format == "spdx2tv":
         merged = refs.rewrite_embedded_refs(merged, survivors, formats.EXPRESSIONS, keys, ["set_id"])
         merged = merged.withColumn("LicenseInfoInFile", F.array_sort(F.array_distinct("LicenseInfoInFile")))
-        rels = refs.rewrite_refs(formats.relationships_from_tagvalue(texts), ref_map, ["src", "dst"])
+        rels = formats.relationships_from_tagvalue(texts) if lines is None else formats.relationships_from_tagvalue_lines(lines)
+        rels = refs.rewrite_refs(rels, ref_map, ["src", "dst"])
         rels = refs.rewrite_refs(rels, survivors, ["src", "dst"], ["set_id"])
         merged = kept(merged, "redirected")
         out["relationships"] = kept(refs.merged_relationships(rels, merged.filter("kind = 'package'"), "ref", DOCUMENT), "relationships")
         out["dangling"] = refs.dangling_refs(out["relationships"], merged.select("set_id", "ref").unionByName(merged.select("set_id", F.lit(DOCUMENT).alias("ref"))), "ref", refs.expression_refs(merged, formats.EXPRESSIONS, "ref"))
         merged = _with_codes(merged, out["relationships"])
     out["merged"] = kept(merged, "merged")
-    out["reports"] = _render(texts, out, format, ref_map, survivors if graph else None)
+    out["reports" if whole else "pieces"] = _render(texts, out, format, ref_map, survivors if graph else None, whole)
     return out
 
 
@@ -105,22 +110,17 @@ def _with_codes(merged: DataFrame, relationships: DataFrame) -> DataFrame:
     return rows.withColumn("tags", F.when(F.col("verification_code").isNotNull(), F.concat(others, code)).otherwise(F.col("tags"))).drop("verification_code")
 
 
-def _numbered(merged: DataFrame) -> DataFrame:
-    """ord as a number by set and first place, for renderers."""
-    return merged.withColumn("ord", F.row_number().over(Window.partitionBy("set_id").orderBy("ord", "kind", "identity_key")).cast("long"))
-
-
-def _render(texts: DataFrame, tables: dict[str, DataFrame], format: str, ref_map: DataFrame | None, survivors: DataFrame | None) -> DataFrame | None:
-    """(set_id, text) of the merged reports; None for formats that were registered without a renderer."""
+def _render(texts: DataFrame, tables: dict[str, DataFrame], format: str, ref_map: DataFrame | None, survivors: DataFrame | None, whole: bool = True) -> DataFrame | None:
+    """(set_id, text) of the merged reports, or their pieces; None for formats that were registered without a renderer."""
     merged = tables["merged"]
     if format == "cyclonedx":
-        return formats.render_cyclonedx(_numbered(merged))
+        return (formats.render_cyclonedx if whole else formats.cyclonedx_pieces)(merged)
     if format == "spdx2tv":
         fixed = [("SPDXVersion", "SPDX-2.3"), ("DataLicense", "CC0-1.0"), ("SPDXID", DOCUMENT), ("DocumentName", "Merged Report"), ("Creator", "Tool: tributary")]
         pair = lambda t, v: F.struct(F.lit(t).alias("tag"), v.alias("value"))
         sets = texts.select("set_id").distinct()
         documents = sets.select("set_id", F.array(*[pair(t, F.lit(v)) for t, v in fixed], pair("DocumentNamespace", F.concat(F.lit("urn:tributary:"), F.md5(F.col("set_id").cast("string"))))).alias("tags"))
-        return formats.render_tagvalue(documents, tables["relationships"], _numbered(merged))
+        return (formats.render_tagvalue if whole else formats.tagvalue_pieces)(documents, tables["relationships"], merged)
     if format == "spdx3json":
         nodes = formats.nodes_from_spdx3(texts)
         rest = nodes.filter("kind in ('meta', 'satellite')")
@@ -131,29 +131,40 @@ def _render(texts: DataFrame, tables: dict[str, DataFrame], format: str, ref_map
         own = F.when(F.size("hashes") > 0, F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "verifiedUsing"), hashes))).otherwise(F.col("json"))
         kept = merged.select("set_id", F.col("ord.input_index").alias("input_index"), F.col("ord.entry_ord").alias("node_ord"), F.col("ref").alias("node_id"), "type", "kind", own.alias("json"))
         rows = kept.unionByName(rest.select(*place, "node_id", "type", "kind", "json"))
-        return formats.render_spdx3(formats.assemble_spdx3(refs.rewrite_json_refs(rows, survivors, place, by=["set_id"])))
+        return (formats.render_spdx3 if whole else formats.spdx3_pieces)(formats.assemble_spdx3(refs.rewrite_json_refs(rows, survivors, place, by=["set_id"])))
     if format == "dep5":
         headers = ops.primary_rows(formats.header_from_dep5(texts)).select("set_id", *[F.col(f"`{f}`") for f in formats.HEADER_FIELDS])
         inputs = texts.select("set_id", "input_index", "source_id")
-        return formats.render_dep5(ops.merge_comment(headers, inputs), _numbered(merged))
+        return (formats.render_dep5 if whole else formats.dep5_pieces)(ops.merge_comment(headers, inputs), merged)
     if format == "readmeoss":
         headers = ops.primary_rows(formats.header_from_notice(texts)).select("set_id", "package_name")
         footers = ops.primary_rows(formats.footer_from_notice(texts)).select("set_id", "copyright_notices", "notices")
         ends = headers.select("set_id").join(footers, "set_id", "left").na.fill("", ["copyright_notices", "notices"])
-        return formats.render_notice(headers, _numbered(merged), ends)
+        return (formats.render_notice if whole else formats.notice_pieces)(headers, merged, ends)
     if format == "clixml":
+        if not whole:
+            return formats.clixml_pieces(merged)
         return formats.render_clixml(formats.regroup_components(merged.withColumn("entry_ord", F.col("ord"))))
     return None
 
 
-def merge(spark: SparkSession, *globs: str, format: str | None = None, output: str | None = None, validate: bool = True) -> dict[str, DataFrame]:
+def merge(spark: SparkSession, *globs: str, format: str | None = None, output: str | None = None, validate: bool = True, whole: bool = True) -> dict[str, DataFrame]:
     """Read reports, tell their format (or hold them to the one given), and merge them.
 
     With validate, entries without an identity, reports without entries, bytes that are not UTF-8 and what breaks the
     format's own rules (formats.violations) are errors, told before anything is merged. With output, a folder, the
     entries, the tables, the merged reports (a folder per set) and a provenance record per set are written in a folder
     beside it and put in their places when all of them are there: a call that fails leaves output as it was. The
-    tables returned are those written."""
+    tables returned are those written.
+
+    Without whole, which needs an output, the merged reports are ordered files (report_files.write_reports) with their
+    manifest as table report_files, and there are no reports and no provenance records, which are a row per set. If
+    moreover format is given as spdx2tv, the inputs are read line by line: then neither an input nor a set must fit a
+    row, only an entry must, and the format is not told from first bytes."""
+    if not whole and not output:
+        raise ValueError("reports in files need an output")
+    if not whole and format == "spdx2tv":
+        return _merge_lines(spark, globs, output, validate)
     raw = reports.with_format(reports.read_reports(spark, *globs))
     found = [r[0] for r in reports.set_formats(raw).select("format").distinct().take(3)]
     if format is None:
@@ -170,9 +181,29 @@ def merge(spark: SparkSession, *globs: str, format: str | None = None, output: s
 
     if not output:
         return merge_texts(texts, format, None, check) if validate else merge_texts(texts, format)
+    return _publish_merged(spark, texts, format, output, whole, check=check if validate else _unchecked)
+
+
+def _unchecked(entries: DataFrame) -> None:
+    """No rule."""
+
+
+def _merge_lines(spark: SparkSession, globs: tuple[str, ...], output: str, validate: bool) -> dict[str, DataFrame]:
+    inputs, lines = reports.report_inputs(spark, *globs), reports.report_lines(spark, *globs)
+
+    def check(entries: DataFrame) -> None:
+        checks.assert_valid(
+            invalid_utf8=lines.filter(~F.col("valid")).select("path").distinct(), missing_identity=checks.missing_identity(entries), empty_reports=checks.empty_reports(inputs.select("set_id", "input_index", "path"), entries),
+            duplicate_refs=checks.duplicate_refs(entries, "ref"), lines=checks.malformed_lines(lines.drop("valid")),
+        )
+
+    return _publish_merged(spark, inputs, "spdx2tv", output, False, check=check if validate else _unchecked, lines=lines)
+
+
+def _publish_merged(spark: SparkSession, texts: DataFrame, format: str, output: str, whole: bool, **options) -> dict[str, DataFrame]:
     staging = f"{output.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
-        tables = write_merged(merge_texts(texts, format, staging, check) if validate else merge_texts(texts, format, staging), texts, format, staging)
+        tables = write_merged(merge_texts(texts, format, staging, whole=whole, **options), texts, format, staging)
         publish(spark, staging, output)
     finally:
         _files(spark, staging)[0].delete(_files(spark, staging)[1], True)
@@ -201,8 +232,14 @@ def publish(spark: SparkSession, staging: str, output: str) -> None:
 
 def write_merged(tables: dict[str, DataFrame], texts: DataFrame, format: str, output: str) -> dict[str, DataFrame]:
     """Write the tables of merge_texts(..., folder=output) that are not there yet, merged reports, and a provenance
-    record for each; return the tables as read back."""
+    record for each, or, where there are pieces of reports, the files of these and their manifest; return the tables as
+    read back."""
     spark, out = texts.sparkSession, dict(tables)
+    if "pieces" in out:
+        pieces = out.pop("pieces")
+        tables = {k: df for k, df in tables.items() if k != "pieces"}
+        if pieces is not None:
+            tables["report_files"] = report_files.write_reports(pieces, f"{output}/report")
 
     def write(name: str) -> None:
         tables[name].write.mode("overwrite").parquet(f"{output}/{name}")
@@ -211,7 +248,9 @@ def write_merged(tables: dict[str, DataFrame], texts: DataFrame, format: str, ou
     written = ("entries", "aliases", "relationships", "merged")
     with ThreadPoolExecutor(checks.JOBS) as pool:  # they do not hang on each other
         list(pool.map(write, [name for name, df in tables.items() if df is not None and name not in written]))
-    if out.get("reports") is not None:
+    if "reports" not in tables:
+        return out
+    if out["reports"] is not None:
         out["reports"].select("set_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("set_id").text(f"{output}/report")
     sets = texts.select("set_id").distinct().select("set_id", F.lit(format).alias("format"), F.current_timestamp().alias("created_at"))
     none = spark.createDataFrame([], "set_id string, path string, values array<struct<source:string,value:string>>, resolution string, chosen string")

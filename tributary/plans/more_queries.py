@@ -13,7 +13,7 @@ from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
 from tributary.plans.queries import _BODY, _ORDER, ITEMS, _bodies, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
 from tributary.plans.scratch import folder
-from tributary.sources import formats, reports, sections
+from tributary.sources import formats, report_files, reports, sections
 from tributary.streaming.merge_stream import GraphTable, remerge
 
 # --- whole merges: every order is a report of its customer -------------------------------------------------------
@@ -257,6 +257,20 @@ def split_tagvalue(spark, sf_dir):
     return out.select(F.col("LicenseName").alias("set_id"), F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"))
 
 
+@query(_BODY.replace(" AS text_md5", " AS text_md5, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth"))
+def reports_in_files(spark, sf_dir):
+    """All texts of a source as one report, written as files in order and read back in splits; nth is the place there."""
+    path = folder(spark, "reports-in-files")
+    b = _bodies(spark, sf_dir).withColumn("set_id", F.col("set_id.source"))
+    e = b.select("set_id", "ord", F.lit("license_text").alias("kind"), F.concat(F.lit("LicenseRef-"), "name").alias("LicenseID"), F.concat(F.lit("<text>"), "text", F.lit("</text>")).alias("ExtractedText"), F.lit(None).cast("map<string,string>").alias("checksums"))
+    d = e.select("set_id").distinct().select("set_id", F.array(F.struct(F.lit("SPDXVersion").alias("tag"), F.lit("SPDX-2.3").alias("value"))).alias("tags"))
+    r = d.select("set_id", F.lit("SPDXRef-DOCUMENT").alias("src"), F.lit("DESCRIBES").alias("type"), F.lit("SPDXRef-p").alias("dst"))
+    files = report_files.write_reports(formats.tagvalue_pieces(d, r, e), path)
+    out = formats.entries_from_tagvalue_lines(report_files.written_lines(spark, path, files))
+    # The title before the texts is a section of its own.
+    return out.select("set_id", F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"), (F.col("entry_ord") - 1).cast("long").alias("nth"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """The six report layouts: parsers from texts to entry tables, and renderers back. A parser takes rows (set_id,
-input_index, source_id, text) of many sets and inputs; a renderer gives one text per set."""
+input_index, source_id, text) of many sets and inputs; a renderer gives one text per set, and ..._pieces the same report
+as rows (set_id, part, ord, tie, lines), which report_files.write_reports puts in files whatever a report's size."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions import text as fx
 from tributary.operators import checks
 from tributary.operators.lines import lines as line_table
+from tributary.operators.merge import join_keys
 from tributary.plans.scratch import stash
 from tributary.sources import sections as sc
 
@@ -19,10 +21,36 @@ def _lines(texts: DataFrame) -> DataFrame:
     return line_table(texts.select(*INPUT, F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("text")), INPUT)
 
 
-def _emit(blocks: DataFrame, key: str = "set_id") -> DataFrame:
-    """blocks(set_id, part, ord, lines array<string>) as one text per set, in order of part and ord."""
-    row = F.struct("part", "ord", "lines")
-    return blocks.groupBy(key).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["lines"])), "\n").alias("text"))
+def _piece(df: DataFrame, part: Column | int, lines: Column, ord_: Column, tie: Column | None = None) -> DataFrame:
+    """Pieces of reports: lines that stand together, placed by part, ord and tie."""
+    part = part if isinstance(part, Column) else F.lit(part)
+    return df.select("set_id", part.cast("int").alias("part"), ord_.alias("ord"), (F.lit("") if tie is None else tie).alias("tie"), lines.alias("lines"))
+
+
+def _nowhere(df: DataFrame, column: str = "ord") -> Column:
+    """A null of the column's type: the place of pieces that their part alone places."""
+    return F.lit(None).cast(df.schema[column].dataType)
+
+
+def _tie(df: DataFrame) -> Column:
+    return F.concat_ws("\0", *[c for c in ("kind", "identity_key") if c in df.columns])
+
+
+def _listed(items: DataFrame, head: str, tail: str) -> DataFrame:
+    """Pieces with one line each as a JSON list: commas before all but a set's first, head and tail around them."""
+    at = F.struct("part", "ord", "tie")
+    firsts = items.groupBy("set_id").agg(F.min(at).alias("_first"))
+    comma = F.when(at.eqNullSafe(F.col("_first")), "").otherwise(",")
+    rows = join_keys(items, firsts, ["set_id"])
+    rows = _piece(rows, F.col("part"), F.transform("lines", lambda x: F.concat(comma, x)), F.col("ord"), F.col("tie"))
+    ends = [_piece(firsts.select("set_id"), n, _array(text), _nowhere(items)) for n, text in ((-1, head), (1 << 20, tail))]
+    return ends[0].unionByName(rows).unionByName(ends[1])
+
+
+def _emit(pieces: DataFrame, key: str = "set_id") -> DataFrame:
+    """Pieces as one text per set, in order of part, ord and tie."""
+    row = F.struct("part", "ord", "tie", "lines")
+    return pieces.groupBy(key).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["lines"])), "\n").alias("text"))
 
 
 def _pair(tag: str, value: Column) -> Column:
@@ -69,12 +97,23 @@ def assemble_cyclonedx(merged: DataFrame) -> DataFrame:
     return merged.withColumn("type", F.when(F.col("kind") == "package", "library").otherwise(F.col("type"))).withColumn("properties", F.when((F.col("kind") != "package") & F.col("upload_ref").isNotNull(), prop))
 
 
-def render_cyclonedx(merged: DataFrame, order: str = "ord") -> DataFrame:
+_COMPONENTS_HEAD, _COMPONENTS_TAIL = '{"bomFormat":"CycloneDX","specVersion":"1.4","version":1,"components":[', "]}"
+
+
+def _component_json() -> Column:
     licenses = F.transform("licenses", lambda x: F.struct(F.struct(x.alias("id")).alias("license")))
-    part = F.struct("type", "name", F.col("ref").alias("bom-ref"), "hashes", licenses.alias("licenses"), "copyright", "description", "properties")
-    rows = assemble_cyclonedx(merged).groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(part).alias("j")))), lambda x: x["j"]).alias("parts"))
-    head = '{"bomFormat":"CycloneDX","specVersion":"1.4","version":1,"components":['
-    return rows.select("set_id", F.concat(F.lit(head), F.array_join("parts", ","), F.lit("]}")).alias("text"))
+    return F.to_json(F.struct("type", "name", F.col("ref").alias("bom-ref"), "hashes", licenses.alias("licenses"), "copyright", "description", "properties"))
+
+
+def render_cyclonedx(merged: DataFrame, order: str = "ord") -> DataFrame:
+    rows = assemble_cyclonedx(merged).groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), _component_json().alias("j")))), lambda x: x["j"]).alias("parts"))
+    return rows.select("set_id", F.concat(F.lit(_COMPONENTS_HEAD), F.array_join("parts", ","), F.lit(_COMPONENTS_TAIL)).alias("text"))
+
+
+def cyclonedx_pieces(merged: DataFrame) -> DataFrame:
+    """A component a line."""
+    rows = assemble_cyclonedx(merged)
+    return _listed(_piece(rows, 0, F.array(_component_json()), F.col("ord"), _tie(rows)), _COMPONENTS_HEAD, _COMPONENTS_TAIL)
 
 
 # --- typed nodes (JSON array) -----------------------------------------------------------------------------------
@@ -121,6 +160,11 @@ def render_spdx3(nodes: DataFrame) -> DataFrame:
     return rows.select("set_id", F.concat(F.lit("["), F.array_join("parts", ","), F.lit("]")).alias("text"))
 
 
+def spdx3_pieces(nodes: DataFrame) -> DataFrame:
+    """A node of assemble_spdx3 a line."""
+    return _listed(_piece(nodes, F.col("section"), F.array("json"), F.col("ord"), F.coalesce("node_id", F.lit(""))), "[", "]")
+
+
 # --- component XML, several roots in a file ---------------------------------------------------------------------
 
 ROOT = "ComponentLicenseInformation"
@@ -185,28 +229,53 @@ def _xml_escape(c: Column) -> Column:
     return c
 
 
-def render_clixml(components: DataFrame) -> DataFrame:
-    """One text per set: a declaration and a root per component of regroup_components."""
-    tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<{name}>"), fx.escape_cdata(c), F.lit(f"</{name}>"))).otherwise("")
-    attr = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f' {name}="'), _xml_escape(c), F.lit('"'))).otherwise("")
+def _xml_attr(name: str, c: Column) -> Column:
+    return F.when(c.isNotNull(), F.concat(F.lit(f' {name}="'), _xml_escape(c), F.lit('"'))).otherwise("")
 
+
+def _root_head() -> Column:
+    """A root's start tag and the sections that are about the component."""
     def general(group):
         fields = F.concat(*[F.when(F.col(f).isNotNull(), F.concat(F.lit(f"<{f}>"), _xml_escape(F.col(f)), F.lit(f"</{f}>"))).otherwise("") for f, g in COMPONENT_FIELDS.items() if g == group])
         return F.when(fields != "", F.concat(F.lit(f"<{group}>"), fields, F.lit(f"</{group}>"))).otherwise("")
 
-    def child(x):
-        licenses = F.when(F.size(x["licenses"]) > 0, F.concat(F.lit("<Licenses>"), F.array_join(F.transform(x["licenses"], lambda n: F.concat(F.lit("<License>"), _xml_escape(n), F.lit("</License>"))), ""), F.lit("</Licenses>"))).otherwise("")
-        body = F.when(x["section"] == "Obligation", F.concat(tag("Topic", x["topic"]), tag("Text", x["content"]), licenses)).otherwise(F.concat(F.lit("<Content>"), fx.escape_cdata(x["content"]), F.lit("</Content>"), tag("Acknowledgements", F.array_join(x["acknowledgements"], "\n")), tag("Files", F.array_join(x["files"], "\n")), tag("FileHash", F.array_join(x["hashes"], "\n"))))
-        return F.concat(F.lit("<"), x["section"], attr("type", x["type"]), attr("name", x["name"]), F.lit(">"), body, F.lit("</"), x["section"], F.lit(">"))
-
-    root = F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{ROOT}'), attr("component", F.col("name")), attr("componentSHA1", F.col("component")),
-        F.when(F.col("includes_acknowledgements"), ' includesAcknowledgements="true"').otherwise(""), F.lit(">"), *[general(g) for g in dict.fromkeys(COMPONENT_FIELDS.values())], F.array_join(F.transform("children", child), ""), F.lit(f"</{ROOT}>\n"),
+    return F.concat(
+        F.lit(f"<{ROOT}"), _xml_attr("component", F.col("name")), _xml_attr("componentSHA1", F.col("component")),
+        F.when(F.col("includes_acknowledgements"), ' includesAcknowledgements="true"').otherwise(""), F.lit(">"), *[general(g) for g in dict.fromkeys(COMPONENT_FIELDS.values())],
     )
+
+
+def _root_child(x) -> Column:
+    """The element of a child x: a struct, or a function from names to columns."""
+    tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<{name}>"), fx.escape_cdata(c), F.lit(f"</{name}>"))).otherwise("")
+    licenses = F.when(F.size(x["licenses"]) > 0, F.concat(F.lit("<Licenses>"), F.array_join(F.transform(x["licenses"], lambda n: F.concat(F.lit("<License>"), _xml_escape(n), F.lit("</License>"))), ""), F.lit("</Licenses>"))).otherwise("")
+    body = F.when(x["section"] == "Obligation", F.concat(tag("Topic", x["topic"]), tag("Text", x["content"]), licenses)).otherwise(F.concat(F.lit("<Content>"), fx.escape_cdata(x["content"]), F.lit("</Content>"), tag("Acknowledgements", F.array_join(x["acknowledgements"], "\n")), tag("Files", F.array_join(x["files"], "\n")), tag("FileHash", F.array_join(x["hashes"], "\n"))))
+    return F.concat(F.lit("<"), x["section"], _xml_attr("type", x["type"]), _xml_attr("name", x["name"]), F.lit(">"), body, F.lit("</"), x["section"], F.lit(">"))
+
+
+_DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
+
+
+def render_clixml(components: DataFrame) -> DataFrame:
+    """One text per set: a declaration and a root per component of regroup_components."""
+    root = F.concat(F.lit(f"{_DECLARATION}\n"), _root_head(), F.array_join(F.transform("children", _root_child), ""), F.lit(f"</{ROOT}>\n"))
     rows = components.withColumn("_x", root).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("component", "_x"))).alias("_r"))
     return rows.select("set_id", F.array_join(F.transform("_r", lambda r: r["_x"]), "").alias("text"))
 
 
+def clixml_pieces(merged: DataFrame) -> DataFrame:
+    """Merged entries as roots of which head, children and end are pieces: no component is gathered."""
+    ack = F.coalesce(F.bool_or((F.col("section") == "License") & (F.size("acknowledgements") > 0)), F.lit(False))
+    own = [F.max(F.when(F.col("kind") == "package", F.col(c))).alias(c) for c in ("name", *COMPONENT_FIELDS)]
+    roots = merged.groupBy("set_id", "component").agg(*own, ack.alias("includes_acknowledgements"))
+    at = lambda n, o: F.struct(F.col("component"), F.lit(n).alias("n"), o.alias("at"))
+    nowhere = _nowhere(merged)
+    head = _piece(roots, 0, F.array(F.lit(_DECLARATION), _root_head()), at(0, nowhere))
+    kids = merged.filter("kind <> 'package'")
+    child = _root_child({c: F.col(c) for c in ("section", "name", "type", "content", "acknowledgements", "files", "hashes", "topic", "licenses")})
+    return head.unionByName(_piece(kids, 0, F.array(child), at(1, F.col("ord")), _tie(kids))).unionByName(_piece(roots, 0, _array(f"</{ROOT}>"), at(2, nowhere)))
+
+
 # --- tag-value text ---------------------------------------------------------------------------------------------
 
 TAGS_ONCE = ["PackageName", "SPDXID", "PackageVersion", "PackageCopyrightText", "PackageLicenseConcluded", "PackageLicenseDeclared", "FileName", "LicenseConcluded", "LicenseID", "LicenseName", "ExtractedText"]
@@ -262,18 +331,28 @@ def _tagvalue_entries(sections: DataFrame) -> DataFrame:
 
 def relationships_from_tagvalue(texts: DataFrame) -> DataFrame:
     """(input, rel_ord, src, type, dst); lines of fewer than three words are left to checks.malformed_lines."""
-    words = F.split("value", " ")
-    rows = sc.key_values(_lines(texts)).filter("tag = 'Relationship'").withColumn("w", words).filter("size(w) >= 3")
+    return relationships_from_tagvalue_lines(_lines(texts))
+
+
+def relationships_from_tagvalue_lines(lines: DataFrame) -> DataFrame:
+    """The same of reports.report_lines(...)."""
+    rows = sc.key_values(lines).filter("tag = 'Relationship'").withColumn("w", F.split("value", " ")).filter("size(w) >= 3")
     return rows.select(*INPUT, F.col("line_no").alias("rel_ord"), F.get("w", F.lit(0)).alias("src"), F.get("w", F.lit(1)).alias("type"), F.get("w", F.lit(2)).alias("dst"))
 
 
 def render_tagvalue(documents: DataFrame, relationships: DataFrame, entries: DataFrame) -> DataFrame:
     """documents(set_id, tags array<struct<tag,value>>), relationships(set_id, src, type, dst) and merged entries
     (set_id, ord, kind, tags of entries_from_tagvalue) as one text per set."""
-    head = documents.select("set_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(F.transform(F.filter("tags", lambda t: t["value"] != ""), lambda t: F.concat_ws(": ", t["tag"], t["value"])), _array("")).alias("lines"))
-    rel = relationships.groupBy("set_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", F.lit("Relationship:"), "src", "type", "dst"))).alias("r"))
-    rel = rel.select("set_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat("r", _array("")).alias("lines"))
-    part = F.when(F.col("kind") == "package", 2).when(F.col("kind") == "file", 3).otherwise(5)
+    return _emit(tagvalue_pieces(documents, relationships, entries))
+
+
+def tagvalue_pieces(documents: DataFrame, relationships: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same in pieces: a relationship or an entry each."""
+    nowhere = _nowhere(entries)
+    head = _piece(documents, 0, F.concat(F.transform(F.filter("tags", lambda t: t["value"] != ""), lambda t: F.concat_ws(": ", t["tag"], t["value"])), _array("")), nowhere)
+    line = F.concat_ws(" ", F.lit("Relationship:"), "src", "type", "dst")
+    rel = _piece(relationships, 1, F.array(line), nowhere, line).unionByName(_piece(relationships.select("set_id").distinct(), 2, _array(""), nowhere))
+    part = F.when(F.col("kind") == "package", 3).when(F.col("kind") == "file", 4).otherwise(6)
     mark = F.when(F.col("kind") == "package", _array("##Package", "")).when(F.col("kind") == "file", _array("##File", "")).otherwise(F.array().cast("array<string>"))
     sums = F.transform(F.array_sort(F.map_entries("checksums")), lambda x: F.concat(F.when(F.col("kind") == "package", "PackageChecksum: ").otherwise("FileChecksum: "), x["key"], F.lit(": "), x["value"]))
     sums = F.coalesce(sums, F.array().cast("array<string>"))
@@ -282,10 +361,10 @@ def render_tagvalue(documents: DataFrame, relationships: DataFrame, entries: Dat
         pair = lambda t: F.transform(F.filter(t["values"], lambda v: v != ""), lambda v: F.concat(t["tag"], F.lit(": "), v))
         many.append(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<struct<tag:string,values:array<string>>>")), pair)))
     body = F.concat(mark, *[_pair(t, F.col(t)) for t in TAGS_ONCE if t in entries.columns], *many, sums, _array(""))
-    rows = entries.select("set_id", part.alias("part"), F.col("ord").cast("long").alias("ord"), body.alias("lines"))
+    rows = _piece(entries, part, body, F.col("ord"), _tie(entries))
     rule = "##-------------------------"
-    title = entries.filter("kind = 'license_text'").select("set_id").distinct().select("set_id", F.lit(4).alias("part"), F.lit(0).cast("long").alias("ord"), _array(rule, "## License Information", rule, "").alias("lines"))
-    return _emit(head.unionByName(rel).unionByName(rows).unionByName(title))
+    title = _piece(entries.filter("kind = 'license_text'").select("set_id").distinct(), 5, _array(rule, "## License Information", rule, ""), nowhere)
+    return head.unionByName(rel).unionByName(rows).unionByName(title)
 
 
 # --- Debian copyright text --------------------------------------------------------------------------------------
@@ -343,17 +422,22 @@ def _continued(text: Column) -> Column:
 
 def render_dep5(headers: DataFrame, entries: DataFrame) -> DataFrame:
     """headers(set_id, HEADER_FIELDS) and merged entries (set_id, ord, ...) as one text per set."""
+    return _emit(dep5_pieces(headers, entries))
+
+
+def dep5_pieces(headers: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same in pieces: an entry each."""
     def block(tag: str, value: Column) -> Column:
         rest = F.slice(_continued(value), 2, F.greatest(F.size(F.split(value, "\n", -1)) - 1, F.lit(0)))
         return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit(f"{tag}: "), F.substring_index(value, "\n", 1))), rest))
 
-    head = headers.select("set_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(*[block(f, F.col(f"`{f}`")) for f in HEADER_FIELDS], _array("")).alias("lines"))
+    head = _piece(headers, 0, F.concat(*[block(f, F.col(f"`{f}`")) for f in HEADER_FIELDS], _array("")), _nowhere(entries))
     paths = F.transform("files", lambda f, i: F.concat(F.when(i == 0, "Files: ").otherwise("       "), f))
     stanza = F.concat(paths, block("Copyright", F.col("copyright")), block("License", F.col("license")), block("Comment", F.col("comment")), _array(""))
     text = F.when(F.coalesce("text", F.lit("")) != "", _continued(F.col("text"))).otherwise(F.array().cast("array<string>"))
     lic = F.concat(F.array(F.concat(F.lit("License: "), F.coalesce("name", F.lit("")))), text, _array(""))
-    rows = entries.select("set_id", F.when(F.col("kind") == "stanza", 1).otherwise(2).alias("part"), F.col("ord").cast("long").alias("ord"), F.when(F.col("kind") == "stanza", stanza).otherwise(lic).alias("lines"))
-    return _emit(head.unionByName(rows))
+    rows = _piece(entries, F.when(F.col("kind") == "stanza", 1).otherwise(2), F.when(F.col("kind") == "stanza", stanza).otherwise(lic), F.col("ord"), _tie(entries))
+    return head.unionByName(rows)
 
 
 def glob_overlaps(stanzas: DataFrame) -> DataFrame:
@@ -416,30 +500,33 @@ def entries_from_notice(texts: DataFrame, least: int = 3) -> DataFrame:
 
 
 def ordered_sections(blocks: DataFrame, order: list[str] = SECTION_ORDER) -> DataFrame:
-    """blocks with section_rank: the known sections first, in order, the others by their first block (ord)."""
+    """blocks with section_first, the least ord of their section, and section_rank: the known sections first, in order,
+    the others by their first block."""
     known = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("section"))
-    first = F.min("ord").over(Window.partitionBy("set_id", "section"))
-    return blocks.withColumn("section_rank", F.struct(F.when(known > 0, known).otherwise(len(order) + 1).alias("known"), F.when(known > 0, 0).otherwise(first).alias("first")))
+    rows = join_keys(blocks, blocks.groupBy("set_id", "section").agg(F.min("ord").alias("section_first")), ["set_id", "section"])
+    return rows.withColumn("section_rank", F.struct(F.when(known > 0, known).otherwise(len(order) + 1).alias("known"), F.when(known > 0, F.lit(None)).otherwise(F.col("section_first")).alias("first")))
 
 
 def render_notice(headers: DataFrame, blocks: DataFrame, footers: DataFrame | None = None) -> DataFrame:
     """headers(set_id, package_name), blocks(set_id, ord, section, name, text), footers(set_id, copyright_notices,
     notices) as one text per set."""
+    return _emit(notice_pieces(headers, blocks, footers))
+
+
+def notice_pieces(headers: DataFrame, blocks: DataFrame, footers: DataFrame | None = None) -> DataFrame:
+    """The same in pieces: a block each."""
     major, minor = "=" * WIDTH, "-" * WIDTH
     ranked = ordered_sections(blocks)
-    first = F.row_number().over(Window.partitionBy("set_id", "section").orderBy("ord")) == 1
     title = F.concat(F.array(F.lit(major), F.lit(""), F.concat(F.lit(" "), F.col("section"), F.lit(" ")), F.lit(""), F.lit(minor), F.lit("")))
     text = F.when(F.coalesce("text", F.lit("")) != "", F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(F.when(first, title).otherwise(_array(minor, "")), F.array(F.col("name"), F.lit("")), text, _array(""))
-    part = lambda n, rank, o: F.struct(F.lit(n).alias("n"), rank.alias("rank"), o.alias("o"))
-    zero, none = F.lit(0).cast("long"), F.struct(F.lit(0).cast("long").alias("known"), F.lit(0).cast("long").alias("first"))
-    rank = F.struct(F.col("section_rank.known").cast("long").alias("known"), F.col("section_rank.first").cast("long").alias("first"))
-    body = ranked.select("set_id", part(1, rank, F.col("ord").cast("long")).alias("part"), zero.alias("ord"), lines.alias("lines"))
-    head = headers.select("set_id", part(0, none, zero).alias("part"), zero.alias("ord"), F.array(F.lit(major), F.lit(""), F.coalesce("package_name", F.lit("")), F.lit(""), F.lit(minor), F.lit("")).alias("lines"))
+    lines = F.concat(F.when(F.col("ord") == F.col("section_first"), title).otherwise(_array(minor, "")), F.array(F.col("name"), F.lit("")), text, _array(""))
+    body = _piece(ranked, F.col("section_rank.known"), lines, F.struct(F.col("section_rank.first").alias("first"), F.col("ord").alias("own")), _tie(ranked))
+    nowhere = _nowhere(body)
+    head = _piece(headers, 0, F.array(F.lit(major), F.lit(""), F.coalesce("package_name", F.lit("")), F.lit(""), F.lit(minor), F.lit("")), nowhere)
     ends = headers.select("set_id") if footers is None else footers
     value = lambda c, mark: F.array().cast("array<string>") if footers is None else F.when(F.col(c).isin("", mark), F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
-    foot = ends.select("set_id", part(2, none, zero).alias("part"), zero.alias("ord"), F.concat(_array(minor, "", COPYRIGHT_MARK), value("copyright_notices", COPYRIGHT_MARK), _array("", NOTICES_MARK), value("notices", NOTICES_MARK), _array("")).alias("lines"))
-    return _emit(head.unionByName(body).unionByName(foot))
+    foot = _piece(ends, len(SECTION_ORDER) + 2, F.concat(_array(minor, "", COPYRIGHT_MARK), value("copyright_notices", COPYRIGHT_MARK), _array("", NOTICES_MARK), value("notices", NOTICES_MARK), _array("")), nowhere)
+    return head.unionByName(body).unionByName(foot)
 
 
 def violations(texts: DataFrame, entries: DataFrame, format: str) -> dict[str, DataFrame]:

@@ -46,28 +46,39 @@ def read_reports(spark: SparkSession, *globs: str, set_id: str | None = None) ->
     return raw.join(numbers, "path").select("set_id", "input_index", "source_id", "path", "content")
 
 
-def report_lines(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
-    """lines(set_id, input_index, source_id, path, split, line_no, line) of all files of the globs, numbered as in
-    read_reports. Spark reads a large file in splits of spark.sql.files.maxPartitionBytes, a task each, and cuts them at
-    line ends; split is a split's first byte. A line's number is its place in its split after the lines of the splits
-    before, from a table of one row a split. What is not UTF-8 becomes U+FFFD; lines end with LF, CR or both."""
+def report_inputs(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
+    """(path, set_id, source_id, input_index) of all files of the globs, numbered as in read_reports; only names are read."""
     if not globs:
         raise ValueError("no inputs")
-    read = spark.read.text(list(globs))
-    at = F.monotonically_increasing_id().alias("at")  # grows within a split, as a split is read in one go
-    rows = stash(read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), at, F.make_valid_utf8("value").alias("line")), "report-lines")
-    splits = rows.groupBy("path", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    folder = F.lit(set_id) if set_id else F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
-    binary = spark.read.format("binaryFile").load(list(globs))  # only names are read
+    binary = spark.read.format("binaryFile").load(list(globs))
     files = binary.select(F.col("_metadata.file_path").alias("path"))
     if empty := _empty_files(binary):
         files = files.unionByName(spark.createDataFrame([(p,) for p in empty], "path string"))
+    folder = F.lit(set_id) if set_id else F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
     files = files.withColumn("set_id", folder).withColumn("source_id", F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
-    files = files.withColumn("input_index", F.row_number().over(Window.partitionBy("set_id").orderBy("path")) - 1)
-    numbered = rows.join(splits.join(files, "path"), ["path", "split"])
-    return numbered.select("set_id", "input_index", "source_id", "path", "split", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")
+    return files.withColumn("input_index", F.row_number().over(Window.partitionBy("set_id").orderBy("path")) - 1)
+
+
+def report_lines(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
+    """lines(set_id, input_index, source_id, path, split, line_no, line, valid) of all files of the globs, numbered as in
+    read_reports. Spark reads a large file in splits of spark.sql.files.maxPartitionBytes, a task each, and cuts them at
+    line ends; split is a split's first byte. A line's number is its place in its split after the lines of the splits
+    before, from a table of one row a split. What is not UTF-8 becomes U+FFFD, and valid is false; lines end with LF, CR
+    or both."""
+    files = report_inputs(spark, *globs, set_id=set_id)
+    read = spark.read.text(list(globs))
+    at = F.monotonically_increasing_id().alias("at")  # grows within a split, as a split is read in one go
+    rows = stash(read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), at, F.is_valid_utf8("value").alias("valid"), F.make_valid_utf8("value").alias("line")), "report-lines")
+    return numbered_lines(rows, ["path"], files)
+
+
+def numbered_lines(rows: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """rows(keys, split, at, valid, line), of a written table, with line_no by split and at; columns of files by path."""
+    splits = rows.groupBy(*keys, "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(*keys, "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = rows.join(splits if files is None else splits.join(files, "path"), [*keys, "split"])
+    return numbered.select("set_id", "input_index", "source_id", "path", "split", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line", "valid")
 
 
 def with_format(raw: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
