@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as fx
 from tributary.operators import catalog as cat
-from tributary.operators import checks, edits, lines, merge, refs, tree
+from tributary.operators import checks, edits, lines, merge, refs, text_index, tree
 from tributary.operators.large_edits import apply_large_edits
 from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
-from tributary.plans.queries import _BODY, _ORDER, ITEMS, _bodies, _catalog, _event_edits, _join, _order_docs, _t, item_entries, query, text_entries
+from tributary.plans.queries import _BODY, _CATALOG, _ORDER, ITEMS, _PAIRS, _bodies, _catalog, _event_edits, _join, _order_docs, _pairs, _t, item_entries, query, text_entries
 from tributary.plans.scratch import folder
 from tributary.sources import formats, report_files, reports, sections
 from tributary.streaming.merge_stream import GraphTable, remerge
@@ -271,6 +273,41 @@ def reports_in_files(spark, sf_dir):
     return out.select("set_id", F.substring("LicenseID", 12, 40).alias("name"), F.md5(fx.strip_text_tag("ExtractedText")).alias("text_md5"), (F.col("entry_ord") - 1).cast("long").alias("nth"))
 
 
+# --- searches by an index ----------------------------------------------------------------------------------------
+
+#: Frequent, rare and short terms, one that crosses words, one with signs, and one that no text has.
+TERMS = ["license", "apache", " of the", "@", "ing.", "zzzqqqx"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS term, doc_id FROM documents WHERE contains(lower(text), '{t}')" for t in TERMS))
+def indexed_search(spark, sf_dir):
+    """All texts by an index of runs of letters: which documents hold each term."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    index = text_index.build(d.select("doc_id", F.col("text").alias("body")), F.col("body"), folder(spark, "text-index"))
+    found = [index.search(t.upper()).select(F.lit(t).alias("term"), "doc_id") for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT event_id AS seq FROM events WHERE lower(event_type) LIKE '%click%'")
+def indexed_edits(spark, sf_dir):
+    index = cat.index_edits(edits.summarize_edits(_event_edits(spark, sf_dir)), folder(spark, "edit-index"))
+    return index.search("CLICK").select("seq")
+
+
+@query(_CATALOG + "SELECT set_id FROM k WHERE (n_conflicts > 0 OR n_edits > 0) AND (lower(c_name) LIKE '%er#00000001%' OR inputs LIKE '%er#00000001%')")
+def indexed_catalog(spark, sf_dir):
+    index = cat.index_catalog(_catalog(spark, sf_dir), folder(spark, "catalog-index"))
+    return cat.search_indexed_catalog(index, "ER#00000001", status="either").select("set_id")
+
+
+@query(_PAIRS + "SELECT pair_id, side, count(*) AS n FROM (SELECT pair_id, 'left' AS side, line FROM l UNION ALL SELECT pair_id, 'right', line FROM r) WHERE lower(line) LIKE '%license%' GROUP BY 1, 2")
+def indexed_diff(spark, sf_dir):
+    """Lines of both sides by indexes, and their rows in the diff."""
+    a, b = _pairs(spark, sf_dir)
+    found = [text_index.build(t, F.col("line"), folder(spark, "line-index")).search("License") for t in (a, b)]
+    return lines.search_diff(lines.opcodes(a, b), *found, "License", limit=None).groupBy("pair_id", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
