@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.plans.scratch import stash
-from tributary.sources.reports import numbered_lines
+from tributary.sources.reports import numbered_lines, small
 
 _NONE = "__HIVE_DEFAULT_PARTITION__"  # what Spark calls the folder of a null and of an empty text
 _FILES = "path string, modificationTime timestamp, length long, content binary, set_id string"
@@ -45,6 +45,6 @@ def written_lines(spark: SparkSession, path: str, files: DataFrame) -> DataFrame
     rows = read.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_block_start").alias("at_byte"), at, F.is_valid_utf8("value").alias("valid"), F.make_valid_utf8("value").alias("line"))
     before = F.sum("length").over(Window.partitionBy("set_id").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
     inputs = files.select("set_id", F.lit(0).alias("input_index"), F.col("set_id").alias("source_id"), F.col("set_id").alias("path"), F.col("file").alias("file"), F.coalesce(before, F.lit(0)).alias("first_byte"))
-    rows = stash(rows.join(inputs, "file").withColumn("split", F.col("first_byte") + F.col("at_byte")).drop("file", "first_byte", "at_byte"), "written-lines")
+    rows = stash(rows.join(small(inputs), "file").withColumn("split", F.col("first_byte") + F.col("at_byte")).drop("file", "first_byte", "at_byte"), "written-lines")
     keys = ["set_id", "input_index", "source_id", "path"]
     return numbered_lines(rows, keys)

@@ -25,6 +25,12 @@ def _empty_files(files: DataFrame) -> list[str]:
     return sorted(names - seen)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of a row a file or split, marked for a broadcast if it has at most BROADCAST_FILES rows, so that lines that
+    are joined with it stay where they are; Spark decides about a larger one."""
+    return F.broadcast(table) if table.count() <= BROADCAST_FILES else table
+
+
 def read_reports(spark: SparkSession, *globs: str, set_id: str | None = None) -> DataFrame:
     """raw(set_id, input_index, source_id, path, content): all files of the globs, numbered by path within a set (their
     folder's name unless set_id is given). No glob, or one that matches nothing, is an error. A content is read by the
@@ -77,7 +83,7 @@ def numbered_lines(rows: DataFrame, keys: list[str], files: DataFrame | None = N
     splits = rows.groupBy(*keys, "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select(*keys, "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = rows.join(splits if files is None else splits.join(files, "path"), [*keys, "split"])
+    numbered = rows.join(small(splits if files is None else splits.join(files, "path")), [*keys, "split"])
     return numbered.select("set_id", "input_index", "source_id", "path", "split", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line", "valid")
 
 
