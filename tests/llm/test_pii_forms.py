@@ -78,3 +78,14 @@ def test_generators_recall():
     for text, span in (("password=hunterhunterhunter", "hunterhunterhunter"), ("a" * 70 + "@x.org", "a" * 70 + "@x.org"), ("so " + "b" * 500 + " at host dot com", "b" * 500 + " at host dot com"), ('Token: "abcdefghijkl"', "abcdefghijkl")):
         assert any(text[a:b] == span for _, a, b in pii.proposals(text)), text
     assert pii.proposals("a" * 300_000 + " @") == [] and len(pii.proposals("ab@" * 50_000)) == 0
+
+
+def test_trees_learn_from_every_text(spark):
+    """Trees and thresholds of a table are those of all its texts, to the bit, whatever its order and partitions."""
+    texts = [t for t, _ in held_out(200)]  # 6,600 texts
+    want = pii.fit(texts, pii.made_texts())
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    for docs in (table.repartition(3), table.orderBy("text")):
+        got = pii.train(docs)
+        assert (got.start, got.thresholds) == (want.start, want.thresholds)
+        assert [[x.tolist() for x in t] for t in got.trees] == [[x.tolist() for x in t] for t in want.trees]

@@ -3,32 +3,39 @@ context, and a threshold calibrated for each kind selects what is redacted. Span
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tributary.llm import common
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method may add.
 MORE_KINDS = ("email_like", "ip_like", "number", "phone_like", "secret")
-#: Texts with a digit, an @ or a spelled one that the trees are fitted on, about at most: those of the smallest hashes.
-FIT_ROWS = 3000
-#: Made texts that are added to them, of each form of made_texts: a table may have none of some form.
+#: Made texts that are added to those of a table, of each form of made_texts: a table may have none of some form.
 MADE_ROWS = 30
 #: Share of what a threshold selects that must be positive on the texts kept back for calibration.
 PRECISION = 0.98
 #: No threshold is below this.
 LEAST_THRESHOLD = 0.1
+#: Trees, their rate, and the quantiles at which a feature may be split: those of a table and those of the made texts.
+ROUNDS, RATE, SHARES = 40, 0.3, [k / 33 for k in range(1, 33)]
+#: Gradients are summed as whole numbers of 1 / UNIT: doubles hold such sums exactly, so partitions do not change them.
+UNIT = 2.0**20
+#: Thresholds are chosen from so many; trees after which the odds of a table's candidates are kept anew; candidates of a task.
+GRID, REFRESH, PART_ROWS = 1000, 10, 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -109,8 +116,6 @@ _PROPOSE = {
     ),
 }
 _QUICK = re.compile(rf"[0-9@]|\bat\b|\[at\]|\(at\)|{_ASKED}")
-#: Texts for fitting: as _QUICK, without those that only have the word `at`.
-_FIT = r"[0-9@]|\[at\]|\(at\)|\[dot\]|\(dot\)| dot "
 #: Fixed words that often stand beside each kind.
 _CUES = {
     "email_like": ("mail", "contact", "write", "@"), "ip_like": ("ip", "host", "server", "address"), "number": ("card", "account", "acct", "visa", "iban", "ssn"),
@@ -288,88 +293,296 @@ class Trees:
     def odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
         for axis, border, leaf in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(3):
-                node = 2 * node + 1 + (x[np.arange(len(x)), axis[node]] > border[node])
-            out += leaf[node - 7]
+            out += leaf[_leaves(x, axis, border)]
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.odds(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.3) -> Trees:
-    """Second-order boosting: each split takes the border (of up to 32 quantiles) that gains most."""
+def _leaves(x: np.ndarray, axis: np.ndarray, border: np.ndarray, levels: int = 3) -> np.ndarray:
+    """The node of a level, from its left, that each row comes to."""
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[rows, axis[node]] > border[node])
+    return node - (2**levels - 1)
+
+
+# Candidates for fitting are rows of small numbers: kind, label, whether kept back for calibration, and the features' bins.
+_BINS = 3
+
+
+def _coded(x: np.ndarray, y: np.ndarray, held: np.ndarray, borders: list[np.ndarray]) -> np.ndarray:
+    return np.stack([x[:, 0], y, held, *(np.searchsorted(b, x[:, k], "left") for k, b in enumerate(borders))], axis=1).astype(np.uint8)
+
+
+def _quantiles(x: np.ndarray) -> np.ndarray:
+    """SHARES of each column, by the rule of Spark's percentile."""
+    x, at = np.sort(x, axis=0), (len(x) - 1) * np.array(SHARES)
+    low, high = np.floor(at), np.ceil(at)
+    a, b = x[low.astype(int)], x[high.astype(int)]
+    return np.where(a == b, a, (high - at)[:, None] * a + (at - low)[:, None] * b).T
+
+
+def _later(rows: np.ndarray, odds: np.ndarray, trees: list) -> np.ndarray:
+    for axis, cut, leaf in trees:
+        odds = odds + leaf[_leaves(rows[:, _BINS:], axis, cut)]
+    return odds
+
+
+def _sums(rows: np.ndarray, odds: np.ndarray, tree: tuple, level: int, width: int) -> np.ndarray:
+    """First and second derivatives of the rows that are fitted on, by feature, node of the level and bin."""
+    p = 1 / (1 + np.exp(-odds))
+    fitted = rows[:, 2] == 0
+    gh = [np.rint(v * UNIT) * fitted for v in (rows[:, 1] - p, p * (1 - p) + 1e-6)]
+    node = _leaves(rows[:, _BINS:], *tree, level) * width
+    bins = [node + rows[:, k] for k in range(_BINS, rows.shape[1])]
+    return np.array([[np.bincount(b, v, width << level).reshape(-1, width) for b in bins] for v in gh])
+
+
+def _tally(rows: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Of the rows kept back, all and positive ones by kind and probability."""
+    held = rows[:, 2] == 1
+    at = rows[held, 0].astype(np.int64) * (GRID + 1) + np.floor(GRID / (1 + np.exp(-odds[held]))).astype(np.int64)
+    return np.array([np.bincount(at, v, len(MORE_KINDS) * (GRID + 1)) for v in (np.ones(held.sum()), rows[held, 1])]).reshape(2, len(MORE_KINDS), GRID + 1)
+
+
+class _Here:
+    """Candidates in this process."""
+
+    def __init__(self, rows: np.ndarray, start: float):
+        self.rows, self.odds = rows, np.full(len(rows), start)
+
+    def add(self, tree: tuple) -> None:
+        self.odds = _later(self.rows, self.odds, [tree])
+
+    def total(self, function, *args) -> np.ndarray:
+        return function(self.rows, self.odds, *args)
+
+    def free(self) -> None:
+        pass
+
+
+class _There:
+    """Candidates of a table in an RDD of blocks; each pass over them is a job whose tasks return sums alone."""
+
+    def __init__(self, blocks, start: float):
+        self.blocks, self.start, self.trees, self.since = blocks, start, [], []
+        self._keep()
+
+    def _keep(self) -> None:
+        trees, start = self.trees, self.start
+        self.rated = self.blocks.map(lambda rows: (rows, _later(rows, np.full(len(rows), start), trees))).persist()
+
+    def add(self, tree: tuple) -> None:
+        self.since.append(tree)
+        if len(self.since) == REFRESH:
+            self.trees, self.since = self.trees + self.since, []
+            self.rated.unpersist()
+            self._keep()
+
+    def total(self, function, *args) -> np.ndarray:
+        since = self.since
+
+        def part(blocks):
+            out = None
+            for rows, odds in blocks:
+                one = function(rows, _later(rows, odds, since), *args)
+                out = one if out is None else out + one
+            return [] if out is None else [out]
+
+        return sum(self.rated.mapPartitions(part).collect())
+
+    def free(self) -> None:
+        self.rated.unpersist()
+        self.blocks.unpersist()
+
+
+def boost(parts: list, borders: list[np.ndarray]) -> tuple[list, list]:
+    """Second-order boosting over (candidates, weight): each split takes the border that gains most, by the derivatives of
+    all candidates. Trees by bins and by borders."""
+    width = max(map(len, borders)) + 1
+    inside = np.arange(width - 1) < np.array([[len(b)] for b in borders])
+    by_bin, by_border = [], []
+    for _ in range(ROUNDS):
+        axis, cut, border = np.zeros(7, dtype=np.int64), np.full(7, 255), np.full(7, np.inf)
+        leaf = np.zeros(8)
+        for level in range(3):
+            totals = sum(w * c.total(_sums, (axis, cut), level, width) for c, w in parts) / UNIT
+            for j in range(2**level):
+                gs, hs = np.cumsum(totals[:, :, j], axis=2)
+                g, h = gs[0, -1], hs[0, -1]
+                gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
+                gain = np.where(inside, gain[:, :-1], 0)
+                k, at = divmod(int(gain.argmax()), width - 1)
+                left = (g, h)
+                if gain[k, at] > 1e-6:
+                    top = 2**level - 1 + j
+                    axis[top], cut[top], border[top] = k, at, borders[k][at]
+                    left = (gs[k, at], hs[k, at])
+                if level == 2:
+                    leaf[2 * j : 2 * j + 2] = RATE * left[0] / (left[1] + 1), RATE * (g - left[0]) / (h - left[1] + 1)
+        by_bin.append((axis, cut, leaf))
+        by_border.append((axis, border, leaf))
+        for c, _ in parts:
+            c.add(by_bin[-1])
+    return by_bin, by_border
+
+
+def _free_of(base: list[tuple[str, int, int]]):
+    """Whether a span overlaps none of base."""
+    at = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in at], list(accumulate((b for _, b in at), max))
+    return lambda a, b: not (k := bisect.bisect_left(starts, b)) or ends[k - 1] <= a
+
+
+def _judged(text: str, base: list, found: list, truth: list | None = None) -> Iterator[tuple[list[float], int]]:
+    """Features and label of candidates. What overlaps a base span stays out: it can't be added."""
+    free = _free_of(base)
+    for kind, a, b in found:
+        if free(a, b):
+            yield features(text, kind, a, b), weak_label(text, kind, a, b) if truth is None else int((kind, a, b) in truth)
+
+
+def _held(text: str) -> bool:
+    """Whether a text of a table is kept back for calibration: a third of them are, and copies together."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % 3 == 2
+
+
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, held = zip(*rows, strict=True) if rows else ((), (), ())
+    return np.array(x, dtype=np.float64), np.array(y), np.array(held)
+
+
+def _learn(table: tuple, made: list[tuple[str, list[tuple[str, int, int]]]], part) -> Trees:
+    """Trees from a table's candidates and those of made texts, and for each kind the least threshold at which PRECISION of
+    what is selected of those kept back is positive (none selected if there is no such).
+
+    table: how many candidates, how many to fit on, how many of these are positive, quantiles of these; part(borders, start)
+    gives them. A table's candidates count one each until they are as many as those of made texts; more of them share that
+    weight, so that the forms that only made texts have are not forgotten on large tables."""
+    n, n_fit, positive, quantiles = table
+    x, y, held = _arrays([(f, label, i % 3 == 2) for i, (text, truth) in enumerate(made) for f, label in _judged(text, base_spans(text), proposals(text), truth)])
+    weight = min(1.0, len(y) / n) if len(y) and n else 1.0
     model = Trees()
-    if not len(x):
+    total = weight * n_fit + (held == 0).sum()
+    if not total:
+        model.thresholds = dict.fromkeys(MORE_KINDS, 1.1)
         return model
-    p = min(0.99, max(0.01, y.mean()))
+    p = min(0.99, max(0.01, (weight * positive + (y[held == 0].sum() if len(y) else 0)) / total))
     model.start = float(np.log(p / (1 - p)))
-    borders = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 34)[1:-1])) for k in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(b, x[:, k], "left") for k, b in enumerate(borders)], axis=1)
-    odds = np.full(len(x), model.start)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-odds))
-        g, h = y - p, p * (1 - p) + 1e-6
-        axis, border, node = np.zeros(7, dtype=np.int64), np.full(7, np.inf), np.zeros(len(x), dtype=np.int64)
-        for top in range(7):
-            here = np.flatnonzero(node == top)
-            best = 1e-6
-            for k, b in enumerate(borders):
-                if not len(here) or not len(b):
-                    continue
-                gs, hs = (np.cumsum(np.bincount(bins[here, k], v[here], len(b) + 1)) for v in (g, h))
-                gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                at = int(gain[:-1].argmax())
-                if gain[at] > best:
-                    best, axis[top], border[top] = gain[at], k, b[at]
-            node[here] = 2 * top + 1 + (x[here, axis[top]] > border[top])
-        gs, hs = (np.bincount(node - 7, v, 8) for v in (g, h))
-        leaf = rate * gs / (hs + 1)
-        odds += leaf[node - 7]
-        model.trees.append((axis, border, leaf))
+    known = [q for q in (quantiles if n_fit else None, _quantiles(x[held == 0]) if (held == 0).any() else None) if q is not None]
+    borders = [np.unique(np.concatenate(q)) for q in zip(*known, strict=True)]
+    parts = ([(part(borders, model.start), weight)] if n else []) + ([(_Here(_coded(x, y, held, borders), model.start), 1.0)] if len(y) else [])
+    _, model.trees = boost(parts, borders)
+    every, right = np.cumsum(sum(w * c.total(_tally) for c, w in parts)[:, :, ::-1], axis=2)
+    for c, _ in parts:
+        c.free()
+    for number, kind in enumerate(MORE_KINDS):
+        good = np.flatnonzero((every[number] > 0) & (right[number] >= PRECISION * every[number]))
+        model.thresholds[kind] = max(LEAST_THRESHOLD, (GRID - int(good[-1])) / GRID) if len(good) else 1.1
     return model
 
 
 def fit(texts: list[str], made: list[tuple[str, list[tuple[str, int, int]]]] = ()) -> Trees:
-    """Trees from the candidates of two thirds of the texts, and for each kind the least threshold at which
-    PRECISION of the other third's selected candidates are positive (none selected if there is no such). Candidates of
-    texts have weak labels, those of made texts are positive where they are what was put there. What overlaps a base
-    span stays out of both: it can't be added."""
-    rows: list = [[], []]
-    for i, (text, truth) in enumerate([*((t, None) for t in texts), *made]):
-        base = base_spans(text)
-        for kind, a, b in proposals(text):
-            if all(b <= x or y <= a for _, x, y in base):
-                label = weak_label(text, kind, a, b) if truth is None else int((kind, a, b) in truth)
-                rows[i % 3 == 2].append((features(text, kind, a, b), label))
-    x, y = (np.array([r[k] for r in rows[0]], dtype=np.float64) for k in (0, 1))
-    model = boost(x, y)
-    x, y = (np.array([r[k] for r in rows[1]], dtype=np.float64) for k in (0, 1))
-    p = model.probability(x) if len(y) else np.zeros(0)
-    for number, kind in enumerate(MORE_KINDS):
-        mine = x[:, 0] == number if len(y) else np.zeros(0, dtype=bool)
-        order = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        model.thresholds[kind] = max(LEAST_THRESHOLD, float(p[mine][order][good[-1]])) if len(good) else 1.1
-    return model
+    """As learn, from a few texts in this process."""
+    x, y, held = _arrays([(f, label, _held(text)) for text in texts for f, label in _judged(text, base_spans(text), proposals(text))])
+    used = held == 0
+    table = (len(y), int(used.sum()), int(y[used].sum()) if len(y) else 0, _quantiles(x[used]) if used.any() else None)
+    return _learn(table, made, lambda borders, start: _Here(_coded(x, y, held, borders), start))
+
+
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = "array<struct<kind:string,start:long,end:long>>"
+#: Columns that scan adds.
+SEEN = ("base spans", "candidate spans")
 
 
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
-    """Fit on about fit_rows texts that match _FIT, picked by a hash of the text, and on made_texts."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_FIT))
-    n = rows.count()
-    part = min(1.0, fit_rows / max(1, n))
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(np.ceil(1_000_000 * part))).limit(2 * fit_rows)
-    return fit(sorted(r[0] for r in some.collect()), made_texts())
+def _pa_spans(spans: list) -> pa.Array:
+    return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in ss] for ss in spans], _SPAN)
+
+
+def _tuples(column: pa.Array) -> Iterator[list[tuple[str, int, int]]]:
+    for spans in column:
+        yield [(s["kind"], s["start"], s["end"]) for s in spans.as_py()]
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """docs with the base spans and the candidates of column text; all columns and rows stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _pa_spans([base_spans(t) for t in texts]), _pa_spans([proposals(t) for t in texts])], [*batch.schema.names, *SEEN])
+
+    kind = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
+    return common.map_arrow(docs, run, StructType([*docs.schema.fields, *(StructField(c, kind) for c in SEEN)]))
+
+
+def candidates(seen: DataFrame) -> DataFrame:
+    """Features x, label y and whether kept back, of every candidate of scanned documents that can be added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for text, base, found in zip(batch.column(0), _tuples(batch.column(1)), _tuples(batch.column(2)), strict=True):
+                    text = text.as_py()
+                    held = _held(text)
+                    for f, label in _judged(text, base, found):
+                        yield f, label, held
+
+        every = rows()
+        while some := list(islice(every, 10_000)):
+            x, y, held = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(held, pa.bool_())], ["x", "y", "held"])
+
+    return common.map_arrow(seen.filter(F.size(SEEN[1]) > 0).select("text", *SEEN), run, "x array<double>, y int, held boolean")
+
+
+def learn(seen: DataFrame) -> Trees:
+    """Trees and thresholds from every candidate of every scanned document, with weak labels, and from made_texts.
+
+    Candidates are written once; quantiles, the derivatives of each level of each tree and the counts for thresholds are
+    sums over all of them, and only these sums come to the driver. They are exact, so the model depends on what the table
+    holds alone, not on its order or its partitions."""
+    table = common.stash(candidates(seen), "pii-candidates")
+    used = ~F.col("held")
+    n_features = len(features("1", "number", 0, 1))
+    quantiles = [F.percentile(F.when(used, F.get("x", F.lit(k))), SHARES) for k in range(n_features)]
+    n, n_fit, positive, *q = table.agg(F.count(F.lit(1)), F.count_if(used), F.sum(F.when(used, F.col("y"))), *quantiles).first()
+
+    def part(borders: list[np.ndarray], start: float) -> _There:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, n_features)
+                rows = _coded(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), borders)
+                yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
+
+        blocks = common.map_arrow(table, run, "rows binary").rdd.map(lambda r: np.frombuffer(r[0], dtype=np.uint8).reshape(-1, _BINS + n_features))
+        return _There(blocks.coalesce(n // PART_ROWS + 1).persist(), start)
+
+    return _learn((n, n_fit, positive or 0, np.array(q) if n_fit else None), made_texts(), part)
+
+
+def _spans_only(docs: DataFrame) -> DataFrame:
+    """Scanned documents, written; of texts only those that have candidates."""
+    seen = scan(docs)
+    return common.stash(seen.withColumn("text", F.when(F.size(SEEN[1]) > 0, F.col("text"))), "pii-seen")
+
+
+def train(docs: DataFrame) -> Trees:
+    """As learn, from docs(text)."""
+    return learn(_spans_only(docs.select(F.col("text").cast("string").alias("text"))))
 
 
 def all_spans(text: str, model: Trees) -> list[tuple[str, int, int]]:
     """Base spans, and of the others those whose probability reaches their kind's threshold: the likely ones first,
     none that overlaps a chosen one. By kind as listed, then start."""
-    base = base_spans(text)
-    found = proposals(text)
+    return choose(text, base_spans(text), proposals(text), model)
+
+
+def choose(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, int, int]], model: Trees) -> list[tuple[str, int, int]]:
     if not found:
         return base
     p = model.probability(np.array([features(text, *c) for c in found], dtype=np.float64))
@@ -384,20 +597,22 @@ def all_spans(text: str, model: Trees) -> list[tuple[str, int, int]]:
     return base + sorted(added, key=lambda s: (order.index(s[0]), s[1]))
 
 
-_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-
-
-def find(docs: DataFrame, model: Trees) -> DataFrame:
-    """doc_id, text and spans (kind, start, end in code points) of docs(doc_id, text). A null text has no spans and
-    stays null; repeated rows are kept; extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def chosen(seen: DataFrame, model: Trees) -> DataFrame:
+    """doc_id, text and spans (kind, start, end in code points) of scanned documents."""
+    shared = seen.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t or "", shared.value)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPAN)], ["doc_id", "text", "spans"])
+            spans = [choose(t or "", b, f, shared.value) for t, b, f in zip(batch.column(1).to_pylist(), _tuples(batch.column(2)), _tuples(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _pa_spans(spans)], ["doc_id", "text", "spans"])
+
+    return common.map_arrow(seen.select("doc_id", "text", *SEEN), run, f"doc_id long, text string, spans {_SPANS}")
 
-    return common.map_arrow(common.documents(docs), run, "doc_id long, text string, spans array<struct<kind:string,start:long,end:long>>")
+
+def find(docs: DataFrame, model: Trees) -> DataFrame:
+    """doc_id, text and spans of docs(doc_id, text). A null text has no spans and stays null; repeated rows are kept;
+    extra columns are ignored."""
+    return chosen(scan(common.documents(docs)), model)
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -412,20 +627,27 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
     """docs with the spans in column text redacted; all columns and rows stay, null texts are null."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    return redact_seen(scan(docs), model)
+
+
+def redact_seen(seen: DataFrame, model: Trees) -> DataFrame:
+    """As redact, of scanned documents."""
+    shared, columns = seen.sparkSession.sparkContext.broadcast(model), seen.columns[: -len(SEEN)]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else redact_text(t, s) if (s := all_spans(t, shared.value)) else t for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+            *own, base, found = batch.columns
+            texts = [t if t is None else redact_text(t, s) if (s := choose(t, b, f, shared.value)) else t for t, b, f in zip(own[at].to_pylist(), _tuples(base), _tuples(found), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(own)], columns)
 
-    return common.map_arrow(docs, run, docs.schema)
+    return common.map_arrow(seen, run, StructType(seen.schema.fields[: -len(SEEN)]))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of every document."""
-    docs = common.table(spark, sf_dir, "documents")
-    found = find(docs, train(docs))
+    seen = _spans_only(common.documents(common.table(spark, sf_dir, "documents")))
+    found = chosen(seen, learn(seen))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
