@@ -141,6 +141,25 @@ def test_hard_lengths_over_shards(spark):
     assert len(fill) < len(plain)
 
 
+def test_every_shard_above_its_bound_evolves(spark, monkeypatch):
+    """One shard or many, of all pieces at once: only those that best fit packs into as few bins as their sum allows rest."""
+    rng = random.Random(19)
+    lengths = [rng.randrange(60, 900) for _ in range(4800)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length int")
+    for shard_pieces in (1600, 4800):
+        seen, epoch = [], packing._epoch
+        monkeypatch.setattr(packing, "_epoch", lambda evolved, *a, seen=seen, epoch=epoch: seen.append(evolved) or epoch(evolved, *a))
+        got = packing.pack(items, capacity=2048, shard_pieces=shard_pieces).collect()
+        monkeypatch.undo()
+        shards: dict = {}
+        dealt = items.selectExpr("pmod(xxhash64(item, 0), %d)" % (4800 // shard_pieces), "length")
+        for shard, length in dealt.collect():
+            shards.setdefault(shard, []).append(length)
+        above = {s for s, x in shards.items() if len(packing.best_fit_decreasing(sorted(range(len(x)), key=lambda i: -x[i]), x, 2048)) > -(-sum(x) // 2048)}
+        assert above and seen and {r[0] for r in seen[0].select("shard").distinct().collect()} == above
+        assert sorted(r["item"] for r in got) == list(range(4800))
+
+
 def test_pieces_are_the_tokenizers_own(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

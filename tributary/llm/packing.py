@@ -24,8 +24,6 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 24, 6
 WELL_FILLED = 0.995
 #: Bins less full than this are opened again and packed with those of other shards, as long as that saves a tenth of them.
 REOPEN_BELOW, WORTHWHILE = 0.97, 0.1
-#: A shard of which no more bins than this share are to be opened again needs no evolution.
-LOOSE = 0.02
 #: Words and parts of words whose ids a worker keeps, about at most (some 200 bytes each).
 _CACHE_WORDS = 1_000_000
 
@@ -273,8 +271,9 @@ def _bins(numbers) -> list[list[int]]:
 
 def _epoch(items: DataFrame, capacity: int, epoch: int) -> DataFrame:
     """One epoch on every island of every shard. items: shard, item, length and bins (a bin number for each island);
-    each island starts from its own elite and that of its neighbour, which migrates to it."""
-    schema = "shard long, island int, item long, length int, bin int"
+    each island starts from its own elite and that of its neighbour, which migrates to it. more: an island of the shard
+    has saved a bin, and there are still more than the sum of lengths needs."""
+    schema = "shard long, island int, item long, length int, bin int, more boolean"
 
     def run(key, pdf):
         pdf = pdf.sort_values("item", kind="stable")
@@ -285,7 +284,8 @@ def _epoch(items: DataFrame, capacity: int, epoch: int) -> DataFrame:
         number = np.zeros(len(lengths), dtype=np.int32)
         for b, members in enumerate(best):
             number[members] = b
-        return pdf[["shard", "island", "item", "length"]].assign(bin=number)
+        more = -(-sum(lengths) // capacity) < len(best) < min(map(len, seeds))
+        return pdf[["shard", "island", "item", "length"]].assign(bin=number, more=more)
 
     island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     dealt = items.select("shard", "item", "length", "bins", island)
@@ -293,12 +293,12 @@ def _epoch(items: DataFrame, capacity: int, epoch: int) -> DataFrame:
     dealt = dealt.select("shard", "island", "item", "length", at(F.col("island")).alias("own"), at((F.col("island") + ISLANDS - 1) % ISLANDS).alias("migrant"))
     done = dealt.groupBy("shard", "island").applyInPandas(run, schema)
     bins = F.transform(F.array_sort(F.collect_list(F.struct("island", "bin"))), lambda x: x["bin"])
-    return common.stash(done.groupBy("shard", "item", "length").agg(bins.alias("bins")), "packing-epoch")
+    return common.stash(done.groupBy("shard", "item", "length").agg(bins.alias("bins"), F.bool_or("more").alias("more")), "packing-epoch")
 
 
-def _first_fit(capacity: int, last: bool):
-    """Best-fit-decreasing bins of a shard, and whether they are good as they are: as few as the sum of lengths allows,
-    or, while there are other shards, with no more than LOOSE of them to be opened again."""
+def _first_fit(capacity: int):
+    """Best-fit-decreasing bins of a shard, and whether they are good as they are: as few as the sum of lengths allows.
+    That is asked of every shard alike, however many there are."""
 
     def fit(pdf):
         pdf = pdf.sort_values("item", kind="stable")
@@ -307,9 +307,7 @@ def _first_fit(capacity: int, last: bool):
         number = np.zeros(len(lengths), dtype=np.int32)
         for b, members in enumerate(bins):
             number[members] = b
-        loose = sum(sum(lengths[i] for i in b) < REOPEN_BELOW * capacity for b in bins)
-        good = len(bins) <= -(-sum(lengths) // capacity) or (not last and loose <= LOOSE * len(bins))
-        return pdf[["shard", "item", "length"]].assign(bin=number, good=good)
+        return pdf[["shard", "item", "length"]].assign(bin=number, good=len(bins) <= -(-sum(lengths) // capacity))
 
     return fit
 
@@ -337,8 +335,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     """items(item, length), item unique and 0 < length <= capacity, with sequence_id and offset.
 
     Pieces are dealt evenly into shards by a hash, whatever documents they are of. Where best fit alone leaves more bins
-    than the sum of lengths needs, and not just a few that are opened again anyway, the shard's islands evolve from it and
-    exchange elites. Bins that stay less than REOPEN_BELOW full are opened and packed again with those of other shards,
+    than the sum of lengths needs, the shard's islands evolve from it and exchange elites, until an epoch saves no bin. Bins that stay less than REOPEN_BELOW full are opened and packed again with those of other shards,
     until one shard holds them all or that saves less than WORTHWHILE of them: then their lengths fill no bins better,
     whatever shard they are in. An empty table gives an empty one."""
     done = items.filter(F.col("length") >= capacity).select("item", (F.col("item") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -349,13 +346,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
             return done
         shards = -(-n // shard_pieces)
         dealt = rest.select(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard"), "item", "length")
-        first = common.stash(dealt.groupBy("shard").applyInPandas(_first_fit(capacity, shards == 1), "shard long, item long, length int, bin int, good boolean"), "packing-first")
+        first = common.stash(dealt.groupBy("shard").applyInPandas(_first_fit(capacity), "shard long, item long, length int, bin int, good boolean"), "packing-first")
         now, hard = first.filter("good").select("shard", "item", "length", F.array("bin").alias("bins")), first.filter("not good")
         if not hard.isEmpty():
             evolved = hard.select("shard", "item", "length", F.array_repeat("bin", ISLANDS).alias("bins"))
             for epoch in range(EPOCHS):
                 evolved = _epoch(evolved, capacity, epoch)
-            now = now.unionByName(evolved)
+                more = F.col("more") if epoch < EPOCHS - 1 else F.lit(False)
+                now = now.unionByName(evolved.filter(~more).drop("more"))
+                evolved = evolved.filter(more)
+                if evolved.isEmpty():
+                    break
         chosen = common.stash(now.groupBy("shard").applyInPandas(_chooser(capacity), "shard long, item long, length int, bin long, offset long, keep boolean"), "packing-level")
         bins, still_open = chosen.filter("offset = 0").agg(F.count(F.lit(1)), F.count_if(~F.col("keep"))).first()
         last = shards == 1 or (before is not None and bins > (1 - WORTHWHILE) * before)
