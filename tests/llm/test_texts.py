@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, jaccard, langid, packing, pii, quality, substring, textvec
+from tributary.llm import common, decontaminate, jaccard, langid, packing, pii, quality, substring, textvec
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string"
 
@@ -260,6 +260,59 @@ def test_tokens_are_the_tokenizers_own():
         assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_each_part_is_tokenized_once_by_the_model_alone(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    stems = [*words(rng, 300), "Öl", "don't", "l'été", "x1", "naïve", "...", "--"]
+    texts = [" ".join(rng.choice([str.lower, str.upper, str.title])(rng.choice(stems)) + rng.choice(["", "", ",", ".", "\n"]) for _ in range(200)) for _ in range(60)]
+    monkeypatch.setattr(common, "_kept", {})
+    worker, asked = packing._tokenizer(None), []
+    model = worker["tokenizer"].model
+
+    class Model:
+        def tokenize(self, part):
+            asked.append(part)
+            return model.tokenize(part)
+
+    class Unasked:
+        def encode(self, *a, **b):
+            raise AssertionError("a plain text went through the whole tokenizer")
+
+    worker.update(model=Model(), tokenizer=Unasked())
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in (texts[:20], texts[20:], texts):
+        packing.tokenize(some)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.tokenize(texts)] == want
+    assert 0 < len(asked) == len(set(asked)) <= len({p for t in texts for p in worker["pattern"].findall(t.lower())})
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 50)  # given back and learned anew
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in packing.tokenize([t])] == want
+
+
+def test_every_plain_character_and_slices_by_bytes(monkeypatch):
+    import re
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = [c for c in map(chr, range(0x2100)) if re.fullmatch(f"[{packing.PLAIN}]", c)]
+    assert len(plain) > 500
+    texts = [f for c in plain for f in (c, f"A{c}b", f" {c}{c}'S{c}1 ", f"Éß{c}É{c}")]
+    for text, ids in zip(texts, packing.tokenize(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
+    assert packing.tokenize([]) == [] and packing.tokenize(["", " \n", "a"])[:2] == [b"", b""]
+    monkeypatch.setattr(packing, "TEXT_BYTES", 10)
+    rows = [None, "a" * 9, "b" * 30, "", None, "c", "d" * 5, "e" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(rows)], ["doc_id", "text"])
+    cut = [x.column(1).to_pylist() for x in packing._by_bytes(batch)]
+    assert sum(cut, []) == rows and all(cut) and len(cut) > 2 and list(packing._by_bytes(batch.slice(0, 0))) == []
+
+
 def test_packing(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(words(rng, rng.randrange(120)))) for i in range(150)] + list(enumerate(EDGES, 500)) + [(1, "again"), (None, "no id")]

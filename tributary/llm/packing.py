@@ -6,10 +6,12 @@ import bisect
 import os
 import random
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 24, 6
 WELL_FILLED = 0.995
 #: Bins less full than this are opened again and packed with those of other shards, as long as that saves a tenth of them.
 REOPEN_BELOW, WORTHWHILE = 0.97, 0.1
-#: Words and parts of words whose ids a worker keeps, about at most (some 200 bytes each).
-_CACHE_WORDS = 1_000_000
+#: Lower-cased words and parts of words whose ids a worker keeps, about at most (some 200 bytes each).
+_CACHE_WORDS = 2_000_000
+#: Text that is tokenized at once, about.
+TEXT_BYTES = 8_000_000
+#: A class of re, see _tokenizer.
+PLAIN = "\x09-\x0d\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e"
 
 
 def _tokenizer(path: str | None):
@@ -43,70 +49,72 @@ def _tokenizer(path: str | None):
         else:
             _worker["path"] = path
         _worker["tokenizer"] = Tokenizer.from_file(path)
-        _worker["words"], _worker["parts"] = {}, {}
+        _worker["model"], _worker["ids"] = _worker["tokenizer"].model, {}
         # Fixed value: the tokenizer's own pattern of parts of words, for the plain characters below.
         _worker["pattern"] = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-        # Characters for which lower() and the tokenizer's normalizer do the same, and re's classes and its own
-        # are the same; texts with others go to it whole.
-        _worker["plain"] = re.compile("[\x09-\x0d\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
+        # Characters for which lower() and the tokenizer's normalizer do the same, and re's and Arrow's classes and its
+        # own are the same; texts with others go to it whole.
+        _worker["plain"] = re.compile(f"[{PLAIN}]*")
+        # How its model wants a plain character, lower-cased: by the alphabet of bytes.
+        shown = _worker["tokenizer"].pre_tokenizer.pre_tokenize_str
+        _worker["letters"] = {ord(c.lower()): "".join(x for x, _ in shown(c.lower())) for c in map(chr, range(0x2040)) if _worker["plain"].fullmatch(c) and not c.isspace()}
     return _worker
 
 
-def _encode_parts(tokenizer, parts: list[str]) -> list[bytes]:
-    """Ids of parts that the tokenizer does not split any further, many in one text."""
-    e = tokenizer.encode(" ".join(parts), add_special_tokens=False)
-    ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-    cut = [0, *(4 * np.flatnonzero(np.diff(of)) + 4).tolist(), 4 * len(ids)]
-    if len(cut) - 1 != len(parts):
-        return [np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in parts]
-    blob = ids.tobytes()
-    return [blob[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+def _learn(words: list[str], w: dict) -> None:
+    """Put the ids of lower-cased words, and of the parts that the tokenizer cuts them into, in the worker's cache.
+
+    A part is a word of its own, too. The model alone is asked, once a part: the tokenizer's other steps are done."""
+    known, find, model, letters = w["ids"], w["pattern"].findall, w["model"].tokenize, w["letters"]
+    cut = [(x, (x,) if x.isalpha() else find(x)) for x in words]
+    for part in {y for _, parts in cut for y in parts if y not in known}:
+        ids = [t.id for t in model(part.translate(letters))]
+        known[part] = struct.pack(f"<{len(ids)}I", *ids)
+    for x, parts in cut:
+        if x not in known:
+            known[x] = b"".join([known[y] for y in parts])
 
 
 def tokenize(texts: list[str], path: str | None = None) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for whole texts.
 
-    It tokenizes the parts of a text apart from each other and never across white space; so each distinct word is
-    cut into parts once, and each distinct part is tokenized once, as far as the bounded caches reach."""
+    It tokenizes the parts of a text apart from each other and never across white space. So Arrow cuts the texts at white
+    space and numbers their distinct words, only these are looked up, and numpy deals their ids out to their places;
+    words and parts that the bounded cache does not have are tokenized once."""
     w = _tokenizer(path)
-    tokenizer, words_ids, parts_ids, find, plain = w["tokenizer"], w["words"], w["parts"], w["pattern"].findall, w["plain"].fullmatch
-    out: list = [None] * len(texts)
-    words: list = [None] * len(texts)
-    for i, text in enumerate(texts):
-        if plain(text) and "<|" not in text:
-            words[i] = text.split()
-        else:
-            out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    every = set().union(*[x for x in words if x is not None])
-    for cache in (words_ids, parts_ids):
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-    # What is a known part, or letters only, is one part.
-    whole, cut = [], []
-    for x in every.difference(words_ids):
-        y = x.lower()
-        known = parts_ids.get(y)
-        if known is not None:
-            words_ids[x] = known
-        elif y.isalpha():
-            whole.append((x, y))
-        else:
-            cut.append((x, find(y)))
-    need = {y for _, y in whole}
-    need.update(*[parts for _, parts in cut])
-    need = list(need.difference(parts_ids))
-    for at in range(0, len(need), 2000):
-        some = need[at : at + 2000]
-        parts_ids.update(zip(some, _encode_parts(tokenizer, some), strict=True))
-    for x, y in whole:
-        words_ids[x] = parts_ids[y]
-    for x, parts in cut:
-        words_ids[x] = b"".join([parts_ids[p] for p in parts])
-    ids = words_ids.__getitem__
-    for i, x in enumerate(words):
-        if x is not None:
-            out[i] = b"".join(map(ids, x))
-    return out
+    plain = [w["plain"].fullmatch(t) is not None and "<|" not in t for t in texts]
+    cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string())))
+    words = cut.flatten().dictionary_encode()
+    every, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), w["ids"]
+    if len(known) > _CACHE_WORDS:
+        known.clear()
+    found = list(map(known.get, every))
+    new = [k for k, ids in enumerate(found) if ids is None]
+    _learn([every[k] for k in new], w)
+    for k in new:
+        found[k] = known[every[k]]
+    # Of each word: where its ids begin among those of the distinct words, and how many they are.
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    pool, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    at = words.indices.to_numpy()
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    small = np.int32 if ends[-1] < 2**31 else np.int64
+    places = np.repeat((begins[at] - ends[:-1]).astype(small), n)
+    places += np.arange(ends[-1], dtype=small)
+    blob = pool[places].tobytes()
+    edges = (4 * ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]).tolist()
+    whole = lambda t: np.array(w["tokenizer"].encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return [blob[a:b] if p else whole(t) for t, p, a, b in zip(texts, plain, edges, edges[1:], strict=False)]
+
+
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some TEXT_BYTES of column 1 each, so that what is made of a slice stays within memory."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary"
@@ -120,8 +128,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in _by_bytes(batch):
                 rows: list[tuple] = []
                 for doc, ids in zip(some.column(0).to_pylist(), tokenize([t or "" for t in some.column(1).to_pylist()], tokenizer_path), strict=True):
                     ids += end
