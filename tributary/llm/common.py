@@ -80,8 +80,8 @@ def release(owner: str) -> None:
             trim(0)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS at most."""
+def map_arrow(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with batches of `rows` at most."""
     owner = function.__module__
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +89,8 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
         def cut():
             for b in batches:
-                for at in range(0, b.num_rows, BATCH_ROWS):
-                    yield b.slice(at, BATCH_ROWS)
+                for at in range(0, b.num_rows, rows):
+                    yield b.slice(at, rows)
 
         yield from function(cut())
 

@@ -66,13 +66,23 @@ def _learn(words: list[str], w: dict) -> None:
 
     A part is a word of its own, too. The model alone is asked, once a part: the tokenizer's other steps are done."""
     known, find, model, letters = w["ids"], w["pattern"].findall, w["model"].tokenize, w["letters"]
-    cut = [(x, (x,) if x.isalpha() else find(x)) for x in words]
-    for part in {y for _, parts in cut for y in parts if y not in known}:
+
+    def learn(part: str) -> bytes:
         ids = [t.id for t in model(part.translate(letters))]
-        known[part] = struct.pack(f"<{len(ids)}I", *ids)
-    for x, parts in cut:
-        if x not in known:
-            known[x] = b"".join([known[y] for y in parts])
+        known[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    for x in words:
+        if x.isalpha():
+            if x not in known:
+                learn(x)
+        elif (head := x[:-1]).isalpha():  # letters and one sign or digit
+            known[x] = (known.get(head) or learn(head)) + (known.get(x[-1]) or learn(x[-1]))
+        elif x:
+            parts = find(x)
+            known[x] = b"".join([known.get(y) or learn(y) for y in parts]) if len(parts) > 1 else known.get(x) or learn(x)
+        else:
+            known[x] = b""
 
 
 def tokenize(texts: list[str], path: str | None = None) -> list[bytes]:
@@ -136,7 +146,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return common.map_arrow(common.documents(docs), run, PIECES)
+    return common.map_arrow(common.documents(docs), run, PIECES, 10 * common.BATCH_ROWS)
 
 
 class Bins:
