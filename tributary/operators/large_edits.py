@@ -8,9 +8,11 @@ branch goes; nodes find their branch by an equi-join and are renamed."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -21,74 +23,82 @@ from tributary.plans.scratch import stash
 
 #: Elements of an array that look for their run together, and shares of a branch that is moved whole.
 BLOCK, SHARES = 64, 16
-#: Runs of a leaf of an array's two-level list.
-LEAF = 512
+#: Most items of a leaf of an array's list.
+LEAF = 256
 _ROW = "what string, src long, path string, lo long, hi long, shift long, dest string, seq long, text string, id int"
+_FIELDS = [pa.field(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[t]) for n, t in (c.split() for c in _ROW.split(", "))]
 _DOC = 0
 
 
 class _Array:
-    """Elements as runs (src, path, first, end) of old places, or (node,) for single ones, in leaves with their lengths."""
+    """Elements as runs (src, path, first, end) of old places, or (node,) for single ones, in leaves: lists of items and of
+    their lengths. Sums of the leaves' lengths in a tree (Fenwick's) find the leaf of an element in logarithmic time."""
 
     def __init__(self, leaves):
         self.leaves = leaves
+        self._sum()
 
     def __len__(self):
-        return sum(n for n, _ in self.leaves)
-
-    def _cut(self, at: int):
-        """(leaf number, place in it) of an item that begins at element `at`; a run that spans it is cut in two."""
-        for k, leaf in enumerate(self.leaves):
-            if at < leaf[0] or k == len(self.leaves) - 1:
-                break
-            at -= leaf[0]
-        items = leaf[1]
-        for place, item in enumerate(items):
-            if at == 0:
-                return k, place
-            n = item[3] - item[2] if len(item) == 4 else 1
-            if at < n:
-                src, path, a, b = item
-                items[place : place + 1] = [(src, path, a, a + at), (src, path, a + at, b)]
-                return k, place + 1
-            at -= n
-        return k, len(items)
-
-    def _alone(self, at: int):
-        self._cut(at + 1)
-        k, place = self._cut(at)
-        return self.leaves[k], place
+        return self.n
+
+    def _sum(self):
+        self.sums = [0, *(sum(lengths) for _, lengths in self.leaves)]
+        self.n = sum(self.sums)
+        for k in range(1, len(self.sums)):
+            if (above := k + (k & -k)) < len(self.sums):
+                self.sums[above] += self.sums[k]
+
+    def _find(self, at: int):
+        """(leaf number, place in it, offset in the item) of an element; behind the last one is the end of the last leaf."""
+        sums, k, step = self.sums, 0, 1 << (len(self.leaves).bit_length() - 1)
+        while step:
+            if k + step < len(sums) and sums[k + step] <= at:
+                k += step
+                at -= sums[k]
+            step >>= 1
+        if k == len(self.leaves):
+            return k - 1, len(self.leaves[-1][0]), 0
+        ends = list(accumulate(self.leaves[k][1]))
+        place = bisect_right(ends, at)
+        return k, place, at - (ends[place - 1] if place else 0)
+
+    def _change(self, k: int, place: int, offset: int, gone: int, new: tuple | None):
+        """Put new (or nothing) in the place of so many elements, one or none, at offset of an item."""
+        items, lengths = self.leaves[k]
+        parts = [(new, 1)] if new else []
+        if place < len(items) and (offset or gone):
+            item, n = items[place], lengths[place]
+            if len(item) == 4:
+                src, path, a, _ = item
+                cut = [((src, path, a + x, a + y), y - x) for x, y in ((0, offset), (offset + gone, n))]
+                parts = [p for p in (cut[0], *parts, cut[1]) if p[1]]
+            items[place : place + 1], lengths[place : place + 1] = [p[0] for p in parts], [p[1] for p in parts]
+        else:
+            items[place:place], lengths[place:place] = [p[0] for p in parts], [p[1] for p in parts]
+        by = (new is not None) - gone
+        self.n += by
+        at = k + 1
+        while by and at < len(self.sums):
+            self.sums[at] += by
+            at += at & -at
+        if len(items) > LEAF:
+            half = len(items) // 2
+            self.leaves[k : k + 1] = [(items[:half], lengths[:half]), (items[half:], lengths[half:])]
+            self._sum()
 
     def get(self, at: int):
-        for n, items in self.leaves:
-            if at >= n:
-                at -= n
-                continue
-            for item in items:
-                n = item[3] - item[2] if len(item) == 4 else 1
-                if at < n:
-                    return item[0] if len(item) == 1 else (item[0], f"{item[1]}/{item[2] + at}")
-                at -= n
-        raise IndexError(at)
+        k, place, offset = self._find(at)
+        item = self.leaves[k][0][place]
+        return item[0] if len(item) == 1 else (item[0], f"{item[1]}/{item[2] + offset}")
 
     def put(self, at: int, node):
-        leaf, place = self._alone(at)
-        leaf[1][place] = (node,)
+        self._change(*self._find(at), 1, (node,))
 
     def remove(self, at: int):
-        leaf, place = self._alone(at)
-        leaf[0] -= 1
-        del leaf[1][place]
+        self._change(*self._find(at), 1, None)
 
     def insert(self, at: int, node):
-        k, place = self._cut(at)
-        leaf = self.leaves[k]
-        leaf[0] += 1
-        leaf[1].insert(place, (node,))
-        if len(leaf[1]) > LEAF:
-            size = lambda items: sum(i[3] - i[2] if len(i) == 4 else 1 for i in items)
-            halves = leaf[1][: LEAF // 2], leaf[1][LEAF // 2 :]
-            self.leaves[k : k + 1] = [[size(h), h] for h in halves]
+        self._change(*self._find(at), 0, (node,))
 
 
 class _Object:
@@ -148,7 +158,7 @@ class _Fold:
             node = self.root if depth == 0 else self.child(above, tokens[depth - 1])
             if isinstance(node, tuple):
                 kind, _, n = self.look(node, tokens[depth] if depth < len(tokens) else last)
-                out = _Array([[n, [(*node, 0, n)]]]) if kind == "array" else _Object(node, n, set(), {})
+                out = _Array([([(*node, 0, n)], [n])]) if kind == "array" else _Object(node, n, set(), {})
                 if depth == 0:
                     self.root = out
                 else:
@@ -211,8 +221,8 @@ class _Fold:
         while left:
             node, holder, at = left.pop()
             if isinstance(node, _Array):
-                new = _Array([[n, list(items)] for n, items in node.leaves])
-                for _, items in new.leaves:
+                new = _Array([(list(items), list(lengths)) for items, lengths in node.leaves])
+                for items, _ in new.leaves:
                     for k, item in enumerate(items):
                         if len(item) == 1 and not isinstance(item[0], tuple):
                             left.append((item[0], items, k))
@@ -281,7 +291,7 @@ class _Fold:
             else:
                 yield row("node", path=dest, text=ARRAY)
                 at = 0
-                for item in (i for _, items in node.leaves for i in items):
+                for item in (i for items, _ in node.leaves for i in items):
                     if len(item) == 1:
                         left.append((item[0], f"{dest}/{at}"))
                         at += 1
@@ -291,23 +301,26 @@ class _Fold:
                         at += b - a
 
 
-def _fold(log: pd.DataFrame, facts: pd.DataFrame, key: str, on_error: str) -> pd.DataFrame:
+def _fold(log: pa.Table, facts: pa.Table, key: str, on_error: str) -> pa.Table:
+    out = pa.schema([log.schema.field(key), *_FIELDS])
+    if not log.num_rows:
+        return out.empty_table()
     known, tests = {}, defaultdict(list)
-    for src, path, kind, value, n in zip(facts["src"], facts["path"], facts["value_type"], facts["value"], facts["n"]):
-        known[src, path] = None if kind is None else (kind, value, int(n))
+    for src, path, kind, value, n in zip(*(facts.column(c).to_pylist() for c in ("src", "path", "value_type", "value", "n")), strict=True):
+        known[src, path] = None if kind is None else (kind, value, n)
         if src != _DOC:
             tests[src].append((path, kind, value, n))
-    fold, rows, stopped = _Fold(known), [], False
-    log = log.sort_values("seq", kind="stable")
-    for seq, op, path, source, has_value in zip(log["seq"], log["op"], log["path"], log["source"], log["has_value"]):
+    fold, done, stopped = _Fold(known), [], False
+    for seq, op, path, source, has_value in zip(*(log.sort_by("seq").column(c).to_pylist() for c in ("seq", "op", "path", "source", "has_value")), strict=True):
         status = "not run" if stopped else fold.apply(op, path, source, seq, has_value, tests[seq] if op == "test" else [])
         stopped = stopped or (status != "ok" and on_error == "fail")
-        rows.append(("status", None, None, None, None, None, None, seq, status, None))
-    rows = [("need", src, path, *[None] * 7) for src, path in fold.needs] or rows + list(fold.places())
-    names = [c.split()[0] for c in _ROW.split(", ")]
-    out = pd.DataFrame(rows if len(log) else [], columns=names).astype({n: "Int64" for n in ("src", "lo", "hi", "shift", "seq", "id")})
-    out.insert(0, key, [log[key].iloc[0]] * len(out) if len(out) else [])
-    return out
+        done.append((seq, status))
+    rows = [("need", src, path, *[None] * 7) for src, path in fold.needs]
+    if not rows:
+        rows = list(fold.places())
+        rows += [("status", None, None, None, None, None, None, seq, status, None) for seq, status in done]
+    owner = log.column(key).slice(0, 1).combine_chunks().take(pa.array([0] * len(rows), pa.int32()))
+    return pa.table([owner, *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True))], schema=out)
 
 
 def _moved(nodes: DataFrame, places: DataFrame, key: str) -> DataFrame:
@@ -365,11 +378,19 @@ def apply_large_edits(tree: DataFrame, edits: DataFrame, key: str = "set_id", on
     roots = known.select(key, F.lit(_DOC).cast("long").alias("src"), F.lit("").alias("path"), F.lit(OBJECT).alias("value"), F.lit("object").alias("value_type"), "n")
     nodes = docs.withColumn("src", F.lit(_DOC).cast("long")).unionByName(inner)
     schema = StructType([StructField(key, tree.schema[key].dataType), *StructType.fromDDL(_ROW).fields])
-    facts = inner.join(log.filter("op = 'test'").select(key, F.col("seq").alias("src")), [key, "src"], "left_semi")
     steps = log.withColumn("has_value", F.col("value").isNotNull()).drop("value")
+    # What most rounds would ask for first: the containers above the paths of the log, and members that no number names.
+    pointers = steps.select(key, F.explode(F.array("path", "source")).alias("path")).filter("path like '/%'").withColumn("t", F.split("path", "/", -1))
+    above = F.transform(F.sequence(F.lit(1), F.size("t") - F.when(F.element_at("t", -1).rlike("^[0-9]+$"), 1).otherwise(0)), lambda n: F.array_join(F.slice("t", F.lit(1), n), "/"))
+    asked = pointers.select(key, F.lit(_DOC).cast("long").alias("src"), F.explode(above).alias("path")).distinct()
+    known_places = docs.withColumn("src", F.lit(_DOC).cast("long")).unionByName(roots)
+    tests = inner.join(log.filter("op = 'test'").select(key, F.col("seq").alias("src")), [key, "src"], "left_semi")
+    facts = stash(tests.unionByName(asked.join(known_places, [key, "src", "path"], "left")), "edit-facts")
     pending, done = steps, []
+    # Small logs are much work: so many partitions by name, which are not coalesced by their bytes.
+    dealt = lambda t: t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     while True:
-        folded = pending.groupBy(key).cogroup(facts.groupBy(key)).applyInPandas(lambda a, b: _fold(a, b, key, on_error), schema)
+        folded = dealt(pending).groupBy(key).cogroup(dealt(facts).groupBy(key)).applyInArrow(lambda a, b: _fold(a, b, key, on_error), schema)
         folded = stash(folded, "edit-places")
         needs = folded.filter("what = 'need'").select(key, "src", "path")
         done.append(folded.filter("what <> 'need'"))
