@@ -54,3 +54,26 @@ def test_a_list_is_folded_once(spark, monkeypatch):
     assert {v for (s, p), v in got.items() if s == 1 and p.startswith("/a/list/")} == {str(2 * k + 1) for k in range(1, 100, 2)}
     assert got[0, "/a/b"] == "1" and (1, "/a/b") not in got
     assert sorted(r["status"] for r in status.filter("seq = 60").collect()) == ["missing", "ok"]
+
+
+def test_short_runs_meet_no_other_runs(spark):
+    """A list cut at every second place: each element is joined with the run that it lies in, not with its neighbours'."""
+    n = 256
+    nodes = spark.range(n).select(F.lit(1).alias("set_id"), F.lit(0).cast("long").alias("src"), F.concat(F.lit("/l/"), "id").alias("path"), F.col("id").cast("string").alias("value"), F.lit("number").alias("value_type"))
+    rows = [(1, "run", 0, "/l", k, k + 1, k + 1, "/l", None, None, 1) for k in range(n // 2)] + [(1, "run", 0, "/l", n // 2 + 1, n, n, "/l", None, None, 1)]
+    places = spark.createDataFrame(rows, f"set_id int, {large_edits._ROW}")
+    out = large_edits._moved(nodes, places, "set_id")
+    assert {r["path"]: int(r["value"]) for r in out.collect()} == {f"/l/{2 * k + 1}": k for k in range(n // 2)} | {f"/l/{k + n}": k for k in range(n // 2 + 1, n)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = large_edits._moved(nodes, places, "set_id")
+        again.collect()
+        joins, left = [], [again._jdf.queryExecution().executedPlan()]
+        while left:
+            p = left.pop()
+            if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+                joins.append(p.metrics().apply("numOutputRows").value())
+            left += [p.children().apply(k) for k in range(p.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joins and max(joins) <= 2 * n

@@ -21,7 +21,7 @@ from tributary.operators import tree as trees
 from tributary.operators.edits import ARRAY, OBJECT
 from tributary.plans.scratch import stash
 
-#: Elements of an array that look for their run together, and shares of a branch that is moved whole.
+#: Elements of a whole block of a run, and shares of a branch that is moved whole.
 BLOCK, SHARES = 64, 16
 #: Most items of a leaf of an array's list.
 LEAF = 256
@@ -325,26 +325,32 @@ def _fold(log: pa.Table, facts: pa.Table, key: str, on_error: str) -> pa.Table:
 
 def _moved(nodes: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """(key, path, value, value_type) of nodes(key, src, path, ...) at their places. A node looks for a place only at
-    those depths where its document has any; elements by blocks of their index, others by shares, so no key is hot."""
+    those depths where its document has any. Elements look for their run by index: a run is its whole blocks of BLOCK
+    elements and, at both ends, single ones, so each node meets what it lies in alone, however short runs are. Others look
+    by shares, so that no branch of a document is hot; an edit's value fits a row and needs none."""
     depth = F.size(F.split("path", "/", -1)) - 1
     place = places.filter(F.col("what").isin("whole", "rest", "run")).withColumn("depth", depth).withColumn("runs", F.col("what") == "run")
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
-    depths = place.select(key, "src", "depth", "runs").distinct().groupBy(key, "src").agg(F.collect_list(F.struct("depth", "runs")).alias("_at")).withColumn("_share", shares)
-    block = F.when(F.col("runs"), F.sequence((F.col("lo") / BLOCK).cast("long"), ((F.col("hi") - 1) / BLOCK).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
-    place = place.filter("not runs or hi > lo").select(key, "src", F.col("path").alias("anchor"), "runs", "what", "lo", "hi", "shift", "dest", "id", F.explode(block).alias("_block"))
-    share = F.pmod(F.xxhash64("path"), F.lit(SHARES))
-    seen = nodes.withColumn("_share", share.cast("int")).join(depths, [key, "src", "_share"]).withColumn("_a", F.explode("_at"))
+    share = F.when(F.col("src") == _DOC, F.pmod(F.xxhash64("path"), F.lit(SHARES))).otherwise(0).cast("long")
+    shares = F.when(F.col("src") == _DOC, F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    depths = place.groupBy(key, "src").agg(F.collect_set(F.struct("depth", "runs")).alias("_at")).withColumn("_share", F.explode(shares))
+    # Whole blocks are numbered from -1 downwards, elements from 0 upwards.
+    first, end = F.ceil(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    lo, hi = F.col("lo"), F.col("hi")
+    cut = F.when(first < end, F.concat(span(lo, first * BLOCK), F.transform(span(first, end), lambda b: -b - 1), span(end * BLOCK, hi))).otherwise(span(lo, hi))
+    place = place.select(key, "src", F.col("path").alias("anchor"), "runs", "what", "shift", "dest", "id", F.explode(F.when(F.col("runs"), cut).otherwise(shares)).alias("_block"))
+    seen = nodes.withColumn("_share", share).join(depths, [key, "src", "_share"]).withColumn("_a", F.explode("_at"))
     seen = seen.withColumn("runs", F.col("_a.runs")).withColumn("anchor", F.expr("substring_index(path, '/', _a.depth + 1)"))
     seen = seen.filter((depth > F.col("_a.depth")) | ((depth == F.col("_a.depth")) & ~F.col("runs")))
     tail = F.substring(F.col("path"), F.length("anchor") + 1, F.length("path"))
     token = F.substring_index(F.substring(tail, F.lit(2), F.length("path")), "/", 1)
     seen = seen.withColumn("tail", tail).withColumn("token", token).withColumn("at", F.when(F.col("runs"), F.col("token").try_cast("long")))
-    seen = seen.withColumn("_block", F.when(F.col("runs"), (F.col("at") / BLOCK).cast("long")).otherwise(share)).drop("_at", "_a", "_share")
-    inside = (F.col("what") == "whole") | ((F.col("what") == "rest") & (F.col("tail") != "")) | ((F.col("what") == "run") & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    found = seen.join(place, [key, "src", "anchor", "runs", "_block"]).filter(inside)
+    blocks = F.when(F.col("runs"), F.array(F.col("at"), -F.floor(F.col("at") / BLOCK) - 1)).otherwise(F.array(F.col("_share")))
+    seen = seen.select(key, "src", "anchor", "runs", "tail", "token", "at", "value", "value_type", F.explode(blocks).alias("_block"))
+    found = seen.join(place, [key, "src", "anchor", "runs", "_block"]).filter((F.col("what") != "rest") | (F.col("tail") != ""))
     gone = places.filter("what = 'except'").select(key, "id", F.col("text").alias("token"), F.lit("rest").alias("what"))
     found = found.join(gone, [key, "id", "token", "what"], "left_anti")
-    behind = F.substring(F.col("tail"), F.length("token") + 2, F.length("path"))
+    behind = F.substring(F.col("tail"), F.length("token") + 2, F.length("tail"))
     new: Column = F.when(F.col("what") == "run", F.concat("dest", F.lit("/"), (F.col("at") + F.col("shift")).cast("string"), behind)).otherwise(F.concat("dest", "tail"))
     return found.select(key, new.alias("path"), "value", "value_type")
 
