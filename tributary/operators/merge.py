@@ -170,18 +170,26 @@ def provenance(entries: DataFrame, keys: list[str], order: list[str], fields: di
     keys of two entries or more. fields maps names to policies: a union has every source that has the field, a
     conflict-checked field those that agree with the chosen value, a first-writer field the first.
 
-    Groups are partial aggregates, by value and then by field, so a hot identity is combined before each shuffle."""
-    whole = entries.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("sources"), F.count(F.lit(1)).alias("n"))
-    rows = _long(entries, keys, list(fields), order, source)
-    # A field's distinct values, each with its sources and its first rank, then the field's first value and writer.
-    values = rows.groupBy(*keys, "field", "value").agg(F.collect_set("source").alias("by"), F.min(F.struct("rank", "source")).alias("at"))
-    each = values.groupBy(*keys, "field").agg(F.array_distinct(F.flatten(F.collect_list("by"))).alias("all"), F.min(F.struct("at", "by")).alias("first"))
-    policy = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])[F.col("field")]
-    named = F.when(policy == "union", F.col("all")).when(policy == "conflict", F.col("first.by")).otherwise(F.array("first.at.source"))
-    each = each.select(*keys, "field", F.array_sort(named).alias("sources"))
-    several = whole.filter("n > 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    each = each.join(several, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_semi")
-    out = whole.select(*keys, F.lit(None).cast("string").alias("field"), "sources").unionByName(each)
+    One partial aggregate gives all of a key, so entries move once and a hot identity is combined before it."""
+    rank, by = F.struct(*order), F.col(source)
+    aggs, named = [F.collect_set(source).alias("_whole"), F.count(F.lit(1)).alias("_n")], []
+    for i, (f, policy) in enumerate(fields.items()):
+        value = F.col(f).cast("string")
+        has = value.isNotNull()
+        if policy == "union":
+            aggs += [F.collect_set(F.when(has, by)).alias(f"_s{i}"), F.bool_or(has).alias(f"_f{i}")]
+            own, there = F.col(f"_s{i}"), F.col(f"_f{i}")
+        else:
+            aggs.append(F.min(F.when(has, F.struct(rank.alias("rank"), by.alias("source"), value.alias("value")))).alias(f"_f{i}"))
+            own, there = F.array(F.col(f"_f{i}")["source"]), F.col(f"_f{i}").isNotNull()
+        if policy == "conflict":
+            # Distinct pairs of a value and a source: those of the first value agree with it.
+            aggs.append(F.collect_set(F.when(has & by.isNotNull(), F.struct(value.alias("value"), by.alias("source")))).alias(f"_s{i}"))
+            chosen = F.col(f"_f{i}")["value"]
+            own = F.transform(F.filter(f"_s{i}", lambda x: x["value"] == chosen), lambda x: x["source"])  # noqa: B023
+        named.append(F.when(there & (F.col("_n") > 1), F.struct(F.lit(f).alias("field"), F.array_sort(own).alias("sources"))))
+    whole = F.struct(F.lit(None).cast("string").alias("field"), F.array_sort("_whole").alias("sources"))
+    out = entries.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array_compact(F.array(whole, *named))))
     return out.withColumn("path", F.when(F.col("field").isNull(), path_of(keys)).otherwise(path_of(keys, "field")))
 
 
