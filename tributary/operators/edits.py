@@ -197,16 +197,18 @@ def diff_to_edits(old: DataFrame, new: DataFrame, key: str = "set_id", levels: t
 
 
 def verify_edits(old: DataFrame, new: DataFrame, edits: DataFrame, key: str = "set_id") -> DataFrame:
-    """Keys of the documents that edits do not turn from old into new."""
+    """Keys of the documents that edits do not turn from old into new: nodes of both sides are counted against each
+    other in one aggregate, so the edits are applied once."""
     got, _ = apply_edits(old, edits.withColumn("from_path", F.lit(None).cast("string")) if "from_path" not in edits.columns else edits, key)
     row = lambda t: t.select(key, "path", "value_type", F.when(~F.col("value_type").isin("object", "array"), F.col("value")).alias("value"))
-    return row(got).exceptAll(row(new)).unionByName(row(new).exceptAll(row(got))).select(key).distinct()
+    both = row(got).withColumn("_n", F.lit(1)).unionByName(row(new).withColumn("_n", F.lit(-1)))
+    return both.groupBy(key, "path", "value_type", "value").agg(F.sum("_n").alias("_n")).filter("_n <> 0").select(key).distinct()
 
 
 def edits_or_replacement(old: DataFrame, new: DataFrame, edits: DataFrame, whole: DataFrame, key: str = "set_id") -> DataFrame:
     """The edits of documents that they turn from old into new; for each other document one edit that replaces it by
     whole(key, json), the new text."""
-    bad = verify_edits(old, new, edits, key)
+    bad = stash(verify_edits(old, new, edits, key), "unverified")
     good = edits.join(bad, key, "left_anti").select(key, "seq", "op", "path", "value")
     texts = whole.join(bad, key, "left_semi").select(key, F.lit(1).cast("long").alias("seq"), F.lit("replace").alias("op"), F.lit("").alias("path"), F.col("json").alias("value"))
     return good.unionByName(texts)

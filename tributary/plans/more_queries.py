@@ -14,7 +14,7 @@ from tributary.operators.large_edits import apply_large_edits
 from tributary.plans.merge import merge as merge_files
 from tributary.plans.merge import merge_texts
 from tributary.plans.queries import _BODY, _CATALOG, _ORDER, ITEMS, _PAIRS, _bodies, _catalog, _event_edits, _join, _order_docs, _pairs, _t, item_entries, query, text_entries
-from tributary.plans.scratch import folder
+from tributary.plans.scratch import folder, stash
 from tributary.sources import formats, report_files, reports, sections
 from tributary.streaming.merge_stream import GraphTable, remerge
 
@@ -489,11 +489,12 @@ def edit_operations(spark, sf_dir):
 @query("""SELECT o_orderkey AS set_id, CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE '/status' END AS path FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderstatus = 'O'""")
 def verified_edits(spark, sf_dir):
     """Edits that do not make the new text give way to one that replaces the document; others stay."""
-    old, new = (tree.field_tree(_order_docs(spark, sf_dir, x), with_json=True) for x in (False, True))
-    log = edits.diff_to_edits(old, new).filter("path = '/status'")
+    old, new = (stash(tree.field_tree(_order_docs(spark, sf_dir, x), with_json=True), "order-nodes") for x in (False, True))
+    diff = stash(edits.diff_to_edits(old, new), "order-edits")
+    log = diff.filter("path = '/status'")
     # Orders of priority 1 keep the second tag; a wrong edit takes it from them.
     wrong = _t(spark, sf_dir, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("set_id"), F.lit(99).cast("long").alias("seq"), F.lit("remove").alias("op"), F.lit("/tags/1").alias("path"), F.lit(None).cast("string").alias("value"))
-    right = edits.diff_to_edits(old, new).filter("path <> '/status'").join(wrong.select("set_id"), "set_id", "left_anti")
+    right = diff.filter("path <> '/status'").join(wrong.select("set_id"), "set_id", "left_anti")
     whole = _order_docs(spark, sf_dir, True)
     out = edits.edits_or_replacement(old, new, log.unionByName(wrong).unionByName(right), whole)
     return out.filter("path in ('', '/status')").select("set_id", "path")
